@@ -22,6 +22,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_bytes(df: DataFrame, text_col: str) -> int:
+    """About the bytes of a text column: the planner's estimate, or a sum where it has none."""
+    size = int(df.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 50 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
 class IdFilter:
     """Bloom filter over a bigint column, built and probed with built-in functions only.
 

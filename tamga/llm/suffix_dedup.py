@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IdFilter, documents, flat, mixed, saved
+from ._common import IdFilter, documents, flat, mixed, saved, stored_bytes
 
 DEPTH, GRAM = 50, 16
 #: Text that a task sorts at once, and text that a bucket gets.
@@ -300,8 +300,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, mark, spans: for each document with repeated bytes its spans (start, end) in bytes, end exclusive, as an array; spans
     may overlap. mark is xxhash64 of the text, which tells rows that share an id apart. Null ids take no part."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")).where(F.octet_length("text") >= DEPTH)
-    size = int(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    buckets = min(max(24, size // BUCKET_BYTES), 1 << 20)
+    buckets = min(max(24, stored_bytes(docs, text_col) // BUCKET_BYTES), 1 << 20)
     cut = rows.mapInArrow(_cut(buckets), ROW)
     spans = cut.groupBy("bucket").applyInArrow(_sorted_bucket, "id bigint, mark bigint, start bigint, end bigint")
     return spans.groupBy("id", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
