@@ -1,7 +1,69 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""A training corpus from `documents`, in five stages; each takes all that its predecessor kept.
+
+run() applies the stages to the table in a folder. Between stages the rows are written as Parquet to the shared folder.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamga.llm import bpe, exact_dedup, language_id, minhash_dedup, mixing
+from tamga.llm._common import shared_folder
+
+#: Columns of `documents`, which every stage but the last returns.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found; those without a letter go. Profiles are learnt from the documents themselves."""
+    names, prototypes = language_id.trained(docs)
+    return language_id.identify(docs, names, prototypes).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, the one with the largest id."""
+    return exact_dedup.drop_exact(docs, keep="largest")
+
+
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles with a similarity of 0.8 or more link."""
+    return minhash_dedup.drop_near(docs, words=5, percent=80)
+
+
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents at the rates that bring the token shares of the domains to their targets; no document is repeated."""
+    return mixing.mix(docs, mixing.labels_of(spark, sf_dir))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether decoding gives its text back."""
+    path = bpe.vocabulary()
+    got = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path)
+    back = bpe.decode_list_udf(path)(F.col("token_ids"))
+    return got.select("doc_id", "lang", "source", "n_tokens", "token_ids", (back == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", no_copies),
+    ("minhash_dedup", no_near_copies),
+    ("mixing", mixed_to_weights),
+    ("bpe", encoded),
+]
+
+#: Several stages go beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}_{name}")
+            docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    return docs

@@ -13,13 +13,24 @@ from pyspark.sql import functions as F
 FILTER_BYTES = 4 << 20
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: the cluster's, or one of our own where none is named, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tamga-"))
+    return sc.getCheckpointDir()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there: lineage ends, lost executors cost nothing."""
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tamga-"))
-    return df.checkpoint(eager=True)
+    shared_folder(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    del df
+    # shuffle files of what is saved now go as soon as the driver's collector has seen that nothing refers to them
+    sc._jvm.System.gc()
+    return done
 
 
 def stored_bytes(df: DataFrame, text_col: str) -> int:

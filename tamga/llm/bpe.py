@@ -216,6 +216,16 @@ def decode_udf(path: str):
     return F.arrow_udf(run, "string")
 
 
+def decode_list_udf(path: str):
+    """ids as array<bigint> -> text."""
+
+    def run(ids: pa.Array) -> pa.Array:
+        enc = encoder(path)
+        return pa.array([enc.decode(np.array(x or (), "<u4").tobytes()).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")
+
+
 def round_trip_udf(path: str):
     """text -> n_tokens, digests of ids and of the decoded text, one pass."""
 

@@ -98,10 +98,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """docs without the rows that `exact_duplicates` drops; columns as they were."""
-    out = saved(exact_duplicates(docs, id_col, text_col, keep).where("not kept").select(F.col(id_col).alias("__id")).distinct())
-    gone = IdFilter(out)
+    out = exact_duplicates(docs, id_col, text_col, keep).where("not kept")
+    out = saved(out.select(F.col(id_col).alias("__id"), F.lower(F.hex("digest")).alias("__sha")).distinct())
+    gone = IdFilter(out.select("__id").distinct())
     maybe = F.coalesce(gone.has(F.col(id_col).cast("bigint")), F.lit(False))
-    return docs.where(~maybe).unionByName(docs.where(maybe).join(out, docs[id_col] == F.col("__id"), "left_anti"))
+    same = (docs[id_col] == F.col("__id")) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == F.col("__sha"))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(out, same, "left_anti"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

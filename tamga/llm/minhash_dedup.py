@@ -104,7 +104,7 @@ def _signed(words: int):
     def run(batches):
         for batch in batches:
             raw, at = flat(batch.column(1))
-            ids, sets, sizes, signatures = batch.column(0), [], [], []
+            sets, sizes, signatures = [], [], []
             for i, j in slices(at, SLICE):
                 with np.errstate(over="ignore"):
                     hashes, cut = shingles(raw[at[i] : at[j]], at[i : j + 1] - at[i], words)
@@ -118,7 +118,7 @@ def _signed(words: int):
                             least = np.minimum.reduceat(hashes * _A[k] + _B[k], cut[:-1][some])
                             sign[k, some] = (mixed(least) >> np.uint64(64 - BITS)).astype(np.int32)
                     signatures += list(sign.T)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))], names=["id", "n", "set", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))], names=["id", "mark", "n", "set", "sign"])
 
     return run
 
@@ -216,15 +216,11 @@ def _verified(words: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
-
-    Two documents are linked when 100 * common >= percent * union of their distinct shingles of `words` words. Null, empty
-    and wordless texts have no shingles and are components of their own. Rows that repeat an id count as one document each
-    and share the component of their own text; a null id gets a null component and is kept. Other columns are ignored.
-    """
+def _components_of(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int) -> DataFrame:
+    """id, mark (hash of the text), n, component_id of each row."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = saved(rows.mapInArrow(_signed(words), "id bigint, n bigint, set binary, sign array<int>"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    signed = saved(rows.select("id", "text", "mark").mapInArrow(_signed(words), "id bigint, mark bigint, n bigint, set binary, sign array<int>"))
     classes = saved(signed.where("n > 0 and id is not null").groupBy("set").agg(F.min(F.struct("id", "sign")).alias("x")).select("set", F.col("x.id").alias("id"), F.col("x.sign").alias("sign")))
     keys = classes.select("id", F.explode(_keys(F.col("sign"))).alias("key"))
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("key", "head")
@@ -241,17 +237,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = met.mapInArrow(_verified(words, percent), "a bigint, b bigint")
     found = components(links).toDF("id", "component_id")
     named = classes.select("set", "id").join(found, "id", "left").select("set", F.coalesce("component_id", "id").alias("component_id"))
-    out = signed.select("id", "n", "set").join(named, "set", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    out = signed.select("id", "mark", "n", "set").join(named, "set", "left")
+    return out.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, kept.
+
+    Two documents are linked when 100 * common >= percent * union of their distinct shingles of `words` words. Null, empty
+    and wordless texts have no shingles and are components of their own. Rows that repeat an id count as one document each
+    and share the component of their own text; a null id gets a null component and is kept. Other columns are ignored.
+    """
+    out = _components_of(docs, id_col, text_col, words, percent, block)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the one with the smallest id; columns as they were."""
-    out = saved(near_duplicates(docs, id_col, text_col, words, percent).where("not kept").select(F.col(id_col).alias("__id")).distinct())
-    gone = IdFilter(out)
+    out = _components_of(docs, id_col, text_col, words, percent, BLOCK).where("id <> component_id")
+    out = saved(out.select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct())
+    gone = IdFilter(out.select("__id").distinct())
     maybe = F.coalesce(gone.has(F.col(id_col).cast("bigint")), F.lit(False))
-    return docs.where(~maybe).unionByName(docs.where(maybe).join(out, docs[id_col] == F.col("__id"), "left_anti"))
+    same = (docs[id_col] == F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__mark"))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(out, same, "left_anti"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
