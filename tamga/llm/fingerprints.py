@@ -24,31 +24,28 @@ RANGE_BYTES, QUANTILES = 1 << 20, 256
 BROADCAST_RANGES = 200_000
 
 
-def _unit(word: Column, shift: int) -> Column:
-    """31 bits of a hash as a number in (0, 1)."""
-    return (F.shiftrightunsigned(word, shift).bitwiseAND(F.lit(0x7FFFFFFF)).cast("double") + 0.5) / F.lit(float(1 << 31))
-
-
-def _scores(token: Column, sample: Column, weights: list[Column]) -> list[Column]:
-    """ln a of a token hash for each of some weights; null where the weight is 0."""
-    one, two, three = (F.xxhash64(token, sample, F.lit(i)) for i in range(3))
-    r = -F.ln(_unit(one, 0) * _unit(one, 32))
-    ln_c = F.ln(-F.ln(_unit(two, 0) * _unit(two, 32)))
-    beta = _unit(three, 0)
-    made = []
-    for w in weights:
-        t = F.floor(F.ln(w.cast("double")) / r + beta)
-        made.append(F.when(w > 0, ln_c - r * (t - beta + 1)))
-    return made
+def _unit(word: Column, piece: int) -> Column:
+    """21 of a hash's bits as a number in (0, 1)."""
+    return (F.shiftrightunsigned(word, 21 * piece).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) / float(1 << 21)
 
 
 def _signed(terms: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
     """terms: keys, token (hash) and weights -> keys, one array of SAMPLES symbols (8 hex digits) per weight column."""
-    rows = terms.withColumn("chunk", F.explode(F.array(*[F.lit(c) for c in range(0, SAMPLES, CHUNK)])))
-    least = []
+    logs = [F.ln(F.greatest(F.col(w), F.lit(1)).cast("double")).alias(f"ln_{w}") for w in weights]
+    rows = terms.select(*keys, "token", *weights, *logs)
+    rows = rows.withColumn("chunk", F.explode(F.array(*[F.lit(c) for c in range(0, SAMPLES, CHUNK)])))
+    # scores stand in a projection, where what they share is computed once; a weight of 0 is left out afterwards
+    scores = []
     for i in range(CHUNK):
-        for w, score in zip(weights, _scores(F.col("token"), F.col("chunk") + i, [F.col(w) for w in weights])):
-            least.append(F.min(score).alias(f"{w}_{i}"))
+        one, two = (F.xxhash64("token", (F.col("chunk") + i) * 2 + k) for k in range(2))
+        r = -F.ln(_unit(one, 0) * _unit(one, 1))
+        ln_c = F.ln(-F.ln(_unit(two, 0) * _unit(two, 1)))
+        beta = _unit(one, 2)
+        for w in weights:
+            t = F.floor(F.col(f"ln_{w}") / r + beta).cast("double")
+            scores.append((ln_c - r * (t - beta + 1.0)).alias(f"{w}_{i}"))
+    rows = rows.select(*keys, "chunk", *weights, *scores)
+    least = [F.min(F.when(F.col(w) > 0, F.col(f"{w}_{i}"))).alias(f"{w}_{i}") for i in range(CHUNK) for w in weights]
     part = rows.groupBy(*keys, "chunk").agg(*least)
     symbol = lambda c: F.right(F.hex(F.xxhash64(c)), F.lit(8))
     part = part.select(*keys, "chunk", *[F.array(*[symbol(F.col(f"{w}_{i}")) for i in range(CHUNK)]).alias(w) for w in weights])
@@ -64,7 +61,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """key, symbols: the fingerprint of each row's text; key must tell rows apart. Null text counts as empty."""
-    words = docs.select(key, F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s", -1)).alias("word"))
+    words = docs.select(key, F.explode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s", -1)).alias("word"))
     terms = words.groupBy(key, F.xxhash64("word").alias("token")).agg(F.count("*").alias("w"))
     return _signed(terms, [key], ["w"]).withColumnRenamed("w", "symbols")
 
@@ -124,7 +121,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(F.col("edited").isNotNull(), F.split(F.substring("edited", F.col("shared") + 2, F.length("edited")), r"\s", -1)).otherwise(F.array().cast("array<string>")).alias("new"),
     )
     pieces = pieces.select("range", "row", F.size("both").alias("a"), (F.size("both") + F.size("own")).alias("b"), F.concat("both", "own", "new").alias("all"))
-    words = pieces.select("range", "row", "a", "b", F.posexplode("all").alias("at", "word"))
+    words = pieces.select("range", "row", "a", "b", F.posexplode_outer("all").alias("at", "word"))
     counted = words.groupBy("range", "row", F.xxhash64("word").alias("token")).agg(F.sum((F.col("at") < F.col("b")).cast("int")).alias("w"), F.sum(((F.col("at") < F.col("a")) | (F.col("at") >= F.col("b"))).cast("int")).alias("v"))
     signed = _signed(counted, ["range", "row"], ["w", "v"])
     # ranges keep their place, so the next row's fingerprint is at hand
