@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,14 @@ def saved(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read from there: lineage ends, lost executors cost nothing."""
     sc = df.sparkSession.sparkContext
     shared_folder(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    del df
-    # shuffle files of what is saved now go as soon as the driver's collector has seen that nothing refers to them
-    sc._jvm.System.gc()
-    return done
+    return df.checkpoint(eager=True)
+
+
+def release(spark) -> None:
+    """Let go of shuffle files that no frame refers to any more. They go when the driver's collector runs, which a driver
+    with little to do puts off for long; after a step that moved much and is saved it is worth a call."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def stored_bytes(df: DataFrame, text_col: str) -> int:
@@ -91,6 +96,23 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def packed(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """keep and `packed`, each text compressed by itself, for rows that are about to be shuffled."""
+
+    def run(text: pa.Array) -> pa.Array:
+        raw, at = flat(text)
+        view, press = memoryview(raw), zstandard.ZstdCompressor(level=3)
+        return pa.array([press.compress(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+
+    return rows.select(*keep, F.arrow_udf(run, "binary")(F.col(text_col)).alias("packed"))
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """The texts of a `packed` column, as binary."""
+    open_ = zstandard.ZstdDecompressor()
+    return pa.array([open_.decompress(x) if len(x) else b"" for x in (y.as_buffer() for y in column)], pa.large_binary())
+
+
 def slices(offsets: np.ndarray, size: int):
     """Ranges of rows with about `size` bytes each, whole rows only."""
     n, i = len(offsets) - 1, 0
