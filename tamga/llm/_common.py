@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 
@@ -11,6 +12,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _trim = None
+
 #: Upper bound of what `IdFilter` broadcasts; beyond it the filter lets more rows through, the join after it stays exact.
 FILTER_BYTES = 4 << 20
 
@@ -96,6 +102,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system; workers live on and serve other operators."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def packed(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """keep and `packed`, each text compressed by itself, for rows that are about to be shuffled."""
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, tidy
 
 #: Fixed value: the pre-split pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker remembers before it starts anew.
-HELD_WORDS, HELD_ARCS = 400_000, 1_500_000
+HELD_WORDS, HELD_ARCS = 150_000, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -191,6 +192,19 @@ class Encoder:
         return b"".join(map(self.automaton.labels.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def _each(path: str, batch, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """batch(encoder, array) over a task's arrays; what the encoder has remembered goes with the task."""
+    enc = encoder(path)
+    try:
+        for text in texts:
+            yield batch(enc, text)
+            tidy()
+    finally:
+        enc.words.clear()
+        enc.automaton.known.clear()
+        tidy()
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     return Encoder(Automaton.load(path))
@@ -216,21 +230,11 @@ def decode_udf(path: str):
     return F.arrow_udf(run, "string")
 
 
-def decode_list_udf(path: str):
-    """ids as array<bigint> -> text."""
-
-    def run(ids: pa.Array) -> pa.Array:
-        enc = encoder(path)
-        return pa.array([enc.decode(np.array(x or (), "<u4").tobytes()).decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
-
-    return F.arrow_udf(run, "string")
-
-
 def round_trip_udf(path: str):
     """text -> n_tokens, digests of ids and of the decoded text, one pass."""
 
-    def run(text: pa.Array) -> pa.Array:
-        enc, n, a, b = encoder(path), [], [], []
+    def batch(enc: Encoder, text: pa.Array) -> pa.Array:
+        n, a, b = [], [], []
         for k in range(len(text)):
             ids = enc.encode(text[k].as_py() or "")
             n.append(len(ids) // 4)
@@ -238,18 +242,33 @@ def round_trip_udf(path: str):
             b.append(hashlib.sha256(enc.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _each(path, batch, texts)
+
     return F.arrow_udf(run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs with `token_ids` (array<bigint>) and `n_tokens`. Null text has no tokens; other columns stay, repeated rows too."""
-
-    def run(text: pa.Array) -> pa.Array:
-        enc = encoder(path)
-        return pa.array([np.frombuffer(enc.encode(x or ""), "<u4").astype(np.int64) for x in text.to_pylist()], pa.list_(pa.int64()))
-
-    ids = F.arrow_udf(run, "array<bigint>")(F.col(text_col))
-    return docs.withColumn("token_ids", ids).withColumn("n_tokens", F.size("token_ids").cast("bigint"))
+    """docs with `token_ids` (array<int>), `n_tokens` and `round_trip`: whether decoding gives the text back.
+
+    Null text counts as empty and has no tokens; other columns stay, repeated rows too.
+    """
+
+    def batch(enc: Encoder, text: pa.Array) -> pa.Array:
+        ids, same = [], []
+        for x in text:
+            said = x.as_py() or ""
+            got = enc.encode(said)
+            ids.append(np.frombuffer(got, "<i4"))
+            same.append(enc.decode(got) == said.encode())
+        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(same)], ["ids", "same"])
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _each(path, batch, texts)
+
+    got = docs.withColumn("__bpe", F.arrow_udf(run, "ids array<int>, same boolean")(F.col(text_col)))
+    got = got.withColumn("token_ids", F.col("__bpe.ids")).withColumn("round_trip", F.col("__bpe.same")).drop("__bpe")
+    return got.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -18,19 +18,19 @@ from ._common import IdFilter, documents, flat, saved
 
 #: A memtable is flushed at so many bytes of text.
 MEMTABLE_BYTES = 24 << 20
-RUN = "digest binary, rep bigint, ids array<bigint>, n bigint"
+RUN = "digest binary, rep bigint, mark bigint, ids array<bigint>, n bigint"
 
 
 def _runs(keep: str, digest_bytes: int, memtable_bytes: int):
-    schema = pa.schema([("digest", pa.binary()), ("rep", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
+    schema = pa.schema([("digest", pa.binary()), ("rep", pa.int64()), ("mark", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.int64())])
 
     def flushed(table):
         found = []
         best = min if keep == "smallest" else max
         for digest, entries in table.items():
-            for _, ids in entries:
+            for _, mark, ids in entries:
                 some = [x for x in ids if x is not None]
-                found.append((digest, best(some) if some else None, ids, len(ids)))
+                found.append((digest, best(some) if some else None, mark, ids, len(ids)))
         found.sort(key=lambda x: x[0])
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 
@@ -39,19 +39,19 @@ def _runs(keep: str, digest_bytes: int, memtable_bytes: int):
         for batch in batches:
             raw, at = flat(batch.column(1))
             view, at = memoryview(raw), at.tolist()
-            for k, doc in enumerate(batch.column(0).to_pylist()):
+            for k, (doc, mark) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 text = view[at[k] : at[k + 1]]
                 digest = hashlib.sha256(text).digest()[:digest_bytes]
                 entries = table.get(digest)
                 if entries is None:
-                    table[digest] = [(text, [doc])]
+                    table[digest] = [(text, mark, [doc])]
                 else:
-                    for known, ids in entries:
+                    for known, _, ids in entries:
                         if known == text:
                             ids.append(doc)
                             break
                     else:
-                        entries.append((text, [doc]))
+                        entries.append((text, mark, [doc]))
                 held += len(text) + 64
                 if held >= memtable_bytes:
                     yield flushed(table)
@@ -73,25 +73,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("keep is smallest or largest")
     best = F.min if keep == "smallest" else F.max
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a mark finds a text again, also where ids are null or repeat
+    rows = rows.select("id", "text", F.xxhash64("id", "text").alias("mark"))
     runs = saved(rows.mapInArrow(_runs(keep, digest_bytes, memtable_bytes), RUN))
     level = saved(runs.groupBy("digest").agg(best("rep").alias("keep_id"), F.sum("n").alias("group_size"), F.count("*").alias("runs")))
     shared = level.where("runs > 1").select("digest")
-    hits = saved(runs.join(shared, "digest", "left_semi").select("digest", F.col("rep").alias("id"), "n"))
-    wanted = IdFilter(hits.select("id").where("id is not null").distinct())
-    texts = rows.where(wanted.has(F.col("id")))
-    checked = texts.join(hits, "id").where(F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes) == F.col("digest"))
-    classes = checked.groupBy("digest", "text").agg(best("id").alias("keep_id"), F.countDistinct("id").alias("reps"))
+    hits = saved(runs.join(shared, "digest", "left_semi").select("digest", "mark").distinct())
+    wanted = IdFilter(hits.select("mark").distinct())
+    texts = rows.where(wanted.has(F.col("mark"))).join(hits, "mark")
+    checked = texts.where(F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes) == F.col("digest")).select("digest", "mark", "text")
+    classes = checked.groupBy("digest", "text").agg(F.count("*").alias("reps"))
     clash = saved(classes.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest"))
+    merged = runs.select("digest", "ids").join(level, "digest").select("digest", "keep_id", "group_size", "ids")
     if not clash.isEmpty():
-        # One digest, several texts: these groups are told apart by their texts.
-        apart = checked.join(F.broadcast(clash) if clash.count() < 1000 else clash, "digest", "left_semi").select("digest", "id", "text").distinct()
-        own = runs.join(clash, "digest", "left_semi").select("digest", F.col("rep").alias("id"), "n", "ids").join(apart, ["digest", "id"])
-        per = own.groupBy("digest", "text").agg(best("id").alias("keep_id"), F.sum("n").alias("group_size"))
-        split = own.join(per, ["digest", "text"]).select("digest", "keep_id", "group_size", "ids")
-        whole = runs.join(clash, "digest", "left_anti").join(level, "digest").select("digest", "keep_id", "group_size", "ids")
-        merged = whole.unionByName(split)
-    else:
-        merged = runs.select("digest", "ids").join(level, "digest").select("digest", "keep_id", "group_size", "ids")
+        # one digest, several texts: these groups are told apart by their texts
+        own = runs.join(clash, "digest", "left_semi").join(checked.distinct(), ["digest", "mark"])
+        per = own.groupBy("digest", "text").agg(best("rep").alias("keep_id"), F.sum("n").alias("group_size"))
+        apart = own.join(per, ["digest", "text"]).select("digest", "keep_id", "group_size", "ids")
+        merged = merged.join(clash, "digest", "left_anti").unionByName(apart)
     out = merged.select(F.explode("ids").alias(id_col), "keep_id", "group_size", "digest")
     return out.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 

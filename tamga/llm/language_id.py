@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, flat, saved, slices
+from ._common import documents, flat, slices, tidy
 
 DIM, SEED, SYMBOLS = 1024, 20240229, 128
 #: Bundled trigram vectors that a worker keeps.
 HELD = 24_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 @functools.cache
@@ -50,12 +50,12 @@ def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def bound(grams: np.ndarray) -> np.ndarray:
     """The vectors of trigram codes."""
     a, b, c = _letters()
-    return (a[grams >> 14] * b[(grams >> 7) & 127] * c[grams & 127]).astype(np.float32)
+    return a[grams >> 14] * b[(grams >> 7) & 127] * c[grams & 127]
 
 
 class _Bundler:
     def __init__(self):
-        self.slot, self.n, self.vectors = np.full(SYMBOLS**3, -1, np.int32), 0, np.zeros((1024, DIM), np.float32)
+        self.slot, self.n, self.vectors = np.full(SYMBOLS**3, -1, np.int32), 0, np.zeros((1024, DIM), np.int8)
 
     def slots(self, grams: np.ndarray) -> np.ndarray:
         """grams: distinct codes."""
@@ -64,7 +64,7 @@ class _Bundler:
             if self.n + len(new) > HELD:
                 self.slot[:], self.n, new = -1, 0, grams
             if (need := self.n + len(new)) > len(self.vectors):
-                self.vectors = np.vstack([self.vectors, np.zeros((max(need, 2 * len(self.vectors)) - len(self.vectors), DIM), np.float32)])
+                self.vectors = np.vstack([self.vectors, np.zeros((max(need, 2 * len(self.vectors)) - len(self.vectors), DIM), np.int8)])
             self.vectors[self.n : need] = bound(new)
             self.slot[new] = np.arange(self.n, need, dtype=np.int32)
             self.n = need
@@ -103,6 +103,7 @@ def _counted(batches):
                 mine = (keys >> 21) == k
                 total = sums.setdefault(name, np.zeros(SYMBOLS**3, np.int32))
                 np.add.at(total, keys[mine] & (SYMBOLS**3 - 1), n[mine].astype(np.int32))
+        tidy()
     for name, total in sums.items():
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["lang", "gram", "n"])
@@ -149,10 +150,11 @@ def _predictor(names: list[str], prototypes: np.ndarray):
                 slots = bundler.slots(used)[back]
             cut = np.flatnonzero(np.diff(rows, prepend=-1))
             for a, b in zip(cut, [*cut[1:], len(rows)]):
-                vector = n[a:b] @ (bundler.vectors[slots[a:b]] if slots is not None else bound(grams[a:b]))
+                vector = n[a:b] @ (bundler.vectors[slots[a:b]] if slots is not None else bound(grams[a:b])).astype(np.float32)
                 near = prototypes @ vector / max(float(np.linalg.norm(vector)), 1e-9)
                 best[i + rows[a]] = k = int(np.argmax(near))
                 score[i + rows[a]] = min(1.0, max(0.0, float(near[k])))
+        tidy()
         said = pa.array([names[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
         return pa.StructArray.from_arrays([said, pa.array(score)], ["lang", "score"])
 

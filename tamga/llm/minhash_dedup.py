@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IdFilter, documents, flat, mixed, saved, slices
+from ._common import IdFilter, documents, flat, mixed, saved, slices, tidy
 
 CHUNKS, WIDTH, ERRORS, BITS = 10, 5, 1, 16
 K = CHUNKS * WIDTH
@@ -118,6 +118,7 @@ def _signed(words: int):
                             least = np.minimum.reduceat(hashes * _A[k] + _B[k], cut[:-1][some])
                             sign[k, some] = (mixed(least) >> np.uint64(64 - BITS)).astype(np.int32)
                     signatures += list(sign.T)
+            tidy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signatures, pa.list_(pa.int32()))], names=["id", "mark", "n", "set", "sign"])
 
     return run
@@ -209,6 +210,7 @@ def _verified(words: int, percent: int):
                         found += close(key, rows)
                     key, rows = (cluster, one, two), []
                 rows.append((side, i, text))
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
         found = close(key, rows) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, flat, saved, slices
+from ._common import documents, flat, saved, slices, tidy
 
 #: Labelled rows that teach the classifier at most: those with the least hash of their id.
 TRAIN_ROWS = 20_000
@@ -113,6 +113,7 @@ def membership(docs: DataFrame, weights: np.ndarray, text_col: str = "text") ->
         left, order = GRID - parts.sum(1), np.argsort(-(p * GRID - parts), axis=1, kind="stable")
         for c in range(k):
             np.add.at(parts, (np.arange(n), order[:, c]), (left > c).astype(np.int64))
+        tidy()
         return pa.StructArray.from_arrays([pa.array(tokens), pa.array(list(parts.astype(np.int32)), pa.list_(pa.int32()))], ["n_tokens", "cell"])
 
     got = docs.withColumn("__mix", F.arrow_udf(run, "n_tokens bigint, cell array<int>")(F.col(text_col)))

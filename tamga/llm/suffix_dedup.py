@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IdFilter, documents, flat, mixed, packed, release, saved, stored_bytes, unpacked
+from ._common import IdFilter, documents, flat, mixed, packed, release, saved, stored_bytes, tidy, unpacked
 from .exact_dedup import exact_duplicates
 
 DEPTH, GRAM, SIDE = 50, 16, 17
@@ -299,6 +299,7 @@ def _cut(buckets: int, with_text: bool):
                 if size >= BATCH_BYTES * 0.9:
                     yield from joined(held)
                     held, size = [], 0
+                    tidy()
         if held:
             yield from joined(held)
 
