@@ -144,7 +144,9 @@ def repair_foreign(c: Column) -> Column:
 
 def canonicalise(c: Column) -> Column:
     """struct<text, changed>: the display form, and at how many places it differs (1 at least if it differs)."""
+
+    def differ(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else 0 if x == y else sum(p != q for p, q in zip(x, y)) or 1 for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
+
     out = normalize_display(c)
-    size = F.least(F.length(c), F.length(out))
-    differ = F.size(F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: (i <= size) & (F.substring(c, i, F.lit(1)) != F.substring(out, i, F.lit(1)))))
-    return F.struct(out.alias("text"), F.when(out == c, 0).otherwise(F.greatest(differ, F.lit(1))).cast("bigint").alias("changed"))
+    return F.struct(out.alias("text"), F.arrow_udf(differ, "bigint")(c, out).alias("changed"))

@@ -45,7 +45,7 @@ def get_reader(suffix: str):
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A list of objects, an object that has the list under data, rows, items or examples, or one object. A byte-order mark at
     the beginning is skipped. A JSON document is read whole, by one task: corpora come as JSON lines or Parquet."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
     df = _json_of(spark, text)
     for name in WRAPPERS:
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
@@ -138,7 +138,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Run manifests under folder: run_id, model, times, path, tasks (names), manifest (as text). Files that can't be parsed
     are skipped."""
-    files = spark.read.option("wholetext", True).text(f"{folder}/*/manifest.json").select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(f"{folder}/*/manifest.json", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     schema = "run_id string, model string, organization string, license string, weights_url string, quantization string, reasoning string, started_at string, finished_at string, tasks map<string,string>"
     parsed = files.select("path", "value", F.from_json("value", schema).alias("m")).where("m.model is not null or m.run_id is not null")
     return parsed.select("path", "m.*", F.col("value").alias("manifest")).withColumn("cells", F.col("tasks")).withColumn("tasks", F.map_keys("tasks"))
