@@ -15,8 +15,11 @@ from .url_filter import op4
 
 
 def queries() -> dict:
-    return {"op1_html_text": op1, "op2_mixing": op2, "op3_secret_scan": op3, "op4_url_filter": op4, "op5_bpe": op5, "op6_exact_dedup": op6, "op7_minhash_dedup": op7, "op8_suffix_dedup": op8, "op9_fingerprints": op9, "op10_language_id": op10}
+    return {
+        "op1_html_text": op1, "op2_mixing": op2, "op3_secret_scan": op3, "op4_url_filter": op4, "op5_bpe": op5, "op6_exact_dedup": op6, "op7_minhash_dedup": op7,
+        "op8_suffix_dedup": op8, "op9_fingerprints": op9, "op10_language_id": op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_html_text": op1, "op3_secret_scan": SQL3, "op6_exact_dedup": SQL6}
+    return {"op3_secret_scan": SQL3, "op6_exact_dedup": SQL6}
