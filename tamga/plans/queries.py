@@ -9,7 +9,7 @@ from ..functions import constraints as C
 from ..functions import extract as X
 from ..functions import mt, score, stats
 from ..functions import text as T
-from ..operators import board, items, metrics, records, validators
+from ..operators import board, builder, items, metrics, records, validators
 from . import tables as D
 
 QUERIES: dict = {}
@@ -859,3 +859,48 @@ def stream_latest(spark, d):
     stream = stream.select(F.col("user_id").alias("item_id"), F.col("event_type").alias("status"), "ts", "event_id", "value")
     out = run_to_end(latest_stream(stream, "item_id", ["ts", "event_id"], ["status", "value"]), f"latest_{uuid.uuid4().hex}")
     return out.select("item_id", "status", "event_id", "value")
+
+
+# ---- dataset building ------------------------------------------------------------------------------------------------
+
+
+@query("strip_labels", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name ELSE 'AB) ' || p_name END AS option FROM part")
+def strip_labels(spark, d):
+    k = F.col("p_partkey") % 3
+    said = F.when(k == 0, F.concat(F.lit(" c) "), "p_name")).when(k == 1, F.concat(F.lit("A.  "), "p_name")).otherwise(F.concat(F.lit("AB) "), "p_name"))
+    return D.table(spark, d, "part").select("p_partkey", builder.strip_label(said).alias("option"))
+
+
+@query("drop_duplicates", "SELECT min(p_partkey) AS ord FROM part GROUP BY lower(p_name)")
+def drop_duplicates(spark, d):
+    return builder.drop_duplicates(D.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("t")), "t").select("ord")
+
+
+@query("drop_overlap", "SELECT p_partkey FROM part WHERE lower(p_name) NOT IN (SELECT lower(p_name) FROM part WHERE p_partkey < 20)")
+def drop_overlap(spark, d):
+    p = D.table(spark, d, "part")
+    return builder.drop_overlap(p, p.where("p_partkey < 20"), "p_name").select("p_partkey")
+
+
+@query("task_names", "SELECT DISTINCT task, CASE WHEN task IN ('src1', 'src2') THEN 'scored' ELSE 'orphan' END AS state FROM (SELECT source AS task FROM documents UNION ALL SELECT 'src2')")
+def task_names(spark, d):
+    recorded = D.table(spark, d, "documents").select(F.col("source").alias("task")).distinct()
+    return builder.task_names(recorded, spark.createDataFrame([("src1",), ("none",)], "task string"), spark.createDataFrame([("src2",)], "task string"))
+
+
+@query("quarantine", f"WITH {D.CHOICE} SELECT item_id, gold_index IS NULL AS bad FROM choice")
+def quarantine(spark, d):
+    c = D.multiple_choice(spark, d)
+    problems = validators.choice_problems(c, F.col("item_id"), F.col("options"), F.col("gold_index")).where("problem = 'missing or invalid answer key'")
+    good, bad = builder.quarantined(c, problems)
+    return good.select("item_id", F.lit(False).alias("bad")).unionByName(bad.select("item_id", F.lit(True).alias("bad")))
+
+
+@query("chrf_macro")
+def chrf_macro(spark, d):
+    return rounded(builder.macro_mean(mt.corpus_chrf(D.turns(spark, d), "direction"), "chrf"), "macro")
+
+
+@query("score_tint", "SELECT p_partkey, round(greatest(0.0, least(1.0, (p_size * 2.0 - 25.0) / 75.0)), 6) AS tint FROM part")
+def score_tint(spark, d):
+    return D.table(spark, d, "part").select("p_partkey", F.round(board.tint(F.col("p_size") * 2.0, F.lit(25.0)), 6).alias("tint"))
