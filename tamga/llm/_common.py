@@ -44,6 +44,21 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark) -> None:
+    """Arrow batches of 2,000 rows and 16 MB at most, unless the session has settings of its own: at the defaults a batch of
+    long texts, which JVM and worker hold at the same time, takes hundreds of MB for each core."""
+    for key, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")):
+        try:
+            if spark.conf.get(key) == _arrow_defaults.setdefault(key, spark.conf.get(key)):
+                spark.conf.set(key, ours)
+        except Exception as e:  # a version without the setting
+            if "SQL_CONF_NOT_FOUND" not in str(e) and "NoSuchElement" not in str(e):
+                raise
+
+
+_arrow_defaults: dict[str, str] = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+
+
 def stored_bytes(df: DataFrame, text_col: str) -> int:
     """About the bytes of a text column: the planner's estimate, or a sum where it has none."""
     size = int(df.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

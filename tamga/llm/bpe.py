@@ -12,6 +12,7 @@ table of byte strings, longest arc first, going back where no arc fits. Decoding
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -22,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, tidy
+from ._common import bounded_batches, documents, tidy
 
 #: Fixed value: the pre-split pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a worker remembers before it starts anew.
-HELD_WORDS, HELD_ARCS = 150_000, 300_000
+HELD_WORDS, HELD_ARCS = 60_000, 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -193,15 +194,17 @@ class Encoder:
 
 
 def _each(path: str, batch, texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """batch(encoder, array) over a task's arrays; what the encoder has remembered goes with the task."""
+    """batch(encoder, array) over a task's arrays. Tables and what the encoder has remembered go with the task: loading takes
+    a quarter of a second, and the worker that stays has the memory for other operators."""
     enc = encoder(path)
     try:
         for text in texts:
             yield batch(enc, text)
             tidy()
     finally:
-        enc.words.clear()
-        enc.automaton.known.clear()
+        del enc
+        encoder.cache_clear()
+        gc.collect()
         tidy()
 
 
@@ -266,6 +269,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from _each(path, batch, texts)
 
+    bounded_batches(docs.sparkSession)
     got = docs.withColumn("__bpe", F.arrow_udf(run, "ids array<int>, same boolean")(F.col(text_col)))
     got = got.withColumn("token_ids", F.col("__bpe.ids")).withColumn("round_trip", F.col("__bpe.same")).drop("__bpe")
     return got.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
@@ -278,5 +282,6 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = documents(spark, sf_dir, "doc_id", "text")
     return docs.select("doc_id", round_trip_udf(vocabulary())(F.col("text")).alias("r")).select("doc_id", "r.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IdFilter, documents, flat, saved
+from ._common import IdFilter, bounded_batches, documents, flat, saved
 
 #: A memtable is flushed at so many bytes of text.
 MEMTABLE_BYTES = 24 << 20
@@ -72,6 +72,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     best = F.min if keep == "smallest" else F.max
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # a mark finds a text again, also where ids are null or repeat
     rows = rows.select("id", "text", F.xxhash64("id", "text").alias("mark"))

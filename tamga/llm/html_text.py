@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bounded_batches
+
 # Element names by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -400,6 +402,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             titles.append(None if page is None else page_title(page))
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(titles, pa.string())], ["text", "title"])
 
+    bounded_batches(pages.sparkSession)
     got = pages.withColumn("__html", F.arrow_udf(run, "text string, title string")(F.col(html_col)))
     return got.withColumn("text", F.col("__html.text")).withColumn("title", F.col("__html.title")).drop("__html")
 

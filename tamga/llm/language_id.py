@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, flat, slices, tidy
+from ._common import bounded_batches, documents, flat, slices, tidy
 
 DIM, SEED, SYMBOLS = 1024, 20240229, 128
 #: Bundled trigram vectors that a worker keeps.
 HELD = 24_000
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 
 @functools.cache
@@ -114,6 +114,7 @@ def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -
 
     What reaches the driver is one count per language and trigram that occurs, whatever the number of documents.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col)
     table = rows.mapInArrow(_counted, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (np.array(table.column(c).to_pylist()) for c in ("lang", "gram", "n"))
@@ -163,6 +164,7 @@ def _predictor(names: list[str], prototypes: np.ndarray):
 
 def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score. Null text or text without a letter: `und`, 0. Ties go to the first name."""
+    bounded_batches(docs.sparkSession)
     got = docs.withColumn("__lang", _predictor(names, prototypes)(F.col(text_col)))
     return got.withColumn("lang_pred", F.col("__lang.lang")).withColumn("score", F.col("__lang.score")).drop("__lang")
 

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IdFilter, documents, flat, mixed, saved, slices, tidy
+from ._common import IdFilter, bounded_batches, documents, flat, mixed, saved, slices, tidy
 
 CHUNKS, WIDTH, ERRORS, BITS = 10, 5, 1, 16
 K = CHUNKS * WIDTH
 #: Documents of a cluster that meet in one block; a task sees two blocks at most.
 BLOCK = 1024
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -220,6 +220,7 @@ def _verified(words: int, percent: int):
 
 def _components_of(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, block: int) -> DataFrame:
     """id, mark (hash of the text), n, component_id of each row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     signed = saved(rows.select("id", "text", "mark").mapInArrow(_signed(words), "id bigint, mark bigint, n bigint, set binary, sign array<int>"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, flat, saved, slices, tidy
+from ._common import bounded_batches, documents, flat, saved, slices, tidy
 
 #: Labelled rows that teach the classifier at most: those with the least hash of their id.
 TRAIN_ROWS = 20_000
@@ -25,7 +25,7 @@ GRID, STEPS, RIDGE = 64, 60, 1e-3
 #: Domains are the kinds of labelled documents: clean, poor, toxic; wanted shares of the tokens.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = (0.9, 0.08, 0.02)
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _BYTE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -77,6 +77,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     labels: doc_id, domain (position). Of a repeated doc_id one label counts. What reaches the driver is one number per
     domain and bucket.
     """
+    bounded_batches(docs.sparkSession)
     some = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = docs.join(F.broadcast(some), "doc_id").where("text is not null").select("domain", "text")
@@ -94,6 +95,7 @@ def membership(docs: DataFrame, weights: np.ndarray, text_col: str = "text") ->
     tokens and equal parts, as far as GRID divides.
     """
     k = len(DOMAINS)
+    bounded_batches(docs.sparkSession)
 
     def run(text: pa.Array) -> pa.Array:
         raw, at = flat(text)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import IdFilter, documents, flat, mixed, packed, release, saved, stored_bytes, tidy, unpacked
+from ._common import IdFilter, bounded_batches, documents, flat, mixed, packed, release, saved, stored_bytes, tidy, unpacked
 from .exact_dedup import exact_duplicates
 
 DEPTH, GRAM, SIDE = 50, 16, 17
@@ -31,7 +31,7 @@ BATCH_BYTES, BUCKET_BYTES = 6 << 20, 1 << 20
 #: Windows that a bucket orders at once.
 PART = 1 << 20
 #: Text whose windows a task looks at one by one.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _u64(raw: np.ndarray) -> np.ndarray:
@@ -415,6 +415,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """rows: id, mark, text. -> id, mark, starts, ends: of each document with repeated bytes its spans, which may overlap; mark
     is a hash of the text, which tells rows that share an id apart."""
     spark = rows.sparkSession
+    bounded_batches(spark)
     buckets = min(max(24, stored_bytes(rows, "text") // BUCKET_BYTES), 1 << 20)
     # whole copies go first: of equal texts the one with the smallest id has all windows of the others
     copies = exact_duplicates(rows, "id", "text").where("not kept and id > keep_id").select("id", F.lower(F.hex("digest")).alias("sha")).distinct()
