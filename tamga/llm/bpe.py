@@ -27,8 +27,8 @@ from ._common import bounded_batches, documents, tidy
 
 #: Fixed value: the pre-split pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker remembers before it starts anew.
-HELD_WORDS, HELD_ARCS = 60_000, 100_000
+#: Words of a generation: a worker remembers the last full one and the one under way. Arcs that it remembers before it starts anew.
+HELD_WORDS, HELD_ARCS = 100_000, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -167,8 +167,12 @@ class Encoder:
         codes, word_of = automaton.codes.__getitem__, automaton.word
 
         class Words(dict):
+            old: dict[str, bytes] = {}
+
             def __missing__(self, word):
-                got = b"".join(map(codes, word_of(word.encode())))
+                got = self.old.get(word)
+                if got is None:
+                    got = b"".join(map(codes, word_of(word.encode())))
                 self[word] = got
                 return got
 
@@ -178,6 +182,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if len(self.words) > HELD_WORDS:
+            self.words.old = dict(self.words)
             self.words.clear()
         if self.special is None or not self.special.search(text):
             return b"".join(map(self.words.__getitem__, self.split(text)))
