@@ -437,7 +437,7 @@ _DOCS = "docs AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(substring
 
 
 def _docs(spark, d):
-    t = F.substring("text", 1, 4000)
+    t = F.col("text")
     v = F.when(F.col("doc_id") % 2 == 0, F.replace(t, F.lit("\n"), F.lit("\n\n"))).when(F.col("doc_id") % 3 == 0, F.replace(t, F.lit("\n"), F.lit("\n- "))).otherwise(F.concat(F.lit('"'), t, F.lit('"')))
     return D.table(spark, d, "documents").select("doc_id", v.alias("v"))
 
