@@ -269,10 +269,8 @@ def slug(spark, d):
 @query("quoted_terms", """SELECT doc_id, list_filter(list_transform(regexp_extract_all(q, '["«“„][^"»”“„\n]{1,80}["»”]|''[^''\n]{2,80}'''), lambda x: trim(substring(x, 2, length(x) - 2))), lambda x: length(x) > 0 AND length(x) < 80)::VARCHAR[] AS terms_list FROM
  (SELECT doc_id, regexp_replace(regexp_replace(substring(text, 1, 2000), '([a-z]+), ', '"\\1" ', 'g'), '([a-z]+)\\. ', '«\\1» ', 'g') AS q FROM documents WHERE NOT contains(text, chr(39))) """.replace("AS terms_list", "AS t").replace("SELECT doc_id, list_filter", "SELECT doc_id, array_to_string(list_filter", 1).replace("::VARCHAR[] AS t", ", '|') AS terms"))
 def quoted_terms(spark, d):
-    head = F.substring("text", 1, 2000)
-    q = F.regexp_replace(F.regexp_replace(head, "([a-z]+), ", '"$1" '), r"([a-z]+)\. ", "«$1» ")
-    docs = D.table(spark, d, "documents").where(~F.col("text").contains("'"))
-    return docs.select("doc_id", F.array_join(T.quoted_terms(q), "|").alias("terms"))
+    q = F.regexp_replace(F.regexp_replace("text", "([a-z]+), ", '"$1" '), r"([a-z]+)\. ", "«$1» ")
+    return D.table(spark, d, "documents").select("doc_id", F.array_join(T.quoted_terms(q), "|").alias("terms"))
 
 
 @query("repair_rollup")

@@ -93,3 +93,18 @@ def test_loose_and_grid_whole(spark, long_docs):
     for r in judged:
         i = int(r.item_id)
         assert r.strict == BRUTE[names[r.at]](shaped(i, rows[i]).strip()), (r.name, i)
+
+
+QUOTED = re.compile(r"""["«“„]([^"»”“„\n]{1,80})["»”]|'([^'\n]{2,80})'""")
+
+
+def test_quoted_terms_whole(spark, tmp_path):
+    rows = [(1, FILL + "bir, ikki. uch"), (2, "don't 'olma' va \"nok\""), (3, None), (4, "«a» " + FILL + "„b” 'cd' \"\\x\""), (5, ""), (6, FILL)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, text in rows:
+        q = re.sub(r"([a-z]+)\. ", r"«\1» ", re.sub("([a-z]+), ", r'"\1" ', text or ""))
+        terms = [(m[1] or m[2]).strip() for m in QUOTED.finditer(q)]
+        want[i] = "|".join(x for x in terms if 0 < len(x) < 80 and not x.startswith("\\"))
+    assert want[1] == "bir|ikki" and want[4] == "a|b|cd" and want[3] == want[6] == ""
+    assert {r.doc_id: r.terms for r in plans.QUERIES["quoted_terms"](spark, str(tmp_path)).collect()} == want
