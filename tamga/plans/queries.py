@@ -339,7 +339,7 @@ _BOLDS = "SELECT doc_id, regexp_replace(substring(text, 1, 3000), '([a-z]+), ',
 m AS (SELECT *, len(list_distinct(list_transform(regexp_extract_all(line, '\\*\\*([^*]+)\\*\\*', 1), lambda x: lower(trim(x, ' ' || chr(10)))))) > 1 AS many FROM l)
 SELECT doc_id, CASE WHEN len(f) = 0 OR many THEN NULL ELSE trim(list_last(f), ' ' || chr(10)) END AS value, CASE WHEN len(f) = 0 THEN 'bold' WHEN many THEN 'bold-ambiguous' ELSE 'bold' END AS strategy FROM m""")
 def extract_bold(spark, d):
-    v = F.regexp_replace(F.substring("text", 1, 3000), "([a-z]+), ", "**$1** ")
+    v = F.regexp_replace("text", "([a-z]+), ", "**$1** ")
     x = D.table(spark, d, "documents").select("doc_id", X.extract_bold(v).alias("x"))
     return x.select("doc_id", "x.value", "x.strategy")
 
@@ -625,7 +625,7 @@ def validate_mcq(spark, d):
 
 @query("validate_lengths", "SELECT CAST(doc_id AS VARCHAR) AS row_id, 'translation much shorter than the original' AS problem FROM documents WHERE length(source) > 0 AND length(source) < 0.35 * length(substring(text, 1, 20))")
 def validate_lengths(spark, d):
-    rows = D.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 20).alias("question"), F.col("source").alias("question_uzb"), F.lit("['a' 'b']").alias("options"), F.lit('["a", "b"]').alias("options_uzb"))
+    rows = D.table(spark, d, "documents").select("doc_id", F.col("text").alias("question"), F.col("source").alias("question_uzb"), F.lit("['a' 'b']").alias("options"), F.lit('["a", "b"]').alias("options_uzb"))
     return validators.translated_problems(rows, F.col("doc_id"))
 
 

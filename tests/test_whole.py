@@ -108,3 +108,16 @@ def test_quoted_terms_whole(spark, tmp_path):
         want[i] = "|".join(x for x in terms if 0 < len(x) < 80 and not x.startswith("\\"))
     assert want[1] == "bir|ikki" and want[4] == "a|b|cd" and want[3] == want[6] == ""
     assert {r.doc_id: r.terms for r in plans.QUERIES["quoted_terms"](spark, str(tmp_path)).collect()} == want
+
+
+def test_extract_bold_whole(spark, tmp_path):
+    rows = [(1, "bir, ikki\n" + FILL + "uch, toʻrt"), (2, "bir, ikki\n" + FILL + "uch, besh, olti"), (3, FILL), (4, "bir, ikki"), (5, FILL + "bir, Bir\nuch, x\n\n")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.value, r.strategy) for r in plans.QUERIES["extract_bold"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("uch", "bold"), 2: (None, "bold-ambiguous"), 3: (None, "bold"), 4: ("bir", "bold"), 5: ("uch", "bold")}
+
+
+def test_validate_lengths_whole(spark, tmp_path):
+    rows = [(1, "x" * 100, "y" * 34), (2, "x" * 100, "y" * 35), (3, "x" * 20, "y" * 6), (4, "x" * 100, ""), (5, None, "y")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.row_id for r in plans.QUERIES["validate_lengths"](spark, str(tmp_path)).collect()) == ["1", "3"]
