@@ -20,10 +20,10 @@ from ._common import bounded_batches
 # Element names by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed svg math canvas audio video datalist title meta link xmp noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed canvas audio video datalist title meta link noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html "
-    "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 SPACED = frozenset("article blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 ol p pre section table ul menu form header footer nav main aside address".split())
 #: A start tag ends the open element named here, if it is open above any of the barriers.
@@ -50,20 +50,39 @@ HEAD_ONLY = frozenset("html head meta title link base script style template nosc
 SCOPE = frozenset("table td th caption html".split())
 #: These end tags close whatever is open inside their table.
 PARTS = frozenset("table caption colgroup tbody thead tfoot tr td th".split())
+#: A start tag of these closes what is open inside its table, up to one of the elements named.
+CONTEXT = {k: frozenset(v.split()) for k, v in {"td": "tr tbody thead tfoot table", "th": "tr tbody thead tfoot table", "tr": "tbody thead tfoot table", "tbody": "table", "thead": "table", "tfoot": "table"}.items()}
+#: Drawings and formulas: HTML elements that end them, elements with HTML inside, and elements that paint no text.
+LEAVES_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+HTML_INSIDE = frozenset("mi mo mn ms mtext".split())
+UNPAINTED = {"svg": frozenset("clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+UNPAINTED["svg text"] = UNPAINTED["svg"]
 #: Nesting beyond this stays flat: children join the innermost element that fits.
 DEEPEST = 400
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>][^\s\"'>]*$")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "children")
+    __slots__ = ("name", "attrs", "children", "kind")
+
+    def __init__(self, name: str, attrs: dict[str, str], kind: str = ""):
+        self.name, self.attrs, self.children, self.kind = name, attrs, [], kind
+
 
-    def __init__(self, name: str, attrs: dict[str, str]):
-        self.name, self.attrs, self.children = name, attrs, []
+def _kind(name: str, parent: Node) -> str:
+    """math, svg, svg text where a drawing paints its text, or empty for HTML."""
+    if name in ("svg", "math"):
+        return name
+    if name == "foreignobject" or parent.kind == "math" and parent.name in HTML_INSIDE:
+        return ""
+    return "svg text" if parent.kind == "svg" and name == "text" else parent.kind
 
 
 def attributes(said: str) -> dict[str, str]:
@@ -121,17 +140,29 @@ def tree(text: str) -> Node:
             continue
         if stack[-1].name == "head" and name not in HEAD_ONLY:
             stack.pop()
+        if name in LEAVES_FOREIGN:
+            while stack[-1].kind and stack[-1].name not in HTML_INSIDE:
+                stack.pop()
+        if name == "form" and stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr"):
+            continue  # it holds nothing there, and what follows stays in the table
         if name in ENDS_P:
             pop_to({"p"}, SCOPE | {"button"})
         if name in IMPLIED:
             names, barriers = IMPLIED[name]
             while pop_to(names, barriers):
                 pass
+        if name in CONTEXT:
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name in CONTEXT[name]:
+                    del stack[k + 1 :]
+                    break
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             stack[-1].children.append(row := Node("tr", {}))
             stack.append(row)
-        node = Node(name, attrs)
+        node = Node(name, attrs, _kind(name, stack[-1]))
         stack[-1].children.append(node)
+        if node.kind and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(text, at) if name != "plaintext" else None
             inner = text[at : end.start()] if end else text[at:]
@@ -148,6 +179,8 @@ def visible(node: Node) -> bool:
         return False
     if node.name == "input" or node.name == "dialog" and "open" not in a:
         return False
+    if node.kind and node.name in UNPAINTED[node.kind]:
+        return False
     return not ("style" in a and _HIDE.search(a["style"]))
 
 
@@ -222,11 +255,17 @@ def _inside(node: Node, out: _Lines, depth: int):
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     for child in node.children:
         if isinstance(child, str):
-            out.text(child)
+            if node.kind != "svg":
+                out.text(child)
             continue
         if not visible(child):
             continue
         name = child.name
+        if child.kind == "svg text" and (name == "text" or not {"x", "y", "dy"}.isdisjoint(child.attrs)):  # placed on its own
+            out.space = True
+            _inside(child, out, depth + 1)
+            out.space = True
+            continue
         if name == "br":
             out.newline()
         elif name == "hr":
@@ -234,7 +273,7 @@ def _inside(node: Node, out: _Lines, depth: int):
             out.gap = 1
         elif name == "img":
             out.text(child.attrs.get("alt", ""))
-        elif name in ("pre", "textarea", "listing"):
+        elif name in ("pre", "textarea", "listing", "xmp"):
             lines = _plain(child).replace("\r\n", "\n").replace("\r", "\n").removeprefix("\n").rstrip("\n").split("\n")
             out.block(lines if any(lines) else [], 1)
             out.gap = 1
@@ -300,7 +339,7 @@ def _rows(node: Node) -> tuple[list[Node], list[list[Node]]]:
         elif child.name == "tr":
             body.append(child)
         elif child.name in ("thead", "tbody", "tfoot"):
-            inner_other, rows = [x for x in child.children if isinstance(x, str) and x.strip()], [x for x in child.children if isinstance(x, Node) and x.name == "tr" and visible(x)]
+            inner_other, rows = [x for x in child.children if (x.strip() if isinstance(x, str) else x.name != "tr" and visible(x))], [x for x in child.children if isinstance(x, Node) and x.name == "tr" and visible(x)]
             other += inner_other
             {"thead": head, "tbody": body, "tfoot": foot}[child.name].extend(rows)
         else:
@@ -332,7 +371,7 @@ def _table(node: Node, depth: int) -> list[str]:
                 box = Node("td", {})
                 box.children = [cell]
                 cell = box
-            elif not visible(cell):
+            elif not visible(cell) or cell.name not in ("td", "th") and not any(render(cell, depth + 1)):
                 continue
             while taken.get(column, 0):
                 column += 1
