@@ -135,7 +135,7 @@ def paired_join(spark, d):
 
 @query("paired_bootstrap_rng")
 def paired_bootstrap_rng(spark, d):
-    return rounded(metrics.paired_bootstrap(_pairs(spark, d), 200), "delta", "p_value")
+    return rounded(metrics.paired_bootstrap(_pairs(spark, d)), "delta", "p_value")
 
 
 _POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
@@ -145,7 +145,7 @@ _POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.98101
 w AS (SELECT sample, d, {' + '.join(f'CAST(u >= {p!r}::DOUBLE AS INT)' for p in _POISSON)} AS k FROM e)
 SELECT CAST(sample AS INT) AS sample, round(sum(d * k) / sum(k), 6) AS delta FROM w WHERE k > 0 GROUP BY sample""")
 def bootstrap_hash(spark, d):
-    return rounded(metrics.paired_bootstrap_hashed(_pairs(spark, d), 20, 7), "delta")
+    return rounded(metrics.paired_bootstrap_hashed(_pairs(spark, d), seed=7), "delta")
 
 
 @query("percentile_positions", """WITH v AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS k, count(*) OVER () AS n FROM orders)
@@ -704,7 +704,7 @@ def bleu_corpus(spark, d):
 
 @query("bootstrap_ci_rng")
 def bootstrap_ci_rng(spark, d):
-    return rounded(metrics.chrf_interval(D.turns(spark, d), 50), "low", "high")
+    return rounded(metrics.chrf_interval(D.turns(spark, d)), "low", "high")
 
 
 @query("cyrillic_output_rate", f"""WITH {D.TEXTS}, r AS (SELECT lang, len(regexp_extract_all(t, '[Ѐ-ҁҊ-ӿ]')) / CAST(greatest(len(regexp_extract_all(t, '\\p{{L}}')), 1) AS DOUBLE) AS q FROM texts) SELECT lang, round(avg(CAST(q > 0.2 AS INT)), 6) AS rate FROM r GROUP BY lang""")

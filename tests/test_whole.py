@@ -2,11 +2,13 @@
 
 import hashlib
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tamga.operators import metrics
 from tamga.plans import queries as plans
 
 #: Nothing in it meets or breaks a constraint; over 5,000 characters.
@@ -121,3 +123,23 @@ def test_validate_lengths_whole(spark, tmp_path):
     rows = [(1, "x" * 100, "y" * 34), (2, "x" * 100, "y" * 35), (3, "x" * 20, "y" * 6), (4, "x" * 100, ""), (5, None, "y")]
     spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.row_id for r in plans.QUERIES["validate_lengths"](spark, str(tmp_path)).collect()) == ["1", "3"]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_resamples_whole(spark, monkeypatch):
+    rows = sorted((r.ord, r.a - r.b) for r in plans._pairs(spark, SMALL).collect())
+    rng, n, wins = random.Random(12345), len(rows), 0
+    whole = sum(x for _, x in rows)
+    for _ in range(1000):
+        d = sum(rows[rng.randrange(n)][1] for _ in range(n))
+        wins += d != 0 and (d > 0) == (whole > 0)
+    got = plans.QUERIES["paired_bootstrap_rng"](spark, SMALL).first()
+    assert got.n_samples == 1000 and got.p_value == pytest.approx(1 - wins / 1000)
+    hashed = plans.QUERIES["bootstrap_hash"](spark, SMALL)
+    assert sorted(r.sample for r in hashed.collect()) == list(range(200))
+    drawn, made = [], metrics.resample_indexes
+    monkeypatch.setattr(metrics, "resample_indexes", lambda spark, n, samples, seed: drawn.append(samples) or made(spark, n, samples, seed))
+    ends = plans.QUERIES["bootstrap_ci_rng"](spark, SMALL).first()
+    assert drawn == [500] and 0 <= ends.low < ends.high <= 100
