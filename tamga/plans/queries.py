@@ -118,7 +118,7 @@ t AS (SELECT model, b, c, unnest(range(0, least(b, c) + 1)) AS i FROM k WHERE b
 s AS (SELECT model, b, c, sum(factorial(CAST(b + c AS INT)) / (factorial(CAST(i AS INT)) * factorial(CAST(b + c - i AS INT)))) AS tail FROM t GROUP BY model, b, c)
 SELECT model, b, c, round(least(1.0::DOUBLE, 2.0 * CAST(tail AS DOUBLE) / pow(2.0, b + c)), 6) AS p_value FROM s""")
 def mcnemar_exact(spark, d):
-    k = metrics.mcnemar_counts(_pairs(spark, d), "model").where("b + c BETWEEN 1 AND 20")
+    k = metrics.mcnemar_counts(_pairs(spark, d), "model").where("b + c BETWEEN 0 AND 24")
     return k.select("model", "b", "c", F.round(stats.binomial_tail(F.col("b"), F.col("c")), 6).alias("p_value"))
 
 
@@ -208,7 +208,7 @@ def rate_limit_stateful(spark, d):
     from ..streaming.limits import accepted
 
     e = D.table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", "ts")
-    return accepted(e, limit=3)
+    return accepted(e)
 
 
 # ---- text ------------------------------------------------------------------------------------------------------------
@@ -709,7 +709,7 @@ def bootstrap_ci_rng(spark, d):
 
 @query("cyrillic_output_rate", f"""WITH {D.TEXTS}, r AS (SELECT lang, len(regexp_extract_all(t, '[Ѐ-ҁҊ-ӿ]')) / CAST(greatest(len(regexp_extract_all(t, '\\p{{L}}')), 1) AS DOUBLE) AS q FROM texts) SELECT lang, round(avg(CAST(q > 0.2 AS INT)), 6) AS rate FROM r GROUP BY lang""")
 def cyrillic_output_rate(spark, d):
-    return D.texts(spark, d).groupBy("lang").agg(F.round(metrics.share(T.cyrillic_ratio(F.col("t")) > 0.2), 6).alias("rate"))
+    return D.texts(spark, d).groupBy("lang").agg(F.round(metrics.share(T.cyrillic_ratio(F.col("t")) > 0.5), 6).alias("rate"))
 
 
 # ---- leaderboard -----------------------------------------------------------------------------------------------------

@@ -143,3 +143,23 @@ def test_resamples_whole(spark, monkeypatch):
     monkeypatch.setattr(metrics, "resample_indexes", lambda spark, n, samples, seed: drawn.append(samples) or made(spark, n, samples, seed))
     ends = plans.QUERIES["bootstrap_ci_rng"](spark, SMALL).first()
     assert drawn == [500] and 0 <= ends.low < ends.high <= 100
+
+
+def test_reference_limits(spark, tmp_path):
+    from math import comb
+
+    # model -> (b, c) discordant items, and two on which both are right
+    models = {"none": (0, 0), "one": (1, 0), "edge": (10, 11), "most": (4, 20), "over": (20, 5)}
+    rows = [(m, q, t) for m, (b, c) in models.items() for q, t, n in ((1, 1, b), (0, 0, c), (1, 0, 2)) for _ in range(n)]
+    spark.createDataFrame([(i, "x", "en", m, 1) for i, (m, _, _) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([(i, q, t) for i, (_, q, t) in enumerate(rows)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    want = {m: round(min(1.0, 2 * sum(comb(b + c, k) for k in range(min(b, c) + 1)) / 2 ** (b + c)), 6) for m, (b, c) in models.items() if b + c < 25}
+    assert {r.model: r.p_value for r in plans.QUERIES["mcnemar_exact"](spark, f"{tmp_path}/a").collect()} == want
+
+    # parts of Cyrillic letters: 0.3, exactly 0.5, 0.6
+    texts = [(1, "de", "жжжzzzzzzz"), (2, "en", "жz"), (3, "fr", "жжжzz")]
+    spark.createDataFrame(texts, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert {r.lang: r.rate for r in plans.QUERIES["cyrillic_output_rate"](spark, f"{tmp_path}/b").collect()} == {"de": 0.0, "en": 0.0, "fr": 1.0}
+
+    spark.range(7).select(F.lit(1).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts")).write.parquet(f"{tmp_path}/c/events.parquet")
+    assert sorted(r.event_id for r in plans.QUERIES["rate_limit_stateful"](spark, f"{tmp_path}/c").collect() if r.ok) == [0, 1, 2, 3, 4]
