@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._common import documents, stored_bytes
 
-SAMPLES, CHUNK = 24, 8
+SAMPLES, CHUNK = 40, 8
 #: Text (as stored) of one range, and ranges that are told apart by quantiles; more are made by equal parts of those.
 RANGE_BYTES, QUANTILES = 1 << 20, 256
 #: Ranges up to which their first ids are broadcast, 24 bytes each.
