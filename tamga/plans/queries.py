@@ -114,7 +114,7 @@ def mcnemar_counts(spark, d):
 
 
 @query("mcnemar_exact", f"""WITH {_PAIRS}, k AS (SELECT model, count(*) FILTER (WHERE a > 0 AND b <= 0) AS b, count(*) FILTER (WHERE b > 0 AND a <= 0) AS c FROM pairs GROUP BY model),
-t AS (SELECT model, b, c, unnest(range(0, least(b, c) + 1)) AS i FROM k WHERE b + c BETWEEN 1 AND 20),
+t AS (SELECT model, b, c, unnest(range(0, least(b, c) + 1)) AS i FROM k WHERE b + c BETWEEN 0 AND 24),
 s AS (SELECT model, b, c, sum(factorial(CAST(b + c AS INT)) / (factorial(CAST(i AS INT)) * factorial(CAST(b + c - i AS INT)))) AS tail FROM t GROUP BY model, b, c)
 SELECT model, b, c, round(least(1.0::DOUBLE, 2.0 * CAST(tail AS DOUBLE) / pow(2.0, b + c)), 6) AS p_value FROM s""")
 def mcnemar_exact(spark, d):
@@ -141,7 +141,7 @@ def paired_bootstrap_rng(spark, d):
 _POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
 
 
-@query("bootstrap_hash", f"""WITH {_PAIRS}, e AS (SELECT item_id, a - b AS d, s AS sample, CAST(('0x' || substring(md5('7|' || item_id || '|' || s), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM pairs, range(0, 20) t(s)),
+@query("bootstrap_hash", f"""WITH {_PAIRS}, e AS (SELECT item_id, a - b AS d, s AS sample, CAST(('0x' || substring(md5('7|' || item_id || '|' || s), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM pairs, range(0, 200) t(s)),
 w AS (SELECT sample, d, {' + '.join(f'CAST(u >= {p!r}::DOUBLE AS INT)' for p in _POISSON)} AS k FROM e)
 SELECT CAST(sample AS INT) AS sample, round(sum(d * k) / sum(k), 6) AS delta FROM w WHERE k > 0 GROUP BY sample""")
 def bootstrap_hash(spark, d):
@@ -266,8 +266,9 @@ def slug(spark, d):
     return D.table(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("name"))
 
 
-@query("quoted_terms", """SELECT doc_id, list_filter(list_transform(regexp_extract_all(q, '["«“„][^"»”“„\n]{1,80}["»”]|''[^''\n]{2,80}'''), lambda x: trim(substring(x, 2, length(x) - 2))), lambda x: length(x) > 0 AND length(x) < 80)::VARCHAR[] AS terms_list FROM
- (SELECT doc_id, regexp_replace(regexp_replace(substring(text, 1, 2000), '([a-z]+), ', '"\\1" ', 'g'), '([a-z]+)\\. ', '«\\1» ', 'g') AS q FROM documents WHERE NOT contains(text, chr(39))) """.replace("AS terms_list", "AS t").replace("SELECT doc_id, list_filter", "SELECT doc_id, array_to_string(list_filter", 1).replace("::VARCHAR[] AS t", ", '|') AS terms"))
+@query("quoted_terms", f"""WITH q AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '([a-z]+), ', '"\\1" ', 'g'), '([a-z]+)\\. ', '«\\1» ', 'g') AS q FROM documents),
+f AS (SELECT doc_id, list_transform(regexp_extract_all(q, '["«“„][^"»”“„\n]{{1,80}}["»”]|''[^''\n]{{2,80}}'''), lambda x: regexp_replace(substring(x, 2, length(x) - 2), '^{_S}+|{_S}+$', '', 'g')) AS found FROM q)
+SELECT doc_id, array_to_string(list_filter(found, lambda x: length(x) > 0 AND length(x) < 80 AND NOT starts_with(x, chr(92))), '|') AS terms FROM f""")
 def quoted_terms(spark, d):
     q = F.regexp_replace(F.regexp_replace("text", "([a-z]+), ", '"$1" '), r"([a-z]+)\. ", "«$1» ")
     return D.table(spark, d, "documents").select("doc_id", F.array_join(T.quoted_terms(q), "|").alias("terms"))
@@ -332,7 +333,7 @@ def extract_tagged(spark, d):
     return x.select("page_id", "x.value", "x.status")
 
 
-_BOLDS = "SELECT doc_id, regexp_replace(substring(text, 1, 3000), '([a-z]+), ', '**\\1** ', 'g') AS v FROM documents"
+_BOLDS = "SELECT doc_id, regexp_replace(text, '([a-z]+), ', '**\\1** ', 'g') AS v FROM documents"
 
 
 @query("extract_bold", f"""WITH b AS ({_BOLDS}), l AS (SELECT doc_id, v, regexp_extract_all(v, '\\*\\*([^*]+)\\*\\*', 1) AS f, coalesce(list_last(list_filter(string_split(v, chr(10)), lambda x: length(trim(x)) > 0)), v) AS line FROM b),
@@ -431,7 +432,7 @@ def reasoning_score(spark, d):
 
 # ---- constraints -----------------------------------------------------------------------------------------------------
 
-_DOCS = "docs AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(substring(text, 1, 4000), chr(10), chr(10) || chr(10)) WHEN doc_id % 3 = 0 THEN replace(substring(text, 1, 4000), chr(10), chr(10) || '- ') ELSE '\"' || substring(text, 1, 4000) || '\"' END AS v FROM documents)"
+_DOCS = "docs AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) WHEN doc_id % 3 = 0 THEN replace(text, chr(10), chr(10) || '- ') ELSE '\"' || text || '\"' END AS v FROM documents)"
 
 
 def _docs(spark, d):
@@ -623,7 +624,7 @@ def validate_mcq(spark, d):
     return validators.choice_problems(c, F.col("item_id"), F.col("options"), F.col("gold_index"))
 
 
-@query("validate_lengths", "SELECT CAST(doc_id AS VARCHAR) AS row_id, 'translation much shorter than the original' AS problem FROM documents WHERE length(source) > 0 AND length(source) < 0.35 * length(substring(text, 1, 20))")
+@query("validate_lengths", "SELECT CAST(doc_id AS VARCHAR) AS row_id, 'translation much shorter than the original' AS problem FROM documents WHERE length(source) > 0 AND length(source) < 0.35 * length(text)")
 def validate_lengths(spark, d):
     rows = D.table(spark, d, "documents").select("doc_id", F.col("text").alias("question"), F.col("source").alias("question_uzb"), F.lit("['a' 'b']").alias("options"), F.lit('["a", "b"]').alias("options_uzb"))
     return validators.translated_problems(rows, F.col("doc_id"))
@@ -707,7 +708,7 @@ def bootstrap_ci_rng(spark, d):
     return rounded(metrics.chrf_interval(D.turns(spark, d)), "low", "high")
 
 
-@query("cyrillic_output_rate", f"""WITH {D.TEXTS}, r AS (SELECT lang, len(regexp_extract_all(t, '[Ѐ-ҁҊ-ӿ]')) / CAST(greatest(len(regexp_extract_all(t, '\\p{{L}}')), 1) AS DOUBLE) AS q FROM texts) SELECT lang, round(avg(CAST(q > 0.2 AS INT)), 6) AS rate FROM r GROUP BY lang""")
+@query("cyrillic_output_rate", f"""WITH {D.TEXTS}, r AS (SELECT lang, len(regexp_extract_all(t, '[Ѐ-ҁҊ-ӿ]')) / CAST(greatest(len(regexp_extract_all(t, '\\p{{L}}')), 1) AS DOUBLE) AS q FROM texts) SELECT lang, round(avg(CAST(q > 0.5 AS INT)), 6) AS rate FROM r GROUP BY lang""")
 def cyrillic_output_rate(spark, d):
     return D.texts(spark, d).groupBy("lang").agg(F.round(metrics.share(T.cyrillic_ratio(F.col("t")) > 0.5), 6).alias("rate"))
 
