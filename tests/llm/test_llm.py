@@ -286,10 +286,36 @@ def test_bpe_against_library(spark):
     got = {r.doc_id: r for r in bpe.encode(rows, path).collect()}
     assert [list(got[i].token_ids) for i in range(len(texts))] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
     assert all(r.round_trip for r in got.values()) and got[-1].n_tokens == 0
-    digests = {r.doc_id: r.r.decoded_sha256 for r in rows.select("doc_id", bpe.round_trip_udf(path)(F.col("text")).alias("r")).collect()}
+    digests = {r.doc_id: r.r.decoded_sha256 for r in rows.select("doc_id", bpe.round_trip_udf(spark, path)(F.col("text")).alias("r")).collect()}
     assert all(digests[i] == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
 
 
+def test_bpe_odd(spark):
+    path = bpe.vocabulary()
+    rows = spark.createDataFrame([(1, "a b", "mine"), (1, "a b", "mine"), (2, None, None), (3, "", None)], "doc_id bigint, text string, token_ids string")
+    got = sorted((r.doc_id, len(r.token_ids), r.n_tokens, r.round_trip) for r in bpe.encode(rows, path).collect())
+    assert got == [(1, 2, 2, True), (1, 2, 2, True), (2, 0, 0, True), (3, 0, 0, True)]
+    assert bpe.encode(rows.limit(0), path).count() == 0
+    run = "".join(chr(33 + i * 7919 % 90) for i in range(60_000))  # nothing in it splits but kinds of characters
+    ids = rows.limit(1).select(bpe.encode_udf(spark, path)(F.lit(run)).alias("i")).select(bpe.decode_udf(spark, path)("i")).first()[0]
+    assert ids == run
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"decoder": None}])
+def test_bpe_raises_on_settings(tmp_path, change):
+    import json
+
+    with open(bpe.vocabulary(), encoding="utf-8") as f:
+        said = json.load(f) | change
+    (tmp_path / "t.json").write_text(json.dumps(said))
+    with pytest.raises(ValueError):
+        bpe.Automaton.load(str(tmp_path / "t.json"))
+    said = said | {k: None for k in change} | {"model": said["model"] | {"ignore_merges": True}}
+    (tmp_path / "t.json").write_text(json.dumps(said))
+    with pytest.raises(ValueError):
+        bpe.Automaton.load(str(tmp_path / "t.json"))
+
+
 def test_bpe_gadgets():
     """Arcs found one by one are those of the automaton that the gadgets build, and words come out as merging by rank does it."""
     rnd = random.Random(3)
