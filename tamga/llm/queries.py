@@ -7,7 +7,7 @@ from .exact_dedup import SQL6, op6
 from .fingerprints import op9
 from .html_text import op1
 from .language_id import op10
-from .minhash_dedup import op7
+from .minhash_dedup import SQL7, op7
 from .mixing import op2
 from .secret_scan import SQL3, op3
 from .suffix_dedup import op8
@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": SQL3, "op6_exact_dedup": SQL6}
+    return {"op3_secret_scan": SQL3, "op6_exact_dedup": SQL6, "op7_minhash_dedup": SQL7}

@@ -105,11 +105,11 @@ def near_brute(rows, k, percent):
     return sorted((i, len(s), root(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("block", [1024, 7])
+@pytest.mark.parametrize("block_bytes,block", [(2 << 20, 2048), (3000, 3)])
 @pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
-def test_near(spark, words, percent, block):
+def test_near(spark, words, percent, block_bytes, block):
     rows = [r for r in corpus(3, 150) + ODD if r[0] is not None and r[0] != 5007]
-    got = minhash_dedup.near_duplicates(frame(spark, rows), words=words, percent=percent, block=block)
+    got = minhash_dedup.near_duplicates(frame(spark, rows), words=words, percent=percent, block_bytes=block_bytes, block=block)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_brute(rows, words, percent)
 
 
@@ -123,7 +123,7 @@ def test_near_tight_group(spark):
         for _ in range(rnd.randint(0, 12)):
             words[rnd.randrange(90)] = f"w{rnd.random():.9f}"
         rows.append((i, " ".join(words)))
-    got = minhash_dedup.near_duplicates(frame(spark, rows), words=3, percent=85, block=16)
+    got = minhash_dedup.near_duplicates(frame(spark, rows), words=3, percent=85, block_bytes=12_000, block=4)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_brute(rows, 3, 85)
 
 
@@ -135,6 +135,19 @@ def test_near_odd(spark):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in ODD if i != 5007)
 
 
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_long_texts_in_pieces(monkeypatch, words):
+    """A text longer than a slice has the shingles that it has as a whole."""
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(WORDS) for _ in range(400)), "x" * 900, "a " * 500, " " * 700 + "b c" + " " * 700, " ".join("y" * rnd.randint(1, 300) for _ in range(20))]
+    raws = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    with np.errstate(over="ignore"):
+        whole = [minhash_dedup.shingles(r, np.array([0, len(r)]), words)[0] for r in raws]
+        monkeypatch.setattr(minhash_dedup, "SLICE", 256)
+        hashes, cut = minhash_dedup.shingle_sets(np.concatenate(raws), np.cumsum([0, *map(len, raws)]), words)
+    assert [hashes[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])] == [w.tolist() for w in whole]
+
+
 def test_pigeonhole():
     """Signatures that differ in as many places as the join guarantees share a key, wherever the places are."""
     most = minhash_dedup.CHUNKS * (minhash_dedup.ERRORS + 1) - 1
