@@ -22,10 +22,12 @@ FILTER_BYTES = 4 << 20
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share: the cluster's, or one of our own where none is named, as in tests."""
+    """The folder that driver and executors share: the cluster's, or one of our own where a local session names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tamga-"))
     return sc.getCheckpointDir()
 
@@ -37,6 +39,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark) -> None:
     """Let go of shuffle files that no frame refers to any more. They go when the driver's collector runs, which a driver
     with little to do puts off for long; after a step that moved much and is saved it is worth a call."""
@@ -162,6 +171,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while wish.lower() in have:
+        wish += "_"
+    return wish
+
+
 def documents(spark, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -13,10 +13,10 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, documents, flat, slices, tidy
+from ._common import bounded_batches, documents, flat, free_name, slices, tidy
 
 DIM, SEED, SYMBOLS = 1024, 20240229, 128
 #: Bundled trigram vectors that a worker keeps.
@@ -162,11 +162,32 @@ def _predictor(names: list[str], prototypes: np.ndarray):
     return F.arrow_udf(predict, "lang string, score double")
 
 
+def predicted(names: list[str], prototypes: np.ndarray, text: Column) -> Column:
+    """struct<lang, score> of a text: the nearest language and its cosine. Null text or text without a letter: `und`, 0. Ties
+    go to the first name. Where nothing was learnt every text is `und`."""
+    return _predictor(names, prototypes)(text)
+
+
 def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score. Null text or text without a letter: `und`, 0. Ties go to the first name."""
+    """docs with lang_pred and score, see predicted(); columns of these names are replaced, others and repeated rows stay."""
+    bounded_batches(docs.sparkSession)
+    name = free_name(docs, "said")
+    got = docs.withColumn(name, predicted(names, prototypes, F.col(text_col)))
+    return got.withColumn("lang_pred", F.col(name)["lang"]).withColumn("score", F.col(name)["score"]).drop(name)
+
+
+def known(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Documents that resemble a language, with that language as their lang_col; all columns stay, and only that one changes.
+
+    A document is rejected if it has no letter or its cosine with every language is 0 or less. If nothing was learnt, all
+    documents with a letter stay as they are.
+    """
     bounded_batches(docs.sparkSession)
-    got = docs.withColumn("__lang", _predictor(names, prototypes)(F.col(text_col)))
-    return got.withColumn("lang_pred", F.col("__lang.lang")).withColumn("score", F.col("__lang.score")).drop("__lang")
+    if not names:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    name = free_name(docs, "said")
+    got = docs.withColumn(name, predicted(names, prototypes, F.col(text_col)))
+    return got.where((F.col(name)["lang"] != "und") & (F.col(name)["score"] > 0)).withColumn(lang_col, F.col(name)["lang"]).drop(name)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,12 +1,13 @@
 """Mixing sources to target weights with soft membership.
 
-A classifier learnt from a labelled table gives each document a posterior over domains. Rates r_d >= 0 say how often a
+A classifier learnt from a labelled table gives each document a posterior p_d over domains. Rates r_d >= 0 say how often a
 document should be taken, such that the expected tokens of each domain, sum of r_d n_d p_d(domain), meet target weights.
-They solve a least-squares problem by projected gradient descent, which needs one distributed sum per domain and step.
+They solve a least-squares problem by projected gradient descent over all documents: each step is one distributed sum per
+domain, then every rate moves against its own gradient and is put back into its bounds. Residuals are measured in the
+metric of the posteriors' second moments, in which few steps suffice.
 
-Posteriors are rounded to a grid of GRID parts. A rate then hangs on the grid cell alone, since all documents start from
-one rate and each step changes a rate by a function of its posterior: so token sums per cell are taken once, the steps run
-over the cells, and any document's rate follows from its own cell and the steps' residuals. Nothing is joined back.
+All rates start from one value and a step moves a rate by a function of its document's posterior, so a rate follows from the
+posterior and the residuals of the steps so far: nothing is written or joined between steps, and no posterior is rounded.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, documents, flat, saved, slices, tidy
+from ._common import bounded_batches, documents, flat, free_name, saved, slices, tidy
 
 #: Labelled rows that teach the classifier at most: those with the least hash of their id.
 TRAIN_ROWS = 20_000
 BUCKETS, SMOOTHING, SHARPNESS = 1 << 16, 0.5, 40.0
-GRID, STEPS, RIDGE = 64, 60, 1e-3
+#: Steps at most, and the largest error of a domain's share of the tokens at which they end.
+STEPS, ENOUGH = 60, 1e-5
 #: Domains are the kinds of labelled documents: clean, poor, toxic; wanted shares of the tokens.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = (0.9, 0.08, 0.02)
@@ -88,106 +90,175 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return (log - log.mean(0)).astype(np.float32).T
 
 
-def membership(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens and cell: for each domain the posterior in parts of GRID, parts adding up to GRID.
+def posteriors(text: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text and its posterior: a soft-max of the mean evidence per token, times SHARPNESS. Null text and text
+    without tokens: no tokens and equal parts."""
+    raw, at = flat(text)
+    n, k = len(at) - 1, len(DOMAINS)
+    tokens, evidence = np.zeros(n, np.int64), np.zeros((n, k))
+    for i, j in slices(at, SLICE):
+        with np.errstate(over="ignore"):
+            row, bucket = token_buckets(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+        tokens[i:j] = np.bincount(row, minlength=j - i)
+        for c in range(k):
+            evidence[i:j, c] = np.bincount(row, weights[bucket, c], minlength=j - i)
+    mean = SHARPNESS * evidence / np.maximum(tokens, 1)[:, None]
+    p = np.exp(mean - mean.max(1, keepdims=True))
+    return tokens, p / p.sum(1, keepdims=True)
 
-    The posterior is a soft-max of the mean evidence per token, times SHARPNESS. Null text and text without tokens: no
-    tokens and equal parts, as far as GRID divides.
-    """
-    k = len(DOMAINS)
+
+def membership(docs: DataFrame, weights: np.ndarray, text_col: str = "text", as_col: str = "member") -> DataFrame:
+    """docs with a column struct<n_tokens, p>: tokens of the text and its posterior over DOMAINS."""
     bounded_batches(docs.sparkSession)
 
     def run(text: pa.Array) -> pa.Array:
-        raw, at = flat(text)
-        n = len(at) - 1
-        tokens, evidence = np.zeros(n, np.int64), np.zeros((n, k))
-        for i, j in slices(at, SLICE):
-            with np.errstate(over="ignore"):
-                row, bucket = token_buckets(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-            tokens[i:j] = np.bincount(row, minlength=j - i)
-            for c in range(k):
-                evidence[i:j, c] = np.bincount(row, weights[bucket, c], minlength=j - i)
-        mean = SHARPNESS * evidence / np.maximum(tokens, 1)[:, None]
-        p = np.exp(mean - mean.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        parts = np.floor(p * GRID).astype(np.int64)
-        # largest remainders get what is left
-        left, order = GRID - parts.sum(1), np.argsort(-(p * GRID - parts), axis=1, kind="stable")
-        for c in range(k):
-            np.add.at(parts, (np.arange(n), order[:, c]), (left > c).astype(np.int64))
+        tokens, p = posteriors(text, weights)
+        at = pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(DOMAINS))
         tidy()
-        return pa.StructArray.from_arrays([pa.array(tokens), pa.array(list(parts.astype(np.int32)), pa.list_(pa.int32()))], ["n_tokens", "cell"])
+        return pa.StructArray.from_arrays([pa.array(tokens), pa.ListArray.from_arrays(at, pa.array(p.reshape(-1)))], ["n_tokens", "p"])
 
-    got = docs.withColumn("__mix", F.arrow_udf(run, "n_tokens bigint, cell array<int>")(F.col(text_col)))
-    return got.withColumn("n_tokens", F.col("__mix.n_tokens")).withColumn("cell", F.col("__mix.cell")).drop("__mix")
+    return docs.withColumn(as_col, F.arrow_udf(run, "n_tokens bigint, p array<double>")(F.col(text_col)))
 
 
-def _stepped(start: float, most: float | None, moves: list[list[float]]) -> Column:
-    """The rate of a row's cell after some steps."""
-    rate = F.lit(float(start))
-    if not moves:
-        return rate
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
-    cell = F.transform("cell", lambda c: c / F.lit(float(GRID)))
+class Plan:
+    """Steps of the descent: a rate starts at `start`, each of `moves` (one number per domain) takes its product with the
+    posterior off it, and it stays from 0 to `most`. missed: the largest error of a domain's share, as a part of the budget."""
 
-    def step(r: Column, m: Column) -> Column:
-        slope = F.aggregate(F.zip_with(cell, m, lambda p, e: p * e), F.lit(0.0), lambda s, x: s + x)
-        moved = F.greatest(r * F.lit(1.0 - RIDGE) + F.lit(RIDGE * start) - slope, F.lit(0.0))
-        return F.least(moved, F.lit(float(most))) if most is not None else moved
+    def __init__(self, start: float, most: float | None):
+        self.start, self.most, self.moves, self.missed = float(start), most, [], 0.0
 
-    return F.aggregate(steps, rate, step)
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        r = np.full(len(p), self.start)
+        for move in self.moves:
+            r = np.clip(r - p @ move, 0.0, self.most)
+        return r
 
+    def column(self, p: Column) -> Column:
+        """The rate as a column: each term is a product of two plain numbers, so that it equals rates()."""
+        rate = F.lit(self.start)
+        if not self.moves:
+            return rate
+        steps = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in self.moves])
 
-def fit(members: DataFrame, targets=TARGETS, budget: float = 1.0, most: float | None = None) -> list[list[float]]:
-    """Residual moves of each step. members: n_tokens, cell. budget: wanted tokens as a share of all; most: upper bound of a
-    rate. The objective is half the squared distance of the domains' token shares from budget * targets, plus a small pull
-    towards the rate `budget` that makes the solution one. An empty table gives no steps.
-    """
-    # GRID bounds the number of cells, whatever the input
-    cells = saved(members.groupBy("cell").agg(F.sum("n_tokens").cast("double").alias("n")).repartition(2))
-    total = cells.agg(F.sum("n")).first()[0]
-    if not total:
-        return []
-    share = np.array(targets, float) / sum(targets) * budget
-    part = [F.sum(F.col("n") / F.lit(total) * F.col("rate") * F.col("cell")[c] / GRID) for c in range(len(DOMAINS))]
-    # a step of 1 over the largest eigenvalue of sum n p p' / total
-    k = range(len(DOMAINS))
-    second = cells.agg(*[F.sum(F.col("n") / F.lit(total) * F.col("cell")[a] * F.col("cell")[b] / float(GRID * GRID)) for a in k for b in k]).first()
-    largest = float(np.linalg.eigvalsh(np.array(second, float).reshape(len(DOMAINS), -1))[-1])
-    moves: list[list[float]] = []
-    for _ in range(STEPS):
-        now = np.array([float(x) for x in cells.select("n", "cell", _stepped(budget, most, moves).alias("rate")).agg(*part).first()])
-        if np.abs(now - share).max() < 1e-4:
+        def step(r: Column, m: Column) -> Column:
+            slope = F.aggregate(F.zip_with(p, m, lambda a, e: a * e), F.lit(0.0), lambda s, x: s + x)
+            moved = F.greatest(r - slope, F.lit(0.0))
+            return F.least(moved, F.lit(float(self.most))) if self.most is not None else moved
+
+        return F.aggregate(steps, rate, step)
+
+
+def _sums(plan: Plan):
+    """Batches of (n_tokens, p) -> tokens; tokens by domain at the rates of the plan; second moments of p over all documents, and
+    over those whose rate is inside its bounds."""
+    k = len(DOMAINS)
+
+    def run(batches):
+        total = np.zeros(1 + k + 2 * k * k)
+        for batch in batches:
+            n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            w, r = n[:, None] * p, plan.rates(p)
+            inside = (r > 0) & (r < (np.inf if plan.most is None else plan.most))
+            total += np.concatenate([[n.sum()], r @ w, (w.T @ p).reshape(-1), (w[inside].T @ p[inside]).reshape(-1)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
+
+    return run
+
+
+def _solved(sums, targets, budget: float | None, most: float | None) -> Plan:
+    """The descent, given sums(plan) -> what _sums gives for all documents. A step that doesn't bring the residual down is taken
+    back and tried again smaller."""
+    share = np.array(targets, float) / sum(targets)
+    k = len(share)
+    plan = Plan(1.0 if budget is None else budget, most)
+    # with a free budget the aim is sum of r n (p - share) = 0 instead of sum of r n p = budget * share
+    turn = np.eye(k) - (np.outer(share, np.ones(k)) if budget is None else 0)
+    goal = np.zeros(k) if budget is None else budget * share
+    inverse = lambda x: np.linalg.pinv(x, rcond=1e-9, hermitian=True)
+
+    def state():
+        x = sums(plan)
+        if not x[0]:
+            return None
+        now = x[1 : 1 + k] / x[0]
+        every, inside = (turn @ m @ turn.T / x[0] for m in x[1 + k :].reshape(2, k, k))
+        error, scale = turn @ now - goal, now.sum() if budget is None else budget
+        # nothing taken meets any shares, but isn't meant
+        size = error @ inverse(every) @ error / scale**2 if scale > 0 else np.inf
+        return error, np.abs(error).max() / scale if scale > 0 else np.inf, size, every, inside
+
+    at, part = state(), 0.05
+    for _ in range(STEPS if at else 0):
+        error, plan.missed, size, every, inside = at
+        if plan.missed <= ENOUGH:
             break
-        moves.append(((now - share) / largest).tolist())
-    return moves
+        # the metric of the rates that can move, with a part of the safe metric of all; the gradient of a rate is (turn p) times this
+        plan.moves.append(turn.T @ (inverse((1 - part) * inside + part * every) @ error))
+        after = state()
+        if after[2] < 0.999 * size:
+            at, part = after, max(part / 3, 0.01)
+            plan.missed = at[1]
+        else:
+            plan.moves.pop()
+            if part >= 1:
+                break
+            part = min(1.0, 3 * part)
+    return plan
+
+
+def fit(members: DataFrame, targets=TARGETS, budget: float | None = 1.0, most: float | None = None) -> Plan:
+    """The plan of rates. members: n_tokens, p. budget: wanted tokens as a share of all, None if only the shares of the domains
+    among what is taken matter; most: upper bound of a rate. An empty table, or one without tokens, gives no steps. Targets that
+    cannot be met are met as nearly as possible, and far-off ones as nearly as STEPS steps come; see Plan.missed."""
+    k = len(DOMAINS)
+    rows = members.select("n_tokens", "p")
+
+    def sums(plan: Plan) -> np.ndarray:
+        table = rows.mapInArrow(_sums(plan), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        x = np.zeros(1 + k + 2 * k * k)
+        x[table.column("i").to_numpy()] = table.column("x").to_numpy()
+        return x
 
+    return _solved(sums, targets, budget, most)
 
-def rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float = 1.0, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float | None = 1.0, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_tokens, p_<domain> for each domain, rate.
 
     labels: doc_id, quality, toxic (0 or 1). Rows repeat as they do in docs; null ids teach nothing but get a rate. With no
-    labels all posteriors are equal; an empty table gives an empty result. Other columns are ignored.
+    labels all posteriors are equal; an empty table gives an empty result. Equal texts have equal rates. Other columns are
+    ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     weights = learn(rows, labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
-    members = saved(membership(rows, weights).select("doc_id", "n_tokens", "cell"))
-    moves = fit(members, targets, budget, most)
-    out = members.withColumn("rate", _stepped(budget, most, moves))
-    shares = [(F.col("cell")[c] / float(GRID)).alias(f"p_{name}") for c, name in enumerate(DOMAINS)]
-    return out.select(F.col("doc_id").alias(id_col), "n_tokens", *shares, "rate")
+    members = saved(membership(rows, weights).select("doc_id", "member.*"))
+    plan = fit(members, targets, budget, most)
+    shares = [F.col("p")[c].alias(f"p_{name}") for c, name in enumerate(DOMAINS)]
+    return members.select(F.col("doc_id").alias(id_col), "n_tokens", *shares, plan.column(F.col("p")).alias("rate"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float = 1.0, most: float | None = 1.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float | None = None, most: float | None = 1.0) -> DataFrame:
     """docs taken at their rates: whole parts of a rate repeat a row, the rest is drawn by a hash of doc_id. Columns as they
-    were. A row with a null id is drawn with the hash of null."""
+    were, whatever their names.
+
+    By default no row is repeated and the budget is free: rates come down from 1 only as far as the domains' shares ask for
+    it. Rows that share an id, null included, are drawn by the same number; an empty table gives an empty result.
+    """
     weights = learn(docs.select("doc_id", "text"), labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
-    members = membership(docs, weights)
-    moves = fit(members.select("n_tokens", "cell"), targets, budget, most)
-    drawn = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = _stepped(budget, most, moves)
-    times = (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("bigint")).cast("int")
-    return members.withColumn("__times", times).where("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    plan = fit(saved(membership(docs.select("text"), weights).select("member.*")), targets, budget, most)
+    name = free_name(docs, "member")
+    rate = plan.column(F.col(name)["p"])
+    times = (F.floor(rate) + (drawn() < rate - F.floor(rate)).cast("bigint")).cast("int")
+    taken = membership(docs, weights, as_col=name).withColumn(name, times).where(F.col(name) > 0)
+    if most is None or most > 1:
+        taken = taken.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name))))
+    return taken.drop(name)
+
+
+def drawn() -> Column:
+    """A number from [0, 1) for a row."""
+    return F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
 
 
 def labels_of(spark, sf_dir: str) -> DataFrame:
@@ -196,4 +267,4 @@ def labels_of(spark, sf_dir: str) -> DataFrame:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     got = rates(documents(spark, sf_dir, "doc_id", "text"), labels_of(spark, sf_dir))
-    return got.select("doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS], F.round("rate", 9).alias("rate"))
+    return got.select("doc_id", "n_tokens", *[F.round(f"p_{d}", 9).alias(f"p_{d}") for d in DOMAINS], F.round("rate", 9).alias("rate"))

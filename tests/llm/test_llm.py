@@ -398,15 +398,74 @@ def test_language(spark):
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 
 
+def plain_posterior(text, weights):
+    """The posterior of one text, token by token."""
+    tokens = [x for x in re.split(rb"[ \t\n\x0b\f\r]+", (text or "").encode()) if x]
+    total = np.zeros(len(mixing.DOMAINS))
+    for token in tokens:
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in token)
+        a = sum(int(mixing._BYTE[c]) for c in low) % 2**64
+        b = sum(int(mixing._BYTE[c]) * k for k, c in enumerate(low)) % 2**64
+        code = (b + a * 0x9E3779B97F4A7C15) % 2**64
+        code = (code ^ (code >> 31)) * 0xBF58476D1CE4E5B9 % 2**64
+        total += weights[(code >> 48) % mixing.BUCKETS]
+    e = np.exp(mixing.SHARPNESS * total / max(len(tokens), 1))
+    return len(tokens), e / e.sum()
+
+
 def test_mixing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = mixing.labels_of(spark, "/root/testdata/sf0.01")
     got = mixing.rates(docs, labels).toPandas()
     assert len(got) == docs.count() and (got.rate >= 0).all()
     total = got.n_tokens.sum()
-    for name, target in zip(mixing.DOMAINS, mixing.TARGETS):
-        assert abs((got.n_tokens * got.rate * got[f"p_{name}"]).sum() / total - target) < 0.01
+    p = got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    for c, target in enumerate(mixing.TARGETS):
+        assert abs((got.n_tokens * got.rate * p[:, c]).sum() / total - target) < 1e-4
+    # posteriors against a plain version
+    weights = mixing.learn(docs, labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for i, n, q in list(zip(got.doc_id, got.n_tokens, p))[:120]:
+        tokens, plain = plain_posterior(text[i], weights)
+        assert tokens == n and np.abs(plain - q).max() < 1e-5
     odd = mixing.rates(frame(spark, ODD), labels.limit(0)).collect()
     assert len(odd) == len(ODD) and mixing.rates(frame(spark, EMPTY), labels).count() == 0
+
+
+@pytest.mark.parametrize("budget,most,targets", [(1.0, None, (0.9, 0.08, 0.02)), (0.6, 1.0, (0.5, 0.3, 0.2)), (None, 1.0, (0.7, 0.2, 0.1)), (None, 1.0, (0.8, 0.15, 0.05)), (1.0, 1.0, (0.2, 0.2, 0.6))])
+def test_mixing_solution(spark, budget, most, targets):
+    """Rates against a plain projected gradient descent in small steps over all documents."""
+    rnd = np.random.default_rng(4)
+    n, p = rnd.integers(0, 400, 300), rnd.dirichlet((3.0, 1.0, 0.5), 300)
+    rows = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens bigint, p array<double>").repartition(5)
+    plan = mixing.fit(rows, targets, budget, most)
+    r = plan.rates(p)
+    said = sorted(x.rate for x in rows.select(plan.column(F.col("p")).alias("rate")).collect())
+    assert np.abs(np.array(said) - np.sort(r)).max() < 1e-9 and (r >= 0).all() and (most is None or r.max() <= most)
+    w, t = n[:, None] * p / n.sum(), np.array(targets)
+    plain = np.full(300, 1.0 if budget is None else budget)
+    turn = np.eye(3) - (np.outer(t, np.ones(3)) if budget is None else 0)
+    second = np.linalg.pinv(turn @ (w.T @ p) @ turn.T, rcond=1e-9)
+    miss = lambda x: turn @ (x @ w) - (0 if budget is None else budget * t)
+    for _ in range(20_000):
+        plain = np.clip(plain - 0.02 * (p @ turn.T) @ second @ miss(plain), 0, most)
+    assert miss(r) @ second @ miss(r) <= 1.01 * (miss(plain) @ second @ miss(plain)) + 1e-4
+    assert (plan.missed < 1e-4) == ((budget, most) in ((1.0, None), (None, 1.0)))
+    if plan.missed < 1e-4:  # the others can't be met
+        kept = r @ w
+        assert np.abs(kept / (kept.sum() if budget is None else budget) - t).max() < 1e-4
+
+
+def test_mix(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = mixing.labels_of(spark, "/root/testdata/sf0.01")
     left = mixing.mix(docs, labels)
     assert left.columns == docs.columns and left.select("doc_id").distinct().count() == left.count() < docs.count()
+    # columns of any name come through as they were; rows that share an id go together
+    rows = frame(spark, corpus(9, 60) + ODD).withColumns({"n_tokens": F.lit(-7), "cell": F.lit("mine"), "member": F.lit(3), "Member_": F.lit(4), "p": F.lit(5)})
+    kept = mixing.mix(rows, labels).collect()
+    assert all((r.n_tokens, r.cell, r.member, r["Member_"], r.p, r.rate) == (-7, "mine", 3, 4, 5, 7) for r in kept)
+    assert sum(r.doc_id == 5007 for r in kept) in (0, 2)
+    twice = mixing.mix(rows, labels, budget=2.0, most=None)
+    assert twice.columns == rows.columns and twice.count() == 2 * rows.count()
+    assert mixing.mix(rows.limit(0), labels).count() == 0

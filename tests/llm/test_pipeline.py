@@ -28,23 +28,44 @@ def test_stages_and_whole(spark, tmp_path):
         assert now.columns == list(corpus_pipeline.COLUMNS), name
     assert sorted(r.doc_id for r in now.select("doc_id").collect()) == left
     # mixing: a document stays by a draw of its id against its rate
-    rate = {r.doc_id: r.rate for r in mixing.rates(now, mixing.labels_of(spark, source), most=1.0).collect()}
+    rate = {r.doc_id: r.rate for r in mixing.rates(now, mixing.labels_of(spark, source), budget=None, most=1.0).collect()}
     drawn = {r.doc_id: r.u for r in now.select("doc_id", (F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("u")).collect()}
     want = sorted(i for i in left if rate[i] >= 1 or drawn[i] < rate[i])
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, source).collect()}
     assert sorted(got) == want
+    # the domains' shares of the tokens are met in expectation
+    kept = mixing.rates(now, mixing.labels_of(spark, source), budget=None, most=1.0).toPandas()
+    for name, target in zip(mixing.DOMAINS, mixing.TARGETS):
+        assert abs((kept.n_tokens * kept.rate * kept[f"p_{name}"]).sum() / (kept.n_tokens * kept.rate).sum() - target) < 1e-4
+    # the language that was found goes with a document
+    names, prototypes = language_id.trained(docs)
+    found = {r.doc_id: r.lang_pred for r in language_id.identify(docs, names, prototypes).collect()}
+    assert all(r.lang == found[i] for i, r in got.items())
     enc = bpe.encoder(bpe.vocabulary())
     for i, r in got.items():
         assert r.round_trip and enc.decode(b"".join(x.to_bytes(4, "little") for x in r.token_ids)).decode() == text[i]
 
 
 def test_odd_documents(spark):
-    odd = spark.createDataFrame([(1, None, None, None, 0), (2, "", "en", "s", 0), (3, "the of and", "en", "s", 10), (3, "the of and", "en", "s", 10), (4, "THE of and", "en", "s", 10)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for _, stage in corpus_pipeline.STAGES:
-        for df in (odd, odd.limit(0)):
-            assert stage(spark, df, "/root/testdata/sf0.001").count() <= 5
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    odd = spark.createDataFrame([(1, None, None, None, 0), (2, "", "en", "s", 0), (3, "the of and", "en", "s", 10), (3, "the of and", "en", "s", 10), (4, "THE of and", "en", "s", 10), (None, "le la les", None, None, None)], schema)
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    source = "/root/testdata/sf0.001"
+    want = [["3", "3", "4", "None"], ["2", "3", "3", "4", "None"], ["1", "2", "3", "3", "None"], None, ["1", "2", "3", "3", "4", "None"]]
+    for (_, stage), kept in zip(corpus_pipeline.STAGES, want):
+        got = ids(stage(spark, odd, source))
+        # what mixing takes hangs on the draw; each row is taken once at most, rows that share an id alike
+        assert got == kept if kept is not None else set(got) <= set(ids(odd)) and got.count("3") in (0, 2)
+        assert stage(spark, odd.limit(0), source).count() == 0
 
 
 def test_rejects(spark):
-    df = spark.createDataFrame([(1, "12 34", "en", "s", 5), (2, "le la les", "fr", "s", 9)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    assert [r.doc_id for r in corpus_pipeline.known_language(spark, df, "").collect()] == [2] or language_id.trained(df)[0] == []
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(1, "12 34", "en", "s", 5)] + [(i, ("le la les", "the of and")[i % 2], ("fr", "en")[i % 2], "s", 9) for i in range(2, 40)]
+    df = spark.createDataFrame(rows, schema).withColumn("said", F.lit(1)).withColumn("score", F.lit("mine"))
+    got = {r.doc_id: r for r in corpus_pipeline.known_language(spark, df.withColumn("lang", F.when(F.col("doc_id") != 2, F.col("lang"))), "").collect()}
+    assert sorted(got) == list(range(2, 40)) and all(r.said == 1 and r.score == "mine" and r.lang == ("fr", "en")[i % 2] for i, r in got.items())
+    assert language_id.trained(df)[0] == ["en", "fr"]
+    # without labels nothing is learnt, and no document with a letter goes
+    bare = df.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, bare, "").collect()) == list(range(2, 40))
