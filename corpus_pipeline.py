@@ -1,6 +1,7 @@
 """A training corpus from `documents`, in five stages; each takes all that its predecessor kept.
 
-run() applies the stages to the table in a folder. Between stages the rows are written as Parquet to the shared folder.
+run() applies the stages to the table in a folder. Between stages the rows are written as Parquet to the shared folder; a
+stage's folder goes when the next one is written, that of the last but one stage stays, since the result is read from it.
 """
 
 from __future__ import annotations
@@ -10,16 +11,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tamga.llm import bpe, exact_dedup, language_id, minhash_dedup, mixing
-from tamga.llm._common import shared_folder
+from tamga.llm._common import removed, shared_folder
 
 #: Columns of `documents`, which every stage but the last returns.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; those without a letter go. Profiles are learnt from the documents themselves."""
+    """Documents that resemble a language, with the language that was found as `lang`. Profiles are learnt from the documents
+    themselves; where none can be learnt, documents with a letter stay as they are."""
     names, prototypes = language_id.trained(docs)
-    return language_id.identify(docs, names, prototypes).where("lang_pred <> 'und'").select(*docs.columns)
+    return language_id.known(docs, names, prototypes)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,8 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at the rates that bring the token shares of the domains to their targets; no document is repeated."""
+    """Documents at rates that bring the token shares of the domains to their targets, as few as possible left out; no document
+    is repeated."""
     return mixing.mix(docs, mixing.labels_of(spark, sf_dir))
 
 
@@ -57,10 +60,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, written = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}_{name}")
-            docs = spark.read.parquet(f"{folder}/{k}_{name}")
+            written.append(f"{folder}/{k}_{name}")
+            docs.write.parquet(written[-1])
+            docs = spark.read.parquet(written[-1])
+            if k:
+                removed(spark, written[-2])
     return docs
