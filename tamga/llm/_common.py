@@ -54,9 +54,9 @@ def release(spark) -> None:
 
 
 def bounded_batches(spark) -> None:
-    """Arrow batches of 2,000 rows and 16 MB at most, unless the session has settings of its own: at the defaults a batch of
+    """Arrow batches of 1,000 rows and 8 MB at most, unless the session has settings of its own: at the defaults a batch of
     long texts, which JVM and worker hold at the same time, takes hundreds of MB for each core."""
-    for key, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16m")):
+    for key, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
         try:
             if spark.conf.get(key) == _arrow_defaults.setdefault(key, spark.conf.get(key)):
                 spark.conf.set(key, ours)

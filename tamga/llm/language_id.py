@@ -22,6 +22,8 @@ DIM, SEED, SYMBOLS = 1024, 20240229, 128
 #: Bundled trigram vectors that a worker keeps.
 HELD = 24_000
 SLICE = 1 << 18
+#: Trigram vectors that are added up at once.
+PART = 2048
 
 
 @functools.cache
@@ -151,7 +153,10 @@ def _predictor(names: list[str], prototypes: np.ndarray):
                 slots = bundler.slots(used)[back]
             cut = np.flatnonzero(np.diff(rows, prepend=-1))
             for a, b in zip(cut, [*cut[1:], len(rows)]):
-                vector = n[a:b] @ (bundler.vectors[slots[a:b]] if slots is not None else bound(grams[a:b])).astype(np.float32)
+                vector = np.zeros(DIM, np.float32)
+                for c in range(a, b, PART):
+                    d = min(c + PART, b)
+                    vector += n[c:d] @ (bundler.vectors[slots[c:d]] if slots is not None else bound(grams[c:d])).astype(np.float32)
                 near = prototypes @ vector / max(float(np.linalg.norm(vector)), 1e-9)
                 best[i + rows[a]] = k = int(np.argmax(near))
                 score[i + rows[a]] = min(1.0, max(0.0, float(near[k])))
@@ -159,7 +164,8 @@ def _predictor(names: list[str], prototypes: np.ndarray):
         said = pa.array([names[k] if k >= 0 else "und" for k in best.tolist()], pa.string())
         return pa.StructArray.from_arrays([said, pa.array(score)], ["lang", "score"])
 
-    return F.arrow_udf(predict, "lang string, score double")
+    # what is said to be nondeterministic is not worked out twice where it is both filtered by and kept
+    return F.arrow_udf(predict, "lang string, score double").asNondeterministic()
 
 
 def predicted(names: list[str], prototypes: np.ndarray, text: Column) -> Column:

@@ -21,7 +21,10 @@ from ._common import bounded_batches, documents, flat, free_name, saved, slices,
 
 #: Labelled rows that teach the classifier at most: those with the least hash of their id.
 TRAIN_ROWS = 20_000
-BUCKETS, SMOOTHING, SHARPNESS = 1 << 16, 0.5, 40.0
+BUCKETS, SMOOTHING = 1 << 16, 1.0
+#: Of ten labelled rows so many are counted; the others tell what the counts are worth. A token's evidence above STRONG stands
+#: out whatever the length of its text.
+COUNTED, STRONG, FIT_STEPS, FIT_DECAY = 6, 2.0, 300, 1e-4
 #: Steps at most, and the largest error of a domain's share of the tokens at which they end.
 STEPS, ENOUGH = 60, 1e-5
 #: Domains are the kinds of labelled documents: clean, poor, toxic; wanted shares of the tokens.
@@ -73,46 +76,96 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when((toxic == 0) & (quality == 0), 1).when((toxic == 0) & (quality == 1), 0)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log-likelihood ratios per bucket and domain, from at most TRAIN_ROWS labelled documents; all rows may be zero.
+class Model:
+    """weights: evidence of each bucket for each domain; spread, turn: how a document's features become the exponents of its
+    posterior. Made of zeros it gives equal parts."""
 
-    labels: doc_id, domain (position). Of a repeated doc_id one label counts. What reaches the driver is one number per
-    domain and bucket.
+    def __init__(self, weights: np.ndarray):
+        n = 2 + 3 * len(DOMAINS)
+        self.weights, self.middle, self.spread, self.turn = weights, np.zeros(n), np.ones(n), np.zeros((n, len(DOMAINS)))
+
+    def features(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text, and its features: 1, log of its length, and for each domain the evidence of its tokens by their
+        number, by the root of it, and the log of what is strong."""
+        raw, at = flat(text)
+        n, k = len(at) - 1, len(DOMAINS)
+        tokens, sums, strong = np.zeros(n, np.int64), np.zeros((n, k)), np.zeros((n, k))
+        for i, j in slices(at, SLICE):
+            with np.errstate(over="ignore"):
+                row, bucket = token_buckets(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+            tokens[i:j] = np.bincount(row, minlength=j - i)
+            for c in range(k):
+                said = self.weights[bucket, c]
+                sums[i:j, c] = np.bincount(row, said, minlength=j - i)
+                strong[i:j, c] = np.bincount(row, np.maximum(said - STRONG, 0), minlength=j - i)
+        some = np.maximum(tokens, 1)[:, None]
+        return tokens, np.concatenate([np.ones((n, 1)), np.log1p(some), sums / some, sums / np.sqrt(some), np.log1p(strong)], 1)
+
+    def fit(self, features: np.ndarray, domain: np.ndarray) -> None:
+        """A logistic regression of the domains on features, by accelerated gradient steps from zero."""
+        self.middle, self.spread = features.mean(0), np.maximum(features.std(0), 1e-6)
+        self.middle[0], self.spread[0] = 0.0, 1.0
+        x, y = (features - self.middle) / self.spread, np.eye(len(DOMAINS))[domain]
+        size = 0.5 * np.linalg.eigvalsh(x.T @ x / len(x))[-1] + FIT_DECAY
+        before = now = np.zeros_like(self.turn)
+        for step in range(FIT_STEPS):
+            ahead = now + step / (step + 3) * (now - before)
+            before, now = now, ahead - (x.T @ (_softmax(x @ ahead) - y) / len(x) + FIT_DECAY * ahead) / size
+        self.turn = now
+
+    def posteriors(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text and its posterior. Null text and text without tokens: no tokens and equal parts."""
+        tokens, x = self.features(text)
+        p = _softmax((x - self.middle) / self.spread @ self.turn)
+        p[tokens == 0] = 1 / len(DOMAINS)
+        return tokens, p
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    p = np.exp(x - x.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """A classifier from at most TRAIN_ROWS labelled documents.
+
+    labels: doc_id, domain (position). Of a repeated doc_id one label counts. Token counts of some of the rows give evidence
+    per token; the rest of the rows says how evidence turns into posteriors that hold. What reaches the driver is a number per
+    domain and bucket, and the features of at most TRAIN_ROWS rows. Without labelled rows all posteriors are equal.
     """
     bounded_batches(docs.sparkSession)
+    k = len(DOMAINS)
     some = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = docs.join(F.broadcast(some), "doc_id").where("text is not null").select("domain", "text")
-    table = rows.mapInArrow(_counts, "domain int, bucket int, n bigint").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((len(DOMAINS), BUCKETS), SMOOTHING)
+    rows = docs.join(F.broadcast(some), "doc_id").where("text is not null").select("domain", "text", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(10)) < COUNTED).alias("counted"))
+    table = rows.where("counted").select("domain", "text").mapInArrow(_counts, "domain int, bucket int, n bigint").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((k, BUCKETS))
     np.add.at(counts, (table.column("domain").to_numpy(), table.column("bucket").to_numpy()), table.column("n").to_numpy())
-    log = np.log(counts / counts.sum(1, keepdims=True))
-    return (log - log.mean(0)).astype(np.float32).T
-
-
-def posteriors(text: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each text and its posterior: a soft-max of the mean evidence per token, times SHARPNESS. Null text and text
-    without tokens: no tokens and equal parts."""
-    raw, at = flat(text)
-    n, k = len(at) - 1, len(DOMAINS)
-    tokens, evidence = np.zeros(n, np.int64), np.zeros((n, k))
-    for i, j in slices(at, SLICE):
-        with np.errstate(over="ignore"):
-            row, bucket = token_buckets(raw[at[i] : at[j]], at[i : j + 1] - at[i])
-        tokens[i:j] = np.bincount(row, minlength=j - i)
-        for c in range(k):
-            evidence[i:j, c] = np.bincount(row, weights[bucket, c], minlength=j - i)
-    mean = SHARPNESS * evidence / np.maximum(tokens, 1)[:, None]
-    p = np.exp(mean - mean.max(1, keepdims=True))
-    return tokens, p / p.sum(1, keepdims=True)
-
-
-def membership(docs: DataFrame, weights: np.ndarray, text_col: str = "text", as_col: str = "member") -> DataFrame:
+    # smoothing in proportion to a domain's tokens: a token that was never seen says nothing
+    total = np.maximum(counts.sum(1, keepdims=True), 1.0)
+    log = np.log((counts + SMOOTHING * total / total.sum()) / total)
+    model = Model((log - log.mean(0)).astype(np.float32).T)
+
+    def featured(batches):
+        for batch in batches:
+            x = model.features(batch.column(1))[1]
+            at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(x.reshape(-1)))], names=["domain", "x"])
+
+    held = rows.where("not counted").select("domain", "text").mapInArrow(featured, "domain int, x array<double>").toArrow()
+    if held.num_rows:
+        x = held.column("x").combine_chunks().flatten().to_numpy().reshape(held.num_rows, -1)
+        order = np.lexsort(x.T)
+        model.fit(x[order], held.column("domain").to_numpy()[order])
+    return model
+
+
+def membership(docs: DataFrame, model: Model, text_col: str = "text", as_col: str = "member") -> DataFrame:
     """docs with a column struct<n_tokens, p>: tokens of the text and its posterior over DOMAINS."""
     bounded_batches(docs.sparkSession)
 
     def run(text: pa.Array) -> pa.Array:
-        tokens, p = posteriors(text, weights)
+        tokens, p = model.posteriors(text)
         at = pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(DOMAINS))
         tidy()
         return pa.StructArray.from_arrays([pa.array(tokens), pa.ListArray.from_arrays(at, pa.array(p.reshape(-1)))], ["n_tokens", "p"])
@@ -231,8 +284,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float | N
     ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    weights = learn(rows, labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
-    members = saved(membership(rows, weights).select("doc_id", "member.*"))
+    model = learn(rows, labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
+    members = saved(membership(rows, model).select("doc_id", "member.*"))
     plan = fit(members, targets, budget, most)
     shares = [F.col("p")[c].alias(f"p_{name}") for c, name in enumerate(DOMAINS)]
     return members.select(F.col("doc_id").alias(id_col), "n_tokens", *shares, plan.column(F.col("p")).alias("rate"))
@@ -245,12 +298,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float | Non
     By default no row is repeated and the budget is free: rates come down from 1 only as far as the domains' shares ask for
     it. Rows that share an id, null included, are drawn by the same number; an empty table gives an empty result.
     """
-    weights = learn(docs.select("doc_id", "text"), labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
-    plan = fit(saved(membership(docs.select("text"), weights).select("member.*")), targets, budget, most)
+    model = learn(docs.select("doc_id", "text"), labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
+    plan = fit(saved(membership(docs.select("text"), model).select("member.*")), targets, budget, most)
     name = free_name(docs, "member")
     rate = plan.column(F.col(name)["p"])
     times = (F.floor(rate) + (drawn() < rate - F.floor(rate)).cast("bigint")).cast("int")
-    taken = membership(docs, weights, as_col=name).withColumn(name, times).where(F.col(name) > 0)
+    taken = membership(docs, model, as_col=name).withColumn(name, times).where(F.col(name) > 0)
     if most is None or most > 1:
         taken = taken.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name))))
     return taken.drop(name)

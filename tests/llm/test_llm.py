@@ -398,19 +398,22 @@ def test_language(spark):
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 
 
-def plain_posterior(text, weights):
+def plain_posterior(text, model):
     """The posterior of one text, token by token."""
     tokens = [x for x in re.split(rb"[ \t\n\x0b\f\r]+", (text or "").encode()) if x]
-    total = np.zeros(len(mixing.DOMAINS))
+    total, strong = np.zeros((2, len(mixing.DOMAINS)))
     for token in tokens:
         low = bytes(c + 32 if 65 <= c <= 90 else c for c in token)
         a = sum(int(mixing._BYTE[c]) for c in low) % 2**64
         b = sum(int(mixing._BYTE[c]) * k for k, c in enumerate(low)) % 2**64
         code = (b + a * 0x9E3779B97F4A7C15) % 2**64
         code = (code ^ (code >> 31)) * 0xBF58476D1CE4E5B9 % 2**64
-        total += weights[(code >> 48) % mixing.BUCKETS]
-    e = np.exp(mixing.SHARPNESS * total / max(len(tokens), 1))
-    return len(tokens), e / e.sum()
+        said = model.weights[(code >> 48) % mixing.BUCKETS]
+        total, strong = total + said, strong + np.maximum(said - mixing.STRONG, 0)
+    n = max(len(tokens), 1)
+    x = np.concatenate([[1, np.log(1 + n)], total / n, total / n**0.5, np.log(1 + strong)])
+    e = np.exp((x - model.middle) / model.spread @ model.turn)
+    return len(tokens), e / e.sum() if tokens else np.full(3, 1 / 3)
 
 
 def test_mixing(spark):
@@ -423,11 +426,17 @@ def test_mixing(spark):
     for c, target in enumerate(mixing.TARGETS):
         assert abs((got.n_tokens * got.rate * p[:, c]).sum() / total - target) < 1e-4
     # posteriors against a plain version
-    weights = mixing.learn(docs, labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
+    learnt = labels.select("doc_id", mixing.domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
+    model = mixing.learn(docs, learnt)
     text = {r.doc_id: r.text for r in docs.collect()}
     for i, n, q in list(zip(got.doc_id, got.n_tokens, p))[:120]:
-        tokens, plain = plain_posterior(text[i], weights)
+        tokens, plain = plain_posterior(text[i], model)
         assert tokens == n and np.abs(plain - q).max() < 1e-5
+    # and on rows whose labels it has not seen
+    held = learnt.where("doc_id % 3 = 0").toPandas().merge(got, on="doc_id")
+    unseen = mixing.rates(docs, labels.where("doc_id % 3 <> 0")).toPandas().set_index("doc_id").loc[held.doc_id]
+    best = unseen[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy().argmax(1)
+    assert (best == held.domain).mean() > 0.8
     odd = mixing.rates(frame(spark, ODD), labels.limit(0)).collect()
     assert len(odd) == len(ODD) and mixing.rates(frame(spark, EMPTY), labels).count() == 0
 
@@ -466,6 +475,7 @@ def test_mix(spark):
     kept = mixing.mix(rows, labels).collect()
     assert all((r.n_tokens, r.cell, r.member, r["Member_"], r.p, r.rate) == (-7, "mine", 3, 4, 5, 7) for r in kept)
     assert sum(r.doc_id == 5007 for r in kept) in (0, 2)
-    twice = mixing.mix(rows, labels, budget=2.0, most=None)
-    assert twice.columns == rows.columns and twice.count() == 2 * rows.count()
+    twice = mixing.mix(rows, labels, budget=2.0, most=2.0)
+    times = collections.Counter((r.doc_id, r.text) for r in twice.collect())
+    assert twice.columns == rows.columns and max(times.values()) > 1 and all(n <= (4 if i == 5007 else 2) for (i, _), n in times.items())
     assert mixing.mix(rows.limit(0), labels).count() == 0
