@@ -1,26 +1,29 @@
 """HTML extraction by layout-aware rendering.
 
-A tokenizer feeds a tree builder with implied end tags (p, li, td, dt, option and others), void elements and raw text. The
-renderer walks the tree with visibility rules and emits all visible text: blocks on lines of their own with a blank line
-between paragraphs, list items with markers and indent, table cells padded to columns, preformatted text as it stands.
+A tokenizer feeds a tree builder with implied end tags (p, li, td, dt, option and others), void elements and raw text.
+Visibility rules take out what a browser doesn't paint: elements that aren't displayed go whole; the text of invisible ones
+goes, but not that of descendants that are visible again. The renderer walks what is left and emits all its text: blocks on
+lines of their own with a blank line between paragraphs, list items with markers and indent, table cells padded to columns,
+preformatted text as it stands. What assistive technology skips (aria-hidden) is painted, so it is text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches
+from ._common import bounded_batches, free_name
 
 # Element names by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed canvas audio video datalist title meta link noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed canvas audio video datalist title meta link noembed noframes rp input".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html "
     "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
@@ -59,12 +62,14 @@ LEAVES_FOREIGN = frozenset(
 HTML_INSIDE = frozenset("mi mo mn ms mtext".split())
 UNPAINTED = {"svg": frozenset("clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
 UNPAINTED["svg text"] = UNPAINTED["svg"]
-#: Nesting beyond this stays flat: children join the innermost element that fits.
-DEEPEST = 400
+#: Nesting beyond this stays flat: children join the innermost element that fits. Rendering takes a few frames a level.
+DEEPEST, FRAMES = 400, 8000
+# The largest spans of a cell.
+SPANS = {"colspan": 1000, "rowspan": 65534}
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>][^\s\"'>]*$")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -173,15 +178,37 @@ def tree(text: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node, style: dict[str, str]) -> bool:
     a = node.attrs
-    if node.name in HIDDEN or "hidden" in a and a["hidden"] != "until-found" or a.get("aria-hidden", "").lower() == "true":
-        return False
-    if node.name == "input" or node.name == "dialog" and "open" not in a:
+    if node.name in HIDDEN or "hidden" in a and a["hidden"] != "until-found" or node.name == "dialog" and "open" not in a:
         return False
     if node.kind and node.name in UNPAINTED[node.kind]:
         return False
-    return not ("style" in a and _HIDE.search(a["style"]))
+    return style.get("display") != "none"
+
+
+def painted(root: Node) -> Node:
+    """root without what isn't painted, in place."""
+    open_ = [(root, True)]
+    while open_:
+        node, seen = open_.pop()
+        left = []
+        for child in node.children:
+            if isinstance(child, str):
+                if seen:
+                    left.append(child)
+                continue
+            style = {k.lower(): v.lower() for k, v in _STYLE.findall(child.attrs["style"])} if "style" in child.attrs else {}
+            if not displayed(child, style):
+                continue
+            own = seen if style.get("visibility", "inherit") not in ("visible", "hidden", "collapse") else style["visibility"] == "visible"
+            if own or child.name not in ("img", "hr"):
+                left.append(child)
+                open_.append((child, own))
+        if node.name == "details" and "open" not in node.attrs:
+            left = [x for x in left if isinstance(x, Node) and x.name == "summary"][:1]
+        node.children = left
+    return root
 
 
 def width(text: str) -> int:
@@ -258,8 +285,6 @@ def _inside(node: Node, out: _Lines, depth: int):
             if node.kind != "svg":
                 out.text(child)
             continue
-        if not visible(child):
-            continue
         name = child.name
         if child.kind == "svg text" and (name == "text" or not {"x", "y", "dy"}.isdisjoint(child.attrs)):  # placed on its own
             out.space = True
@@ -293,11 +318,6 @@ def _inside(node: Node, out: _Lines, depth: int):
         elif name == "blockquote":
             out.block(render(child, depth + 1), 1, "> ", "> ")
             out.gap = 1
-        elif name == "details" and "open" not in child.attrs:
-            for x in child.children:
-                if isinstance(x, Node) and x.name == "summary" and visible(x):
-                    out.block(render(x, depth + 1), 0)
-                    break
         elif name in BLOCK:
             nested = name in ("ul", "ol") and node.name == "li"
             gap = 1 if name in SPACED and not nested else 0
@@ -315,41 +335,42 @@ def _inside(node: Node, out: _Lines, depth: int):
 
 
 def _plain(node: Node) -> str:
-    """Text as it stands, without what is hidden."""
+    """Text as it stands."""
     parts = []
     for child in node.children:
         if isinstance(child, str):
             parts.append(child)
         elif child.name == "br":
             parts.append("\n")
-        elif visible(child):
+        else:
             parts.append(_plain(child))
     return "".join(parts)
 
 
 def _rows(node: Node) -> tuple[list[Node], list[list[Node]]]:
-    """Captions and other content, and rows of visible cells; head rows first, foot rows last."""
+    """Captions and other content, and rows of cells; head rows first, foot rows last."""
     other, head, body, foot = [], [], [], []
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
                 other.append(child)
-        elif not visible(child):
-            continue
         elif child.name == "tr":
             body.append(child)
         elif child.name in ("thead", "tbody", "tfoot"):
-            inner_other, rows = [x for x in child.children if (x.strip() if isinstance(x, str) else x.name != "tr" and visible(x))], [x for x in child.children if isinstance(x, Node) and x.name == "tr" and visible(x)]
-            other += inner_other
-            {"thead": head, "tbody": body, "tfoot": foot}[child.name].extend(rows)
+            other += [x for x in child.children if (x.strip() if isinstance(x, str) else x.name != "tr")]
+            {"thead": head, "tbody": body, "tfoot": foot}[child.name].extend(x for x in child.children if isinstance(x, Node) and x.name == "tr")
         else:
             other.append(child)
     return other, [*head, *body, *foot]
 
 
 def _span(cell: Node, name: str) -> int:
-    said = cell.attrs.get(name, "1").strip()
-    return min(max(int(said), 1), 100) if said.isdecimal() and len(said) < 6 else 1
+    """Columns or rows that a cell covers; a rowspan of 0 covers all rows that are left."""
+    said = re.match(r"\s*\+?(\d+)", cell.attrs.get(name, "1"), re.A)
+    if not said:
+        return 1
+    n = min(int(said[1][:9]), SPANS[name])
+    return n or (SPANS[name] if name == "rowspan" else 1)
 
 
 def _table(node: Node, depth: int) -> list[str]:
@@ -371,12 +392,13 @@ def _table(node: Node, depth: int) -> list[str]:
                 box = Node("td", {})
                 box.children = [cell]
                 cell = box
-            elif not visible(cell) or cell.name not in ("td", "th") and not any(render(cell, depth + 1)):
+            said = render(cell, depth + 1)
+            if cell.name not in ("td", "th") and not any(said):
                 continue
             while taken.get(column, 0):
                 column += 1
             across, down = _span(cell, "colspan"), _span(cell, "rowspan")
-            cells[column], wide[column] = render(cell, depth + 1), across
+            cells[column], wide[column] = said, across
             for c in range(column, column + across):
                 if down > 1:
                     taken[c] = down
@@ -414,7 +436,9 @@ def _table(node: Node, depth: int) -> list[str]:
 
 def page_text(page: str) -> str:
     """Visible text of one page."""
-    lines = render(tree(page.replace("\x00", "")))
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
+    lines = render(painted(tree(page.replace("\x00", ""))))
     while lines and not lines[0].strip():
         lines.pop(0)
     while lines and not lines[-1].strip():
@@ -430,7 +454,8 @@ def page_title(page: str) -> str | None:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages with `text` and `title`. A null page has null text; an empty one, or one where all is hidden, empty text.
 
-    Other columns and repeated rows stay; columns named text or title are replaced.
+    Other columns and repeated rows stay; columns named text or title are replaced. Nesting of any depth and pages of any
+    length are read whole; an empty table gives an empty result.
     """
 
     def run(column: pa.Array) -> pa.Array:
@@ -442,8 +467,9 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(titles, pa.string())], ["text", "title"])
 
     bounded_batches(pages.sparkSession)
-    got = pages.withColumn("__html", F.arrow_udf(run, "text string, title string")(F.col(html_col)))
-    return got.withColumn("text", F.col("__html.text")).withColumn("title", F.col("__html.title")).drop("__html")
+    name = free_name(pages, "read")
+    got = pages.withColumn(name, F.arrow_udf(run, "text string, title string")(F.col(html_col)))
+    return got.withColumn("text", F.col(name)["text"]).withColumn("title", F.col(name)["title"]).drop(name)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """Visible text that stands in places where it is easily lost."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tamga.llm import html_text
 
@@ -25,6 +28,16 @@ PAGES = [
     # formulas
     ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.", "so x=2."),
     ("<math><semantics><mi>y</mi><annotation encoding='t'>no</annotation></semantics><mphantom><mi>no</mi></mphantom><mspace/><mtext>if <b>so</b></mtext></math>", "yif so"),
+    # what is invisible may hold what is visible
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no<img alt=no></div>z", "yes\n\nz"),
+    ("<div style='display:none'>no<p style='visibility:visible;display:block'>no</p></div>z", "z"),
+    ("<p style='display:none;display:block'>yes", "yes"),
+    ("<table><tr style='visibility:collapse'><td>no</td></tr><tr><td>a</td><td style='visibility:hidden'>no</td><td>b</td></tr></table>", "a    b"),
+    ("<ruby>a<rp>(</rp><rt>b</rt><rp>)</rp></ruby>", "ab"),
+    ("<details><p>no</p><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+    # spans
+    ("<table><tr><td rowspan=0>a</td><td>b</td></tr><tr><td>c</td></tr><tr><td>d</td></tr></table>", "a  b\n   c\n   d"),
+    ("<table><tr><td colspan=100000>a</td><td>b</td></tr><tr><td>cc</td><td>d</td></tr></table>", "a      b\ncc  d"),
     # old preformatted text
     ("a<xmp>\n <b>x</b>\n  y &amp;</xmp>b", "a\n\n <b>x</b>\n  y &amp;\n\nb"),
 ]
@@ -33,3 +46,63 @@ PAGES = [
 @pytest.mark.parametrize("page,want", PAGES)
 def test_visible(page, want):
     assert html_text.page_text(page) == want
+
+
+@pytest.mark.parametrize("tag", ["table", "div", "ul", "blockquote", "table><tr><td", "table><tr><div", "ol><li", "dl><dd", "span", "details open"])
+def test_any_depth(tag):
+    for n in (399, 3000):
+        assert html_text.page_text(f"<{tag}>" * n + "deep").split()[-1] == "deep"
+
+
+INLINE, BLOCKS = ("span", "b", "a", "em", "font"), ("div", "p", "section", "blockquote", "center", "h2", "article")
+HIDDEN = ("<div hidden>{}</div>", "<script>{}</script>", "<span style='display:none'>{}</span>", "<template>{}</template>", "<!-- {} -->", "<noscript>{}</noscript>")
+
+
+def random_page(rnd, words, hidden, depth=0):
+    """Mark-up with a new word for every visible and every hidden text."""
+
+    def word(of):
+        of.append(f"w{len(words)}x{len(hidden)}")
+        return of[-1]
+
+    parts = []
+    for _ in range(rnd.randint(1, 4)):
+        kind = rnd.random()
+        if kind < 0.3 or depth > 5:
+            parts.append(word(words) + " ")
+        elif kind < 0.4:
+            parts.append(rnd.choice(HIDDEN).format(word(hidden)))
+        elif kind < 0.55:
+            tag = rnd.choice(INLINE)
+            parts.append(f"<{tag}>{word(words)}</{tag}> ")
+        elif kind < 0.65:
+            invisible = word(hidden)
+            parts.append(f"<div style='visibility:hidden'>{invisible}<div style='visibility:visible'>{random_page(rnd, words, hidden, depth + 2)}</div></div>")
+        elif kind < 0.75:
+            items = [random_page(rnd, words, hidden, depth + 1) for _ in range(rnd.randint(1, 3))]
+            tag = rnd.choice(("ul", "ol"))
+            parts.append(f"<{tag}>{''.join('<li>' + x for x in items)}</{tag}>")
+        elif kind < 0.85:
+            rows = [[word(words) for _ in range(rnd.randint(1, 3))] for _ in range(rnd.randint(1, 3))]
+            parts.append("<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in row) for row in rows) + "</table>")
+        else:
+            tag = rnd.choice(BLOCKS)
+            inner = word(words) if tag in ("p", "h2") else random_page(rnd, words, hidden, depth + 1)
+            parts.append(f"<{tag}>{inner}</{tag}>")
+    return "".join(parts)
+
+
+def test_every_visible_text_in_order():
+    """All texts that are painted appear, in order, and nothing else does."""
+    rnd = random.Random(12)
+    for _ in range(400):
+        words, hidden = [], []
+        page = random_page(rnd, words, hidden)
+        found = [x for x in html_text.page_text(page).split() if x.startswith("w")]
+        assert found == words, page
+
+
+def test_rows_and_columns_stay(spark):
+    rows = [(1, "<title>t</title>x", "mine"), (1, "<title>t</title>x", "mine"), (2, None, None), (3, "", "")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, html string, title string").withColumn("read", F.lit(5)))
+    assert sorted(((r.page_id, r.text, r.title, r.read) for r in got.collect()), key=str) == [(1, "x", "t", 5), (1, "x", "t", 5), (2, None, None, 5), (3, "", None, 5)]

@@ -361,7 +361,7 @@ PAGES = [
     ("<p>one<p>two <b>bold</b> &amp; more<br>line", "one\n\ntwo bold & more\nline"),
     ("<ul><li>a<li>b<ol start=3><li>x<li>y</ol><li>c</ul>", "- a\n- b\n  3. x\n  4. y\n- c"),
     ("<table><tr><th>Name<th>Qty<tr><td>apple pie<td>3</table>after", "Name       Qty\napple pie  3\n\nafter"),
-    ("<div hidden>no</div><div style='display:none'>no</div><script>x='</p>'</script><style>p{}</style><!-- no --><p aria-hidden=true>no</p>yes", "yes"),
+    ("<div hidden>no</div><div style='display:none'>no</div><script>x='</p>'</script><style>p{}</style><!-- no --><p aria-hidden=true>painted</p>yes", "painted\n\nyes"),
     ("<pre>\n a\n   b\n</pre>end", " a\n   b\n\nend"),
     ("<head><title>T</title></head><body>b</body>tail", "btail"),
     ("a < b and <unclosed", "a < b and <unclosed"),
