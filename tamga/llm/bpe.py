@@ -110,7 +110,8 @@ class Automaton:
         self.edges, self.fail, self.ends = edges, fail, ends
 
     def _ready(self) -> None:
-        self.known: dict[int, bool] = {}
+        self.good: set[int] = set()
+        self.bad: set[int] = set()
         self.steps: dict[int, int] = {}
         self.sizes = [len(x) for x in self.labels]
         self.codes = [k.to_bytes(4, "little") for k in range(len(self.labels))]
@@ -189,9 +190,11 @@ class Automaton:
                 before, p = born[p], self.base[p]
 
     def arc(self, p: int, t: int) -> bool:
-        if len(self.known) > HELD_ARCS:
-            self.known.clear()
-        got = self.known[(p << 20) | t] = self._has(p, t, len(self.born))
+        if len(self.good) + len(self.bad) > HELD_ARCS:
+            self.good.clear()
+            self.bad.clear()
+        got = self._has(p, t, len(self.born))
+        (self.good if got else self.bad).add((p << 20) | t)
         return got
 
     def step(self, node: int, b: int) -> int:
@@ -206,26 +209,23 @@ class Automaton:
 
     def word(self, text: bytes) -> list[int]:
         """Token ids of one pre-split word."""
-        whole = self.ids.get(text)
-        if whole is not None:
-            return [whole]
-        steps, known, ends, shorter, sizes = self.steps.get, self.known.get, self.ends, self.shorter, self.sizes
+        if text in self.ids:
+            return [self.ids[text]]
+        steps, good, bad, ends, shorter, sizes = self.steps, self.good, self.bad, self.ends, self.shorter, self.sizes
         states, node, at = [-1], 0, 0
         for b in text:
             at += 1
-            after = steps((node << 8) | b)
-            node = self.step(node, b) if after is None else after
+            try:
+                node = steps[(node << 8) | b]
+            except KeyError:
+                node = self.step(node, b)
             t = ends[node]
             while True:
                 if t < 0:
                     raise ValueError("a byte has no token")
+                # the state where the token begins; before the first byte every token fits
                 p = states[at - sizes[t]]
-                if p < 0:
-                    break
-                fits = known((p << 20) | t)
-                if fits is None:
-                    fits = self.arc(p, t)
-                if fits:
+                if p < 0 or (pair := (p << 20) | t) in good or pair not in bad and self.arc(p, t):
                     break
                 t = shorter[t]
             states.append(t)
