@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ._common import documents, stored_bytes
 
 SAMPLES, CHUNK = 40, 8
-#: Text (as stored) of one range, and ranges that are told apart by quantiles; more are made by equal parts of those.
-RANGE_BYTES, QUANTILES = 1 << 20, 256
+#: Text (as stored) of one range, quantiles of a step, and ranges that one task puts in order.
+RANGE_BYTES, QUANTILES, LEVEL = 1 << 20, 256, 4096
 #: Ranges up to which their first ids are broadcast, 24 bytes each.
 BROADCAST_RANGES = 200_000
 
@@ -67,23 +67,40 @@ def fingerprints(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
 
 def _ranged(docs: DataFrame, ranges: int) -> DataFrame:
-    """docs with `range`, a number that grows with the id: quantiles, each in equal parts."""
+    """docs with `range`, a number that grows with the id: quantiles, quantiles of each of those, and equal parts of these."""
     q = min(ranges, QUANTILES)
-    parts = -(-ranges // q)
-    marks = F.percentile_approx("id", [i / q for i in range(1, q)] or [0.5], 10_000)
-    row = docs.agg(marks.alias("m"), F.min("id").alias("least"), F.max("id").alias("most")).first()
+    inner = min(-(-ranges // q), QUANTILES)
+    parts = -(-ranges // (q * inner))
+    row = docs.agg(F.percentile_approx("id", [i / q for i in range(1, q)] or [0.5], 10_000).alias("m"), F.min("id").alias("least")).first()
     if row["least"] is None:
         return docs.withColumn("range", F.lit(0).cast("bigint"))
     cuts = sorted({row["least"], *(row["m"] if q > 1 else [])})
     found = F.aggregate(F.array(*[F.lit(x).cast("bigint") for x in cuts]), F.lit(-1), lambda n, x: n + (x <= F.col("id")).cast("int"))
-    found = F.greatest(found, F.lit(0))
-    if parts == 1:
-        return docs.withColumn("range", F.coalesce(found, F.lit(0)).cast("bigint"))
-    low = F.array(*[F.lit(x).cast("bigint") for x in [*cuts, row["most"] + 1]])
-    docs = docs.withColumn("__q", F.coalesce(found, F.lit(0)).cast("int"))
-    at, to = F.element_at(low, F.col("__q") + 1), F.element_at(low, F.col("__q") + 2)
-    inner = F.floor((F.col("id") - at).cast("double") * parts / F.greatest(to - at, F.lit(1)))
-    return docs.withColumn("range", F.col("__q").cast("bigint") * parts + F.coalesce(F.least(inner, F.lit(parts - 1)), F.lit(0))).drop("__q")
+    docs = docs.withColumn("__q", F.coalesce(F.greatest(found, F.lit(0)), F.lit(0)))
+    if inner == 1:
+        return docs.select("*", F.col("__q").cast("bigint").alias("range")).drop("__q")
+    # at most QUANTILES rows of as many numbers
+    marks = docs.groupBy("__q").agg(F.percentile_approx("id", [i / inner for i in range(1, inner)], 10_000).alias("__m"), F.min("id").alias("__least"), F.max("id").alias("__most"))
+    docs = docs.join(F.broadcast(marks), "__q")
+    place = F.aggregate(F.coalesce("__m", F.array().cast("array<bigint>")), F.lit(0), lambda n, x: n + F.coalesce((x <= F.col("id")).cast("int"), F.lit(0)))
+    docs = docs.withColumn("__p", place)
+    at = F.coalesce(F.get("__m", F.col("__p") - 1), "__least")
+    to = F.coalesce(F.get("__m", F.col("__p")), F.col("__most") + 1)
+    part = F.floor((F.col("id") - at).cast("double") * parts / F.greatest(to - at, F.lit(1)))
+    part = F.coalesce(F.greatest(F.least(part, F.lit(parts - 1)), F.lit(0)), F.lit(0)) if parts > 1 else F.lit(0)
+    number = (F.col("__q").cast("bigint") * inner + F.col("__p")) * parts + part
+    return docs.select("*", number.cast("bigint").alias("range")).drop("__q", "__p", "__m", "__least", "__most")
+
+
+def _next_range(heads: DataFrame) -> DataFrame:
+    """heads: range and more, one row per range -> with `to`, the next range; after the last comes the first. LEVEL ranges are put
+    in order in one task, and after that one row for each LEVEL of them."""
+    rows = heads.withColumn("level", F.floor(F.col("range") / F.lit(LEVEL)))
+    levels = rows.groupBy("level").agg(F.min("range").alias("first"))
+    ends = Window.orderBy("level")
+    levels = levels.select("level", F.coalesce(F.lead("first").over(ends), F.min("first").over(ends.rowsBetween(Window.unboundedPreceding, 0))).alias("next"))
+    inside = rows.withColumn("to", F.lead("range").over(Window.partitionBy("level").orderBy("range")))
+    return inside.join(levels, "level").withColumn("to", F.coalesce("to", "next")).drop("level", "next")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,8 +115,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = _ranged(rows, ranges).withColumn("ghost", F.lit(0))
     # the first document of each range also closes the range above it; that of the topmost closes the lowest one
     heads = rows.groupBy("range").agg(F.max("id").alias("id"))
-    above = F.lead("range").over(Window.orderBy("range"))
-    heads = heads.withColumn("to", F.coalesce(above, F.min("range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))))
+    heads = _next_range(heads)
     small = heads.count() <= BROADCAST_RANGES
     heads = heads.select("range", F.col("id").alias("head"), "to")
     met = rows.join(F.broadcast(heads) if small else heads, "range").where(F.col("id").eqNullSafe(F.col("head")))

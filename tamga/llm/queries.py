@@ -10,7 +10,7 @@ from .language_id import op10
 from .minhash_dedup import SQL7, op7
 from .mixing import op2
 from .secret_scan import SQL3, op3
-from .suffix_dedup import op8
+from .suffix_dedup import SQL8, op8
 from .url_filter import op4
 
 
@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_scan": SQL3, "op6_exact_dedup": SQL6, "op7_minhash_dedup": SQL7}
+    return {"op3_secret_scan": SQL3, "op6_exact_dedup": SQL6, "op7_minhash_dedup": SQL7, "op8_suffix_dedup": SQL8}

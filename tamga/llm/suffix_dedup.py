@@ -28,6 +28,8 @@ from .exact_dedup import exact_duplicates
 DEPTH, GRAM, SIDE = 50, 16, 17
 #: Text that a task sorts at once, and text that a bucket gets.
 BATCH_BYTES, BUCKET_BYTES = 6 << 20, 1 << 20
+#: Windows of one repeated byte that travel as one fragment.
+CONSTANT = 200
 #: Windows that a bucket orders at once.
 PART = 1 << 20
 #: Text whose windows a task looks at one by one.
@@ -179,7 +181,8 @@ def _blocks(names, blocks):
 def _fragments(raw, at, rows, begin, count):
     """Runs of windows (from raw[begin] on, count many, of row) with one anchor: first window, count, row, anchor, digit.
 
-    rows are sorted. Window by window things are held for a slice of the rows at a time.
+    rows are sorted. Window by window things are held for a slice of the rows at a time. Each window of one repeated byte would
+    be a run by itself; they are all equal, whatever stands around them, so up to CONSTANT of them share the anchor of the first.
     """
     made, i = [], 0
     while i < len(rows):
@@ -189,7 +192,11 @@ def _fragments(raw, at, rows, begin, count):
         least, far = _digits(raw[low : at[rows[j - 1] + 1]])
         off = _ranges(begin[i:j] - low, count[i:j])
         row, anchor = np.repeat(rows[i:j], count[i:j]), off + far[off]
-        new = _heads(row) | _heads(anchor)
+        own = raw[low : at[rows[j - 1] + 1]]
+        alike = np.concatenate([[0], np.cumsum(own[1:] == own[:-1], dtype=np.int32)])
+        one = alike[off + DEPTH - 1] - alike[off] == DEPTH - 1
+        group = np.where(one, -1 - off // CONSTANT, anchor)
+        new = _heads(row) | _heads(group)
         new[1:] |= np.diff(off) != 1
         first = np.flatnonzero(new)
         made.append((off[first] + low, np.diff(np.append(first, len(off))), row[first], anchor[first] + low, least[off[first]]))
@@ -236,6 +243,7 @@ def _cut(buckets: int, with_text: bool):
             yield _found((mixed(ids[key]) % np.uint64(buckets)).astype(np.int32), ids[key], marks[key], start, end)
             own, place, n = _rest(frag, window, n)
             f_at, f_row, f_anchor, f_digit = f_at[own] + place, f_row[own], f_anchor[own], f_digit[own]
+            f_anchor = np.maximum(f_anchor, f_at)
             if not len(own):
                 return
         bucket = (f_digit % np.uint64(buckets)).astype(np.int64)
@@ -416,7 +424,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     is a hash of the text, which tells rows that share an id apart."""
     spark = rows.sparkSession
     bounded_batches(spark)
-    buckets = min(max(24, stored_bytes(rows, "text") // BUCKET_BYTES), 1 << 20)
+    buckets = min(max(24, stored_bytes(rows, "text") // BUCKET_BYTES), (1 << 31) - 1)
     # whole copies go first: of equal texts the one with the smallest id has all windows of the others
     copies = exact_duplicates(rows, "id", "text").where("not kept and id > keep_id").select("id", F.lower(F.hex("digest")).alias("sha")).distinct()
     sized = rows.select("id", "mark", F.octet_length("text").alias("n"), F.sha2("text", 256).alias("sha"))
@@ -459,3 +467,20 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return dedup_report(documents(spark, sf_dir, "doc_id", "text"))
+
+
+SQL8 = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM h WHERE length(h) >= 100),
+w AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM p),
+o AS (SELECT s, min(doc_id) AS owner FROM w GROUP BY s),
+hit AS (SELECT doc_id, i FROM w JOIN o USING (s) WHERE doc_id > owner),
+e AS (SELECT doc_id, i, CAST(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS INT) AS apart FROM hit),
+g AS (SELECT doc_id, i, sum(coalesce(apart, 0)) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM r UNION ALL SELECT doc_id, -1, 0 FROM h)),
+t AS (SELECT k.doc_id, string_agg(substring(h, 2 * k.a + 1, 2 * (coalesce(k.b, length(h) // 2) - k.a)), '' ORDER BY k.a) AS kept FROM k JOIN h USING (doc_id) GROUP BY k.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM h JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

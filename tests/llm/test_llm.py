@@ -182,12 +182,19 @@ def repeats_brute(rows):
 def test_repeats(spark, monkeypatch, part, batch):
     monkeypatch.setattr(suffix_dedup, "PART", part)
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", batch)
-    odd = [(i, t) for i, t in ODD if i is not None and i != 5004]
-    rows = corpus(4, 120, 60) + odd + [(6000, "z" * 400), (6001, "y" + "z" * 90), (6002, "ab" * 90), (6003, "éè" * 60), (6004, "qéè" * 3 + "éè" * 50)]
+    odd = [(i, t) for i, t in ODD if i is not None]
+    rows = corpus(4, 120, 60) + odd + [(5990, "x" * 777 + "y" * 51 + "x" * 50), (5991, "-" * 3000 + "a"), (5992, "b" + "-" * 2000 + "-c" + "-" * 300), (5993, "d" * 49 + "-" * 50 + "d" * 50), (6000, "z" * 400), (6001, "y" + "z" * 90), (6002, "ab" * 90), (6003, "éè" * 60), (6004, "qéè" * 3 + "éè" * 50)]
     got = suffix_dedup.dedup_report(frame(spark, rows))
     assert sorted(tuple(r) for r in got.collect()) == repeats_brute(rows)
 
 
+def test_repeats_of_one_byte(spark):
+    """Long runs of one byte travel in few fragments."""
+    raw = np.frombuffer(b"q" * 100_000 + b"rs" * 40 + bytes(64), np.uint8)
+    made = suffix_dedup._fragments(raw, np.array([0, 100_080, 100_144]), np.array([0]), np.array([0]), np.array([100_031]))
+    assert len(made[0]) < 700 and made[1].sum() == 100_031 and made[1].max() <= 200
+
+
 def test_repeats_odd(spark):
     rows = [(None, "p" * 80), (1, "p" * 80), (2, "q" * 20 + "p" * 80), (2, "r" + "p" * 80)]
     got = sorted([(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup_report(frame(spark, rows)).collect()], key=repr)
