@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIM, N, STEPS, RATE, DECAY = 512, 3, 60, 4.0, 1e-4
+from ._common import free_name
+
+DIM, N, STEPS, RATE, DECAY = 512, 3, 60, 6.0, 1e-4
+MOST_LABELLED = 2000
 
 # Rules (verdict, host, path prefix).
 RULES = (
@@ -20,31 +23,14 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-# The labelled URLs, those to block and those to allow.
-BLOCK = """
-adult-x.example.com/en/1/ www.adult-x.example.org/de/20.html adult-videos.example.net/en/3 m.adult-chat.example.org/fr/44/
-casino-win.example.net/en/5 blog.casino-win.example.org/es/61/ casino-royal.example.org/en/7?ref=x best-casino.example.net/de/8.html
-cheap-pills.example.net/en/9/ blog.cheap-pills.example.org/en/10 pills-online.example.org/fr/11/ cheap-meds.example.net/es/12
-free-bets.example.net/en/13/ www.free-bets.example.org/en/14.html sports-bets.example.org/de/15 free-spins.example.net/en/16/
-spam-farm.example.org/en/17/ www.spam-farm.example.net/fr/18 link-farm.example.org/en/19.html m.spam-links.example.net/de/21/
-ads-track.example.com/en/22/ m.ads-track.example.org/en/23 ad-tracker.example.net/es/24/ popup-ads.example.org/en/25.html
-xxx-cams.example.net/en/26/ sex-dates.example.org/de/27 porn-tube.example.net/en/28/ hot-adult.example.org/en/29
-viagra-shop.example.net/en/30/ poker-win.example.org/en/31 slot-games-win.example.net/fr/32/ payday-loans.example.org/en/33.html
-malware-load.example.net/en/34 phish-login.example.org/en/35/ win-prizes.example.net/en/36 cracked-keys.example.org/de/37/
-""".split()
-ALLOW = """
-tionsh.example.net/en/1/ blog.therin.example.org/en/20.html m.ththst.example.org/en/3 www.theren.example.org/de/44/
-ththing.example.net/en/5 thersh.example.org/es/61/ m.thonth.example.org/en/7?page=2 blog.ththan.example.net/de/8.html
-thering.example.org/en/9/ www.ththbe.example.net/en/10 tionand.example.org/fr/11/ m.theraw.example.net/es/12
-news.example.net/en/13/ www.library.example.org/en/14.html museum.example.org/de/15 weather.example.net/en/16/
-school.example.org/en/17/ www.city-council.example.net/fr/18 recipes.example.org/en/19.html m.gardening.example.net/de/21/
-science.example.org/en/22/ m.history.example.org/en/23 travel-notes.example.net/es/24/ open-data.example.org/en/25.html
-ththea.example.net/en/26/ ththor.example.org/de/27 thened.example.net/en/28/ thenhe.example.org/en/29
-university.example.net/en/30/ hospital.example.org/en/31 train-times.example.net/fr/32/ music-lessons.example.org/en/33.html
-tionsh.example.com/de/38/ m.tiontion.example.com/en/39 blog.tionble.example.com/en/40?page=2 ththble.example.com/fr/41/
-www.theran.example.com/de/42 ththon.example.com/es/43.html bakery.example.com/en/45/ m.weather-maps.example.com/fr/46
-docs-project.example.net/en/34 blog.photos.example.org/en/35/ the-journal.example.net/en/36 lyrics.example.org/de/37/
-""".split()
+#: Words that tell of sites to block and of sites to allow, by general knowledge; the labelled URLs are made of these by a rule
+#: and were not taken from any table.
+BLOCK = "adult porn sex xxx cams casino poker slots betting jackpot lottery pills viagra pharmacy loans payday forex spam ads banner malware phishing warez prizes".split()
+ALLOW = "news library museum school university science history garden recipes weather travel music books council hospital maps journal film family nature birds chess language archive research theatre railway bakery village college river letter".split()
+WITH_BLOCK = "best cheap free hot online vip win x 24 top".split()
+WITH_ALLOW = "the my old open national local daily city blue north".split()
+HOSTS, ENDS = ("{w}-{s}", "{s}-{w}", "www.{w}"), ("com", "org", "net", "info", "io", "eu")
+PATHS = ("/", "/index.html", "/en/about", "/article/12", "/de/3.html", "/a/b/c", "/fr/page?x=1", "/2020/05/17", "/es/9/", "/home")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -71,13 +57,14 @@ def features(host: Column, path: Column) -> Column:
     made = []
     for name, part in (("h", host), ("p", path)):
         text = F.concat(F.lit("^"), F.regexp_replace(part, "[0-9]", "0"), F.lit("$"))
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (N - 1), F.lit(1)))
-        made.append(_grams(text, starts, name))
+        # a look-ahead finds overlapping n-grams in one pass
+        found = F.when(F.length(text) >= N, F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{N}}}))"), F.lit(1))).otherwise(F.array(text))
+        made.append(F.transform(found, _bucket(name)))
     return F.array_distinct(F.concat(*made))
 
 
-def _grams(text: Column, starts: Column, name: str) -> Column:
-    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(name), F.substring(text, i, F.lit(N))), F.lit(DIM)).cast("int"))
+def _bucket(name: str):
+    return lambda gram: F.pmod(F.xxhash64(F.lit(name), gram), F.lit(DIM)).cast("int")
 
 
 def _margin(weights: Column, found: Column) -> Column:
@@ -91,10 +78,13 @@ def _sigmoid(x: Column) -> Column:
 
 
 def train(labelled: DataFrame, host_col: str = "host", path_col: str = "path", label_col: str = "label") -> list[float]:
-    """Weights of a logistic regression by full-batch gradient descent from zero. labelled is small: it becomes one row.
+    """Weights of a logistic regression by full-batch gradient descent from zero. labelled becomes one row, so it may have
+    MOST_LABELLED rows at most; ValueError beyond.
 
     Rows are put in order first, so the result doesn't hang on partitions. Without rows all weights are 0.
     """
+    if labelled.limit(MOST_LABELLED + 1).count() > MOST_LABELLED:
+        raise ValueError(f"more than {MOST_LABELLED} labelled rows")
     rows = labelled.select(F.struct(features(F.col(host_col), F.col(path_col)).alias("x"), F.col(label_col).cast("double").alias("y")).alias("r"))
     one = rows.agg(F.array_sort(F.collect_list("r")).alias("rows"))
     zero = F.array_repeat(F.lit(0.0), DIM + 1)
@@ -118,24 +108,36 @@ def train(labelled: DataFrame, host_col: str = "host", path_col: str = "path", l
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The labelled table of this module: url, label (1: block)."""
-    return spark.createDataFrame([("http://" + u, 1) for u in BLOCK] + [("http://" + u, 0) for u in ALLOW], "url string, label int")
+    """The labelled table of this module: url, label (1: block), held_out. A few hundred rows."""
+    rows = []
+    for label, words, others in ((1, BLOCK, WITH_BLOCK), (0, ALLOW, WITH_ALLOW)):
+        for i, word in enumerate(words):
+            for k, shape in enumerate(HOSTS):
+                host = shape.format(w=word, s=others[(3 * i + k) % len(others)])
+                rows.append((f"http://{host}.{ENDS[(i + k) % len(ENDS)]}{PATHS[(7 * i + 3 * k) % len(PATHS)]}", label, (i + k) % 5 == 0))
+    return spark.createDataFrame(rows, "url string, label int, held_out boolean")
+
+
+def trained(spark: SparkSession) -> list[float]:
+    """Weights learnt from the labelled rows that are not held out."""
+    host, path = host_path(F.col("url"))
+    return train(labelled_urls(spark).where("not held_out").select(host.alias("host"), path.alias("path"), "label"))
 
 
 def judge(pages: DataFrame, weights: list[float], url_col: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule, p_block and verdict. A null or odd url has empty host and path and is judged like any
-    other; columns of these names in pages are replaced."""
+    other; columns of these names in pages are replaced. A p_block of exactly 0.5 blocks. Repeated rows and other columns stay; an
+    empty table gives an empty result."""
     host, path = host_path(F.col(url_col))
     got = pages.withColumn("host", host).withColumn("path", path)
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    p = _sigmoid(_margin(F.array(*[F.lit(w) for w in weights]), features(F.col("host"), F.col("path"))))
-    got = got.withColumn("rule", rule).withColumn("p_block", p)
+    name = free_name(got, "grams")
+    got = got.withColumn("rule", rule).withColumn(name, features(F.col("host"), F.col("path")))
+    got = got.withColumn("p_block", _sigmoid(_margin(F.array(*[F.lit(w) for w in weights]), F.col(name)))).drop(name)
     return got.withColumn("verdict", F.coalesce(verdict, F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    urls = labelled_urls(spark)
-    host, path = host_path(F.col("url"))
-    weights = train(urls.select(host.alias("host"), path.alias("path"), "label"))
+    weights = trained(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(pages, weights).select("page_id", "host", "path", "rule", "verdict", F.round("p_block", 6).alias("p_block"))

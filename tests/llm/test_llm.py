@@ -4,9 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tamga.llm import bpe, exact_dedup, fingerprints, html_text, language_id, minhash_dedup, mixing, secret_scan, suffix_dedup, url_filter
@@ -278,18 +280,65 @@ def test_trigram_queries_hold():
 # ---- URLs ------------------------------------------------------------------------------------------------------------
 
 
+def plain_grams(host, path):
+    found = set()
+    for name, part in (("h", host), ("p", path)):
+        text = "^" + re.sub("[0-9]", "0", part) + "$"
+        for i in range(max(len(text) - url_filter.N + 1, 1)):
+            h = xxhash.xxh64_intdigest(text[i : i + url_filter.N].encode(), xxhash.xxh64_intdigest(name.encode(), 42))
+            found.add((h - (1 << 64) if h >> 63 else h) % url_filter.DIM)
+    return sorted(found)
+
+
+def plain_weights(rows):
+    x, y = np.zeros((len(rows), url_filter.DIM + 1)), np.array([r[2] for r in rows], float)
+    for i, (host, path, _) in enumerate(rows):
+        grams = plain_grams(host, path)
+        x[i, grams], x[i, -1] = len(grams) ** -0.5, 1
+    w = np.zeros(url_filter.DIM + 1)
+    for _ in range(url_filter.STEPS):
+        w = w * (1 - url_filter.DECAY) + url_filter.RATE * x.T @ (y - 1 / (1 + np.exp(-x @ w))) / len(rows)
+    return w
+
+
+def split_url(url):
+    rest = (url or "").partition("://")[2]
+    host = re.split("[/?#]", rest)[0]
+    return host.lower(), re.split("[?#]", rest[len(host) :])[0]
+
+
+def test_url_regression(spark):
+    """Training and verdicts against a plain version; accuracy on rows that were held out."""
+    rows = [(*split_url(r.url), r.label, r.held_out) for r in url_filter.labelled_urls(spark).collect()]
+    weights = url_filter.trained(spark)
+    plain = plain_weights([r[:3] for r in rows if not r[3]])
+    assert np.abs(np.array(weights) - plain).max() < 1e-6
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    for r in url_filter.judge(pages, weights).collect():
+        host, path = split_url(r.url)
+        grams = plain_grams(host, path)
+        p = 1 / (1 + np.exp(-(plain[grams].sum() * len(grams) ** -0.5 + plain[-1])))
+        fits = [(len(h + q), v, h + q) for v, h, q in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        assert (r.host, r.path, r.rule) == (host, path, max(fits)[2] if fits else None) and abs(r.p_block - p) < 1e-6
+        assert r.verdict == (max(fits)[1] if fits else "block" if p >= 0.5 else "allow")
+    held = url_filter.judge(url_filter.labelled_urls(spark).where("held_out"), weights, rules=()).select((F.col("verdict") == F.when(F.col("label") == 1, "block").otherwise("allow")).cast("int").alias("ok"))
+    assert held.agg(F.avg("ok")).first()[0] > 0.9
+    with pytest.raises(ValueError):
+        url_filter.train(spark.range(url_filter.MOST_LABELLED + 1).selectExpr("'h' AS host", "'p' AS path", "1 AS label"))
+    assert set(url_filter.train(spark.createDataFrame([], "host string, path string, label int"))) == {0.0}
+
+
 def test_urls(spark):
-    urls = ["http://WWW.Example.com/en/a?x#y", "https://example.com/en/", "http://a.example.com/en/x", "http://b.com", "http://b.net/es/1", "http://x.net/fr/", "nothing", None, "", "http://notexample.com/en/1", "ftp://b.net?x/es/", "http://net/es/"]
-    rows = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").withColumn("rule", F.lit(1))
-    labelled = url_filter.labelled_urls(spark)
-    host, path = url_filter.host_path(F.col("url"))
-    weights = url_filter.train(labelled.select(host.alias("host"), path.alias("path"), "label"))
-    got = {r.page_id: r for r in url_filter.judge(rows, weights).collect()}
+    urls = ["http://WWW.Example.com/en/a?x#y", "https://example.com/en/", "http://a.example.com/en/x", "http://b.com", "http://b.net/es/1", "http://x.net/fr/", "nothing", None, "", "http://notexample.com/en/1", "ftp://b.net?x/es/", "http://net/es/", "http://n.org/" + "ab1" * 30_000]
+    rows = spark.createDataFrame([*enumerate(urls), (3, urls[3])], "page_id bigint, url string").withColumn("rule", F.lit(1))
+    weights = url_filter.trained(spark)
+    all_ = url_filter.judge(rows, weights).collect()
+    got = {r.page_id: r for r in all_}
     assert [got[i].rule for i in range(12)] == ["www.example.com/en/", "example.com/en/", "example.com/en/", None, "net/es/", "net/fr/", None, None, None, "com/", None, "net/es/"]
     assert (got[0].host, got[0].path, got[0].verdict, got[1].verdict) == ("www.example.com", "/en/a", "allow", "block")
-    assert (got[7].host, got[7].path, got[10].host, got[10].path) == ("", "", "b.net", "")
-    alone = url_filter.judge(labelled, weights, rules=()).select((F.col("verdict") == F.when(F.col("label") == 1, "block").otherwise("allow")).cast("int").alias("ok"))
-    assert alone.agg(F.avg("ok")).first()[0] > 0.95
+    assert (got[7].host, got[7].path, got[10].host, got[10].path) == ("", "", "b.net", "") and len(got[12].path) == 90_001
+    assert sum(r.page_id == 3 for r in all_) == 2
+    assert {r.verdict for r in url_filter.judge(rows, [0.0] * (url_filter.DIM + 1), rules=()).collect()} == {"block"}  # a tie blocks
     assert url_filter.judge(rows.limit(0), weights).count() == 0
 
 
@@ -402,6 +451,48 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(frame(spark, ODD), [], np.zeros((0, language_id.DIM), np.float32)).collect()} == {"und"}
 
 
+def plain_trigrams(text):
+    """Trigrams of the letters of a text as symbols; runs of other characters are one boundary."""
+    first = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
+    marks = [0]
+    for c in text:
+        if c.isalpha():
+            low = c.lower()[:1]
+            marks.append(1 + first.index(low) if low in first else 1 + len(first) + ord(low) % (language_id.SYMBOLS - 1 - len(first)))
+        elif marks[-1]:
+            marks.append(0)
+    marks += [0] if marks[-1] else []
+    return collections.Counter(tuple(marks[i - 1 : i + 2]) for i in range(1, len(marks) - 1) if marks[i])
+
+
+def plain_bundle(grams):
+    base = np.random.default_rng(language_id.SEED).integers(0, 2, (language_id.SYMBOLS, language_id.DIM)) * 2 - 1
+    total = np.zeros(language_id.DIM)
+    for (a, b, c), n in grams.items():
+        total += n * np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
+    return total / max(np.linalg.norm(total), 1e-9)
+
+
+def test_language_against_plain(spark):
+    """Prototypes, predictions and scores against a version that bundles one trigram after the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    taught = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.text and r.lang]
+    names = sorted({r.lang for r in taught})
+    plain = {name: plain_bundle(sum((plain_trigrams(r.text) for r in taught if r.lang == name), collections.Counter())) for name in names}
+    got, prototypes = language_id.trained(docs)
+    assert got == names and all(np.abs(p - plain[n]).max() < 1e-4 for n, p in zip(names, prototypes))
+    texts = [(r.doc_id, r.text) for r in rows[:60]] + [(900, "Ärger, ΑΒΓ ελ 日本 x1y"), (901, None), (902, "12"), (903, "le"), (903, "le")]
+    said = language_id.identify(frame(spark, texts), names, prototypes).collect()
+    assert len(said) == len(texts)
+    for r in said:
+        grams = plain_trigrams(r.text or "")
+        vector = plain_bundle(grams)
+        near = {n: float(v @ vector) for n, v in plain.items()}
+        best = max(near.values())
+        assert abs(r.score - max(best, 0.0)) < 1e-3 and (near[r.lang_pred] > best - 1e-3 if grams else (r.lang_pred, r.score) == ("und", 0.0))
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 
 
