@@ -466,7 +466,7 @@ def plain_trigrams(text):
 
 
 def plain_bundle(grams):
-    base = np.random.default_rng(language_id.SEED).integers(0, 2, (language_id.SYMBOLS, language_id.DIM)) * 2 - 1
+    base = np.random.default_rng(language_id.SEED).integers(0, 2, (language_id.SYMBOLS, language_id.DIM), dtype=np.int8).astype(int) * 2 - 1
     total = np.zeros(language_id.DIM)
     for (a, b, c), n in grams.items():
         total += n * np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
