@@ -7,6 +7,9 @@ a score per group and one per resample are sums of the same rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +22,6 @@ BLEU_SIGNATURE = "nrefs:1|case:mixed|eff:no|tok:13a|smooth:exp"
 PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 
 
-def char_ngrams(c: Column) -> Column:
-    """array<struct<n, gram>> of the n-grams of a text without white space; a look-ahead finds overlapping ones."""
-    text = F.regexp_replace(c, f"[{SPACE}]+", "")
-    each = [F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, CHAR_ORDERS + 1)]
-    return F.concat(*[F.transform(x, _numbered(n)) for n, x in enumerate(each, 1)])
-
-
-def _numbered(n: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
-
-
 def chrf_words(c: Column) -> Column:
     """White-space words, with one punctuation mark at the end, or else at the beginning, as a word of its own."""
     parts = F.filter(F.split(py_strip(c), f"[{SPACE}]+"), lambda x: F.length(x) > 0)
@@ -55,42 +47,44 @@ def words_13a(c: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda x: F.length(x) > 0)
 
 
-def _word_ngrams(tokens: Column, orders: int) -> Column:
-    """array<struct<n, gram>>; tokens must be a plain column, since it is looked up for each n-gram."""
-    lists = []
-    for n in range(1, orders + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        lists.append(F.transform(starts, _gram(tokens, n)))
-    return F.concat(*lists)
+def _counted(orders: int):
+    """Two texts or token lists -> for each order the n-grams of both sides and the clipped matches. Nothing leaves the row."""
 
+    def run(hyps: pa.Array, refs: pa.Array) -> pa.Array:
+        out = []
+        for one, two in zip(hyps.to_pylist(), refs.to_pylist()):
+            found = []
+            for n in range(1, orders + 1):
+                h, r = (Counter(_grams(side, n)) for side in (one or (), two or ()))
+                small, large = (h, r) if len(h) < len(r) else (r, h)
+                found.append({"n": n, "hyp": h.total(), "ref": r.total(), "match": sum(min(c, large[g]) for g, c in small.items() if g in large)})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("n", pa.int32()), ("hyp", pa.int64()), ("ref", pa.int64()), ("match", pa.int64())])))
 
-def _gram(tokens: Column, n: int):
-    return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram"))
+    return F.arrow_udf(run, "array<struct<n: int, hyp: bigint, ref: bigint, match: bigint>>")
 
 
-def _matches(grams: DataFrame, kind: str) -> DataFrame:
-    """grams: seg, h, r (arrays of n-grams) -> seg, kind, n, hyp, ref, match: counts of both sides and clipped matches."""
-    sides = F.concat(*[F.transform(side, _marked(k)) for k, side in enumerate(("h", "r"))])
-    each = grams.select("seg", F.explode(sides).alias("g")).groupBy("seg", F.col("g.n").alias("n"), F.col("g.gram").alias("gram"))
-    counts = each.agg(F.sum(1 - F.col("g.side")).alias("h"), F.sum("g.side").alias("r"))
-    return counts.groupBy("seg", "n").agg(F.sum("h").alias("hyp"), F.sum("r").alias("ref"), F.sum(F.least("h", "r")).alias("match")).select("seg", F.lit(kind).alias("kind"), "n", "hyp", "ref", "match")
+def _grams(side, n: int):
+    """n-grams of a text as strings, of a list as tuples."""
+    if isinstance(side, str):
+        return [side[i : i + n] for i in range(len(side) - n + 1)]
+    return zip(*(side[k:] for k in range(n)))
 
 
-def _marked(side: int):
-    return lambda g: F.struct(g.n.alias("n"), g.gram.alias("gram"), F.lit(side).alias("side"))
+def _of(pairs: DataFrame, kind: str, split, orders: int) -> DataFrame:
+    """pairs: seg, hyp, ref -> seg, kind, n, hyp, ref, match for the orders that either side has."""
+    told = pairs.select("seg", F.explode(_counted(orders)(split(F.col("hyp")), split(F.col("ref")))).alias("x"))
+    return told.select("seg", F.lit(kind).alias("kind"), "x.*").where("hyp + ref > 0")
 
 
-def _of_words(pairs: DataFrame, kind: str, split, orders: int) -> DataFrame:
-    # the tokens are used per n-gram, so the planner keeps this projection apart and makes them once
-    tokens = pairs.select("seg", split(F.col("hyp")).alias("th"), split(F.col("ref")).alias("tr"))
-    return _matches(tokens.select("seg", _word_ngrams(F.col("th"), orders).alias("h"), _word_ngrams(F.col("tr"), orders).alias("r")), kind)
+def without_space(c: Column) -> Column:
+    return F.regexp_replace(c, f"[{SPACE}]+", "")
 
 
 def chrf_statistics(pairs: DataFrame) -> DataFrame:
     """pairs: seg, hyp, ref -> seg, kind (c or w), n, hyp, ref, match. A hypothesis' n-grams of an order that the reference
     hasn't got don't count."""
-    chars = pairs.select("seg", char_ngrams(F.col("hyp")).alias("h"), char_ngrams(F.col("ref")).alias("r"))
-    made = _matches(chars, "c").unionByName(_of_words(pairs, "w", chrf_words, WORD_ORDERS))
+    made = _of(pairs, "c", without_space, CHAR_ORDERS).unionByName(_of(pairs, "w", chrf_words, WORD_ORDERS))
     return made.withColumn("hyp", F.when(F.col("ref") > 0, F.col("hyp")).otherwise(0))
 
 
@@ -116,7 +110,7 @@ def sentence_chrf(pairs: DataFrame) -> DataFrame:
 
 def corpus_bleu(pairs: DataFrame, *by: str) -> DataFrame:
     """by, bleu: clipped precisions of orders 1-4, exponential smoothing of empty ones, brevity penalty."""
-    stats = _of_words(pairs, "b", words_13a, BLEU_ORDERS)
+    stats = _of(pairs, "b", words_13a, BLEU_ORDERS)
     sums = (stats.join(pairs.select("seg", *by), "seg") if by else stats).groupBy(*by, "n").agg(*[F.sum(c).alias(c) for c in ("hyp", "ref", "match")])
     at = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{n}")
     wide = sums.groupBy(*by).agg(*[at(c, n) for c in ("hyp", "match") for n in range(1, BLEU_ORDERS + 1)], at("ref", 1))

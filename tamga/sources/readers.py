@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from dataclasses import dataclass
 
@@ -43,26 +44,16 @@ def get_reader(suffix: str):
 
 @register_reader(".json")
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of objects, an object that has the list under data, rows, items or examples, or one object. A byte-order mark at
-    the beginning is skipped. A JSON document is read whole, by one task: corpora come as JSON lines or Parquet."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\x{FEFF}", "").alias("value"))
-    df = _json_of(spark, text)
+    """A list of objects, an object that has the list under data, rows, items or examples, or one object. Of several files all
+    fields are kept. A byte-order mark at the beginning is skipped. A JSON document is read by one task: corpora come as JSON
+    lines or Parquet."""
+    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("allowNumericLeadingZeros", True).json(path)
     for name in WRAPPERS:
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
             return df.select(F.inline(name)) if df.schema[name].dataType.elementType.typeName() == "struct" else df
     return df
 
 
-def _json_of(spark: SparkSession, text: DataFrame) -> DataFrame:
-    """Parse whole documents with a schema inferred from them."""
-    value = text.first()
-    if value is None:
-        return spark.createDataFrame([], "value string").drop("value")
-    schema = spark.range(1).select(F.schema_of_json(F.lit(value[0]), {"allowNumericLeadingZeros": "true"})).first()[0]
-    parsed = text.select(F.from_json("value", schema).alias("x"))
-    return parsed.select(F.inline("x")) if schema.upper().startswith("ARRAY") else parsed.select("x.*")
-
-
 @register_reader(".jsonl")
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One object per line; blank lines are skipped."""
@@ -104,12 +95,21 @@ def resolve(source: str, roots: tuple[str, ...] = ()) -> str | None:
 
 
 def file_sha256(spark: SparkSession, path: str) -> str:
-    """Hash of a file's bytes; of a folder, of its files' hashes by name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha"))
-    rows = sorted((r["path"], r["sha"]) for r in files.collect())
-    if len(rows) == 1:
-        return rows[0][1]
-    return spark.range(1).select(F.sha2(F.lit("\n".join(x for _, x in rows)), 256)).first()[0]
+    """Hash of a file's bytes; of a folder, of its files' hashes by name. Files of any size are read as streams."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        one = files.next().getPath()
+        stream = fs.open(one)
+        try:
+            found.append((one.toString(), sc._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
+        finally:
+            stream.close()
+    if len(found) == 1:
+        return found[0][1]
+    return hashlib.sha256("\n".join(x for _, x in sorted(found)).encode()).hexdigest()
 
 
 def load(spark: SparkSession, source: str, roots: tuple[str, ...] = (), revision: str = "") -> Dataset:
