@@ -12,6 +12,11 @@ PUBLISH, PROVISIONAL = 0.5, 0.8
 CLOSED = ("unknown", "proprietary", "closed", "")
 
 
+def published(c: Column) -> Column:
+    """A number with two digits, halves to the even one."""
+    return F.bround(c, 2)
+
+
 def latest_runs(runs: DataFrame, suite: list[str]) -> DataFrame:
     """The newest run of each model among those that measured a task of the suite; of equal times the first by path.
 
@@ -26,12 +31,13 @@ def latest_runs(runs: DataFrame, suite: list[str]) -> DataFrame:
 def cells(models: DataFrame, scores: DataFrame, suite: DataFrame) -> DataFrame:
     """One row per model and task of the suite: state missing, withheld, provisional or published.
 
-    models: model. scores: model, task, score, ci_low, ci_high, coverage. suite: task, chance; it is small by nature.
+    models: model. scores: model, task, score, ci_low, ci_high, coverage. suite: task, chance; it is small by nature. Scores and
+    bounds are shown, compared and averaged with two digits, as they are published.
     """
     tasks = F.array(*[F.struct(F.lit(r["task"]).alias("task"), F.lit(float(r["chance"])).alias("chance")) for r in suite.orderBy("task").collect()])
     grid = models.select("model").distinct().withColumn("s", tasks)
     grid = grid.select("model", F.explode("s").alias("s")).select("model", "s.task", "s.chance")
-    met = grid.join(scores, ["model", "task"], "left")
+    met = grid.join(scores, ["model", "task"], "left").withColumns({c: published(F.col(c)) for c in ("score", "ci_low", "ci_high")})
     state = F.when(F.col("coverage").isNull(), "missing").when(F.col("coverage") < PUBLISH, "withheld").when(F.col("coverage") < PROVISIONAL, "provisional").otherwise("published")
     return met.withColumn("state", state)
 
@@ -39,8 +45,8 @@ def cells(models: DataFrame, scores: DataFrame, suite: DataFrame) -> DataFrame:
 def composites(cells_: DataFrame, require_complete: bool = True) -> DataFrame:
     """model, composite, complete, missing. The composite is the mean of chance-normalised scores."""
     shown = F.col("state").isin("published", "provisional")
-    value = F.when(shown, against_chance(F.col("score"), F.col("chance")))
-    out = cells_.groupBy("model").agg(F.avg(value).alias("mean"), F.count_if(shown).alias("n"), F.count("*").alias("tasks"), F.array_sort(F.collect_list(F.when(~shown, F.col("task")))).alias("missing"))
+    value = F.when(shown, published(against_chance(F.col("score"), F.col("chance"))))
+    out = cells_.groupBy("model").agg(published(F.avg(value)).alias("mean"), F.count_if(shown).alias("n"), F.count("*").alias("tasks"), F.array_sort(F.collect_list(F.when(~shown, F.col("task")))).alias("missing"))
     complete = F.col("n") == F.col("tasks")
     return out.select("model", F.when(complete | F.lit(not require_complete), F.col("mean")).alias("composite"), complete.alias("complete"), "missing")
 

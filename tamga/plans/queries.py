@@ -443,6 +443,8 @@ def _docs(spark, d):
 
 _LOWER = f"trim(regexp_replace(lower(translate(v, '{D._A}', repeat('ʻ', 9))), '{_S}+', ' ', 'g'))"
 _PARTS = f"list_filter(list_transform(CASE WHEN contains(v, '***') THEN string_split(v, '***') ELSE string_split_regex(v, '\\n\\s*\\n') END, lambda x: trim(x, ' ' || chr(10) || chr(9))), lambda x: length(x) > 0)"
+_TWO = _PARTS.replace("""CASE WHEN contains(v, '***') THEN string_split(v, '***') ELSE string_split_regex(v, '\\n\\s*\\n') END""", "string_split(v, repeat('*', 6))")
+_FIRST = f"string_split_regex(({_PARTS})[2], '{_S}+')[1]"
 #: name -> (arguments, SQL of the test)
 CHECKED = {
     "punctuation:no_comma": ({}, "NOT regexp_matches(v, '[,،、，]')"),
@@ -459,11 +461,11 @@ CHECKED = {
     "keywords:forbidden_words": ({"forbidden_words": ["wher", "eines"]}, f"NOT regexp_matches({_LOWER}, '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])(wher|eines)')"),
     "startend:end_checker": ({"end_phrase": ["The."]}, f"suffix(rtrim({_LOWER}, ' .!?'), 'the')"),
     "combination:repeat_prompt": ({"prompt_to_repeat": ["An"]}, f"starts_with({_LOWER}, 'an')"),
-    "combination:two_responses": ({}, None),
+    "combination:two_responses": ({}, f"len({_TWO}) = 2 AND {_LOWER.replace('translate(v', f'translate(({_TWO})[1]')} <> {_LOWER.replace('translate(v', f'translate(({_TWO})[2]')}"),
     "detectable_content:postscript": ({"postscript_marker": ["e.a."]}, "regexp_matches(v, '(?i)(^|[^\\p{L}\\p{N}_])e\\.\\s*a\\.')"),
     "detectable_format:multiple_sections": ({"section_spliter": ["erth"], "num_sections": ["1"]}, "len(regexp_extract_all(v, '(?i)erth\\s?\\d+')) >= 1"),
     "detectable_format:constrained_response": ({"allowed_responses": ["in the", "de la"]}, f"contains({_LOWER}, 'in the') OR contains({_LOWER}, 'de la')"),
-    "length_constraints:nth_paragraph_first_word": ({"first_word": ["the"], "nth_paragraph": ["2"]}, None),
+    "length_constraints:nth_paragraph_first_word": ({"first_word": ["the"], "nth_paragraph": ["2"]}, f"coalesce(len({_PARTS}) >= 2 AND trim({_LOWER.replace('translate(v', f'translate(({_FIRST})')}, '.,!?;:\"' || chr(39)) = 'the', false)"),
     "detectable_format:json_format": ({}, None),
 }
 
@@ -683,17 +685,41 @@ def chrf_stats(spark, d):
     return mt.chrf_statistics(D.turns(spark, d)).where("kind = 'c'").drop("kind")
 
 
-@query("chrf_by_direction")
+_PUNCTUATED = "'[' || chr(33) || '-' || chr(47) || ':-@' || '\\[-`{-~]'"
+
+
+def _words_sql(side: str) -> str:
+    words = f"list_filter(string_split_regex({side}, '{_S}+'), lambda w: length(w) > 0)"
+    return f"""flatten(list_transform({words}, lambda w: CASE WHEN length(w) > 1 AND regexp_matches(right(w, 1), {_PUNCTUATED}) THEN [left(w, length(w) - 1), right(w, 1)]
+ WHEN length(w) > 1 AND regexp_matches(left(w, 1), {_PUNCTUATED}) THEN [left(w, 1), substring(w, 2)] ELSE [w] END))"""
+
+
+def _grams_sql(side: str) -> str:
+    return f"""SELECT seg, 'c' AS kind, n, g FROM ({_chars_sql(side)}) UNION ALL
+ SELECT seg, 'w', n, array_to_string(t[i:i + n - 1], ' ') FROM (SELECT seg, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM (SELECT seg, {_words_sql(side)} AS t FROM turns), range(1, 3) t_(n))"""
+
+
+def _chrf_sql(by: str) -> str:
+    """Corpus chrF++ from n-gram counts, by a column of the segments, or of all."""
+    return f"""WITH {D.TURNS}, h AS (SELECT seg, kind, n, g, count(*) AS c FROM ({_grams_sql('hyp')}) GROUP BY ALL), r AS (SELECT seg, kind, n, g, count(*) AS c FROM ({_grams_sql('ref')}) GROUP BY ALL),
+m AS (SELECT coalesce(h.seg, r.seg) AS seg, coalesce(h.kind, r.kind) AS kind, coalesce(h.n, r.n) AS n, coalesce(h.c, 0) AS hc, coalesce(r.c, 0) AS rc FROM h FULL OUTER JOIN r ON h.seg = r.seg AND h.kind = r.kind AND h.n = r.n AND h.g = r.g),
+e AS (SELECT seg, kind, n, CASE WHEN sum(rc) > 0 THEN sum(hc) ELSE 0 END AS hyp, sum(rc) AS ref, sum(least(hc, rc)) AS match FROM m GROUP BY seg, kind, n),
+s AS (SELECT {by} AS k, kind, n, CAST(sum(hyp) AS DOUBLE) AS hyp, CAST(sum(ref) AS DOUBLE) AS ref, CAST(sum(match) AS DOUBLE) AS match FROM e JOIN (SELECT seg, direction FROM turns) USING (seg) GROUP BY ALL),
+p AS (SELECT k, avg(match / hyp) FILTER (WHERE hyp > 0 AND ref > 0) AS p, avg(match / ref) FILTER (WHERE hyp > 0 AND ref > 0) AS r FROM s GROUP BY k),
+f AS (SELECT k, CASE WHEN coalesce(p + r, 0) > 0 THEN 5 * p * r / (4 * p + r) * 100 ELSE 0.0 END AS chrf FROM p)"""
+
+
+@query("chrf_by_direction", f"{_chrf_sql('direction')} SELECT k AS direction, round(chrf, 6) AS chrf FROM f")
 def chrf_by_direction(spark, d):
     return rounded(mt.corpus_chrf(D.turns(spark, d), "direction"), "chrf")
 
 
-@query("chrf_overall")
+@query("chrf_overall", f"{_chrf_sql('1')} SELECT round(chrf, 6) AS chrf FROM f")
 def chrf_overall(spark, d):
     return rounded(mt.corpus_chrf(D.turns(spark, d)), "chrf")
 
 
-@query("sentence_chrf")
+@query("sentence_chrf", f"{_chrf_sql('seg')} SELECT k AS seg, round(chrf, 6) AS chrf FROM f")
 def sentence_chrf(spark, d):
     return rounded(mt.sentence_chrf(D.turns(spark, d)), "chrf")
 
@@ -727,14 +753,14 @@ def _cells(spark, d):
 
 def _cells_sql() -> str:
     low, high = wilson_sql("correct", "n")
-    return f"""{D.RESULTS}, s AS (SELECT model, task, CASE WHEN n > 0 THEN correct / n * 100 ELSE 0.0 END AS score, {low} AS ci_low, {high} AS ci_high, n / CAST(n_items AS DOUBLE) AS coverage FROM
+    return f"""{D.RESULTS}, s AS (SELECT model, task, round_even(CASE WHEN n > 0 THEN correct / n * 100 ELSE 0.0 END, 2) AS score, round_even({low}, 2) AS ci_low, round_even({high}, 2) AS ci_high, n / CAST(n_items AS DOUBLE) AS coverage FROM
  (SELECT model, task, count(*) FILTER (WHERE {D.SCORABLE}) AS n, coalesce(sum(score) FILTER (WHERE {D.SCORABLE}), 0.0) AS correct, count(*) AS n_items FROM results WHERE NOT (model = 'src3' AND task = 'fr') GROUP BY model, task)),
 suite AS (SELECT * FROM (VALUES {', '.join(f"('{t}', {c}::DOUBLE)" for t, c in _SUITE)}) t(task, chance)),
 cells AS (SELECT m.model, suite.task, chance, score, ci_low, ci_high, coverage, CASE WHEN coverage IS NULL THEN 'missing' WHEN coverage < 0.5 THEN 'withheld' WHEN coverage < 0.8 THEN 'provisional' ELSE 'published' END AS state
  FROM (SELECT DISTINCT model FROM results) m CROSS JOIN suite LEFT JOIN s ON s.model = m.model AND s.task = suite.task)"""
 
 
-_COMPOSITE = """c AS (SELECT model, avg(greatest(0.0, (score / 100 - chance) / (1 - chance)) * 100) FILTER (WHERE state IN ('published', 'provisional')) AS mean, count(*) FILTER (WHERE state IN ('published', 'provisional')) = count(*) AS complete FROM cells GROUP BY model),
+_COMPOSITE = """c AS (SELECT model, round_even(avg(round_even(greatest(0.0, (score / 100 - chance) / (1 - chance)) * 100, 2)) FILTER (WHERE state IN ('published', 'provisional')), 2) AS mean, count(*) FILTER (WHERE state IN ('published', 'provisional')) = count(*) AS complete FROM cells GROUP BY model),
 ranked AS (SELECT model, CASE WHEN complete THEN mean END AS composite, complete, CASE WHEN complete THEN CAST(row_number() OVER (PARTITION BY complete ORDER BY mean DESC, model) AS INT) END AS rank FROM c)"""
 
 
@@ -895,7 +921,7 @@ def quarantine(spark, d):
     return good.select("item_id", F.lit(False).alias("bad")).unionByName(bad.select("item_id", F.lit(True).alias("bad")))
 
 
-@query("chrf_macro")
+@query("chrf_macro", f"{_chrf_sql('direction')} SELECT round(avg(chrf), 6) AS macro, count(*) AS groups FROM f")
 def chrf_macro(spark, d):
     return rounded(builder.macro_mean(mt.corpus_chrf(D.turns(spark, d), "direction"), "chrf"), "macro")
 
