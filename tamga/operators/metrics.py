@@ -91,11 +91,19 @@ def paired_bootstrap_hashed(pairs: DataFrame, samples: int = 200, seed: int = 12
 
 
 def interval(values: DataFrame, column: str) -> DataFrame:
-    """low, high: the values at positions int(0.025 n) and min(n - 1, int(0.975 n)) of the sorted column."""
-    n = F.count("*").over(Window.partitionBy())
-    placed = values.select(F.col(column).alias("v"), (F.row_number().over(Window.orderBy(column)) - 1).alias("k"), n.alias("n"))
-    at = lambda q: F.floor(F.lit(q) * F.col("n")).cast("int")
-    return placed.agg(F.max(F.when(F.col("k") == at(0.025), F.col("v"))).alias("low"), F.max(F.when(F.col("k") == F.least(F.col("n") - 1, at(0.975)), F.col("v"))).alias("high"))
+    """low, high: the values at positions int(0.025 n) and min(n - 1, int(0.975 n)) of the sorted column.
+
+    Equal values are counted first, and the counts are added up by ranges of values, so no task sees the whole column.
+    """
+    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
+    cuts = values.select(F.percentile_approx(F.col(column).cast("double"), [k / 64 for k in range(1, 64)], 1000)).scalar()
+    dealt = counts.withColumn("cuts", cuts).select("v", "c", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda x: x < F.col("v").cast("double"))).alias("part"))
+    below = dealt.groupBy("part").agg(F.sum("c").alias("sum"))
+    below = below.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("before"), F.sum("sum").over(Window.partitionBy()).alias("n"))  # 64 rows
+    placed = dealt.join(F.broadcast(below), "part").withColumn("end", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
+    at = lambda q: F.floor(F.lit(q) * F.col("n")).cast("bigint")
+    has = lambda k: (F.col("end") > k) & (F.col("end") - F.col("c") <= k)
+    return placed.agg(F.max(F.when(has(at(0.025)), F.col("v"))).alias("low"), F.max(F.when(has(F.least(F.col("n") - 1, at(0.975))), F.col("v"))).alias("high"))
 
 
 def chrf_interval(pairs: DataFrame, samples: int = 500, seed: int = 12345) -> DataFrame:
@@ -135,7 +143,7 @@ def by_instruction(judged: DataFrame, least: int = 15) -> DataFrame:
 
 
 def exclusion_reasons(judged: DataFrame) -> DataFrame:
-    return judged.where("outcome = 'excluded'").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+    return judged.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
 def replicates(scores: DataFrame) -> DataFrame:

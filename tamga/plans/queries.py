@@ -519,7 +519,7 @@ def constraint_by_type(spark, d):
 
 @query("exclusion_reasons", f"""WITH {_DOCS} SELECT reason, count(*) AS n FROM (SELECT 'not-meaningful-in-uzbek' AS reason FROM docs UNION ALL SELECT 'unregistered' FROM docs UNION ALL SELECT 'language:response_language needs a detector' FROM docs UNION ALL SELECT 'kwargs-not-localised' FROM docs WHERE doc_id % 2 <> 0) GROUP BY reason""")
 def exclusion_reasons(spark, d):
-    return metrics.exclusion_reasons(C.evaluate(_grid(spark, d)))
+    return metrics.exclusion_reasons(C.with_reasons(_grid(spark, d)))
 
 
 # ---- items and validators --------------------------------------------------------------------------------------------

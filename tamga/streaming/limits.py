@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT = 5
-HOUR = pd.Timedelta(hours=1)
+HOUR = 3_600_000_000  # microseconds
 
 
 def clip(c, n: int):
@@ -28,17 +28,23 @@ def checked(rows: DataFrame) -> DataFrame:
 
 def accepted(events: DataFrame, limit: int = LIMIT) -> DataFrame:
     """key, event_id, ok: an event is rejected if its key has `limit` accepted ones in the hour before it. events: key,
-    event_id, ts. Sequential per key, so each key's times (not its payload) go through one task in order."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        kept: list = []
-        ok = []
-        for ts in pdf["ts"]:
-            kept = [x for x in kept if x >= ts - HOUR]
-            ok.append(len(kept) < limit)
-            if ok[-1]:
-                kept.append(ts)
-        return pd.DataFrame({"key": pdf["key"], "event_id": pdf["event_id"], "ok": ok})
-
-    return events.select("key", "event_id", "ts").groupBy("key").applyInPandas(run, "key string, event_id bigint, ok boolean")
+    event_id, ts. A key's events go through one task in order of time, as a stream: no more than `limit` times are held."""
+
+    def run(batches):
+        key, kept = None, []
+        for batch in batches:
+            ok = []
+            for own, ts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != key:
+                    key, kept = own, []
+                if ts is None:  # without a time nothing can be accepted
+                    ok.append(False)
+                    continue
+                kept = [x for x in kept if x >= ts - HOUR]
+                ok.append(len(kept) < limit)
+                if ok[-1]:
+                    kept.append(ts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["key", "event_id", "ok"])
+
+    rows = events.select("key", F.col("event_id").cast("bigint").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "event_id").mapInArrow(run, "key string, event_id bigint, ok boolean")
