@@ -20,6 +20,10 @@ SPACE = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2
 LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
+#: Letters of Latin and Cyrillic and punctuation that NFC leaves alone, as long as no combining mark is among them.
+COMPOSED = r"\x00-\x{2FF}\x{400}-\x{482}\x{48A}-\x{4FF}\x{2010}-\x{2027}"
+
+
 def text_udf(fn, kind: str = "string"):
     """An Arrow UDF from a function of one str; null stays null."""
     types = {"string": pa.string(), "boolean": pa.bool_()}
@@ -31,7 +35,9 @@ def text_udf(fn, kind: str = "string"):
 
 
 def nfc(c: Column) -> Column:
-    return text_udf(lambda x: unicodedata.normalize("NFC", x))(c)
+    """NFC. Texts of characters that never change in it stay in the JVM; only the others go to Python."""
+    odd = F.when(c.rlike(f"[^{COMPOSED}]"), c)
+    return F.when(odd.isNull(), c).otherwise(text_udf(lambda x: unicodedata.normalize("NFC", x))(odd))
 
 
 def casefold(c: Column) -> Column:
