@@ -14,6 +14,8 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
+from .functions.text import slug_of
 from .operators import board, records, validators
 from .registry import TASKS, get_task
 from .sources import config, readers
@@ -49,8 +51,11 @@ def _entry(task, results: DataFrame, dataset: readers.Dataset) -> dict:
     }
 
 
-def run_task(spark: SparkSession, cfg: config.TaskConfig, model: config.ModelConfig, folder: str, roots: tuple[str, ...] = (), limit: int = 0) -> dict:
-    """Ask for what has no good record yet, append the records, score the latest ones; a second call asks only for failures."""
+def run_task(spark: SparkSession, cfg: config.TaskConfig, model: config.ModelConfig, folder: str, roots: tuple[str, ...] = (), limit: int = 0, every: int = 1000) -> dict:
+    """Ask for what has no good record yet, append the records, score the latest ones; a second call asks only for failures.
+
+    Answers are committed for `every` items at a time, so a run that is killed loses no more than those under way.
+    """
     task = get_task(cfg.task)(seed=cfg.seed, **cfg.options)
     data = readers.load(spark, cfg.dataset, roots)
     from .operators.items import limited, numbered
@@ -59,13 +64,44 @@ def run_task(spark: SparkSession, cfg: config.TaskConfig, model: config.ModelCon
     made = (limited(made, limit) if limit else made).cache()
     log = os.path.join(folder, cfg.task)
     old = readers.read_records(spark, log) if os.path.isdir(log) else spark.createDataFrame([], RECORD).withColumn("ord", F.lit(0).cast("bigint"))
-    todo = records.pending(made, records.latest_non_error(old))
+    todo = records.pending(made, records.latest_non_error(old)).withColumn("part", F.floor(F.col("ord") / every)).cache()
     provider = get_provider(model.provider)(model.model, **model.extra_body)
     chosen = config.settings(cfg, model)
-    got = run_items(todo, provider, config.budget(cfg, model, task.max_tokens), chosen["concurrency"])
-    rows = got.join(todo.select("item_id", "prompt"), "item_id").select("item_id", "prompt", F.col("text").alias("response"), F.when(F.col("error").isNotNull(), "error").otherwise("ok").alias("status"), "finish_reason", "prompt_tokens", "completion_tokens", "latency_s", "error")
-    rows.write.mode("append").json(log)
-    return _entry(task, _scored(spark, task, made, log), data)
+    tokens = config.budget(cfg, model, task.max_tokens)
+    for part in sorted(r["part"] for r in todo.select("part").distinct().collect()):
+        _asked(todo.where(F.col("part") == part), provider, tokens, chosen["concurrency"]).write.mode("append").json(log)
+    todo.unpersist()
+    return _entry(task, _scored(spark, task, made, log), data) | provider.described(chosen["reasoning"])
+
+
+def _asked(items, provider, tokens: int, concurrency: int) -> DataFrame:
+    """Records of items that were put to a model."""
+    got = run_items(items, provider, tokens, concurrency)
+    return got.join(items.select("item_id", "prompt"), "item_id").select("item_id", "prompt", F.col("text").alias("response"), F.when(F.col("error").isNotNull(), "error").otherwise("ok").alias("status"), "finish_reason", "prompt_tokens", "completion_tokens", "latency_s", "error")
+
+
+def _manifest(path: str) -> dict:
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def run_model(spark: SparkSession, tasks: dict[str, config.TaskConfig], model: config.ModelConfig, folder: str, run_id: str, roots: tuple[str, ...] = (), limit: int = 0) -> dict:
+    """All tasks with one model; the manifest is written anew after each of them."""
+    path = f"{folder}/manifest.json"
+    manifest = {
+        "run_id": run_id, "model": model.name, "provider": model.provider, "license": model.license, "organization": model.organization, "weights_url": model.weights_url,
+        "quantization": model.quantization, "temperature": model.temperature, "reasoning": model.reasoning, "started_at": now(), "finished_at": "", "harness_version": __version__,
+        "harness_git_sha": commit(), "tasks": {},
+    } | _manifest(path)
+    for name, cfg in tasks.items():
+        try:
+            manifest["tasks"][name] = run_task(spark, cfg, model, folder, roots, limit)
+        except Exception as e:  # noqa: BLE001  a task that fails leaves the others alone
+            manifest["tasks"][name] = {"error": f"{type(e).__name__}: {e}"[:500]}
+        _save(path, manifest | {"finished_at": now()})
+    return manifest
 
 
 def _scored(spark, task, made: DataFrame, log: str, rescoring: bool = False) -> DataFrame:
@@ -86,8 +122,8 @@ def report(spark: SparkSession, folder: str, suite: config.SuiteConfig, chances:
     runs = board.latest_runs(readers.read_runs(spark, folder), suite.tasks)
     scores = readers.run_cells(runs).where(F.col("task").isin(*suite.tasks))
     cells = board.cells(runs, scores, spark.createDataFrame([(t, float(chances.get(t, 0.0))) for t in suite.tasks], "task string, chance double"))
-    ranked = board.ranked(board.composites(cells, suite.require_complete))
-    return board.document(ranked, cells, board.ties(ranked, cells))
+    ranked = board.ranked(board.composites(cells, suite.require_complete), runs)
+    return board.document(ranked, cells, board.ties(ranked, cells), board.run_details(runs, suite.tasks))
 
 
 def summary_lines(manifest: dict) -> list[str]:
@@ -135,22 +171,15 @@ def main(args: list[str] | None = None) -> int:
             bad += n
             print(f"{name}: {made.count()} items, {n} problems")
         return int(bool(bad) and a.strict)
-    folder = f"{a.runs}/{a.run_id}"
-    path = f"{folder}/manifest.json"
-    manifest = {}
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            manifest = json.load(f)
     if a.verb == "run":
-        model = config.load(config.ModelConfig, f"{a.configs}/models", a.model)
-        manifest = {"run_id": a.run_id, "model": model.name, "provider": model.provider, "license": model.license, "organization": model.organization, "started_at": now(), "finished_at": "", "harness_git_sha": commit(), "tasks": {}} | manifest
-        for name, cfg in tasks.items():
-            try:
-                manifest["tasks"][name] = run_task(spark, cfg, model, folder, (a.data,), a.limit)
-            except Exception as e:  # noqa: BLE001  a task that fails leaves the others alone
-                manifest["tasks"][name] = {"error": f"{type(e).__name__}: {e}"[:500]}
-            _save(path, manifest | {"finished_at": now()})
+        # a batch suite lists its models in the order in which they run, the smallest first
+        for name in [a.model] if a.model else suite.models:
+            run_id = a.run_id if a.model else f"{a.run_id}-{slug_of(name)}"
+            run_model(spark, tasks, config.load(config.ModelConfig, f"{a.configs}/models", name), f"{a.runs}/{run_id}", run_id, (a.data,), a.limit)
         return 0
+    folder = f"{a.runs}/{a.run_id}"
+    path = f"{folder}/manifest.json"
+    manifest = _manifest(path)
     for name, cfg in tasks.items():
         if os.path.isdir(os.path.join(folder, cfg.task)):
             manifest.setdefault("tasks", {})[name] = manifest.get("tasks", {}).get(name, {}) | rescore_task(spark, cfg, folder, (a.data,)) | {"rescored_at": now()}

@@ -108,10 +108,20 @@ def sentence_chrf(pairs: DataFrame) -> DataFrame:
     return chrf_score(chrf_statistics(pairs), "seg")
 
 
+def bleu_statistics(pairs: DataFrame) -> DataFrame:
+    """pairs: seg, hyp, ref -> seg, kind (b), n, hyp, ref, match."""
+    return _of(pairs, "b", words_13a, BLEU_ORDERS)
+
+
 def corpus_bleu(pairs: DataFrame, *by: str) -> DataFrame:
     """by, bleu: clipped precisions of orders 1-4, exponential smoothing of empty ones, brevity penalty."""
-    stats = _of(pairs, "b", words_13a, BLEU_ORDERS)
+    stats = bleu_statistics(pairs)
     sums = (stats.join(pairs.select("seg", *by), "seg") if by else stats).groupBy(*by, "n").agg(*[F.sum(c).alias(c) for c in ("hyp", "ref", "match")])
+    return bleu_score(sums, *by)
+
+
+def bleu_score(sums: DataFrame, *by: str) -> DataFrame:
+    """sums: by, n, hyp, ref, match (summed) -> by, bleu in percent."""
     at = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).cast("double").alias(f"{c}{n}")
     wide = sums.groupBy(*by).agg(*[at(c, n) for c in ("hyp", "match") for n in range(1, BLEU_ORDERS + 1)], at("ref", 1))
     logs, smooth, none = F.lit(0.0), F.lit(1.0), F.lit(False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -114,6 +115,23 @@ def slug(c: Column) -> Column:
     return F.when(F.length(out) > 0, out).otherwise("run")
 
 
+def slug_of(name: str) -> str:
+    """slug() of one name, on the driver."""
+    return re.sub("-+", "-", re.sub("[^A-Za-z0-9._-]+", "-", name)).strip("-").lower() or "run"
+
+
+# Characters that HTML gives a meaning to, the ampersand first.
+ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"}
+
+
+def html_escape(c: Column) -> Column:
+    """A text as it stands between tags or in an attribute; null is empty."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for plain, entity in ENTITIES.items():
+        out = F.replace(out, F.lit(plain), F.lit(entity))
+    return out
+
+
 def lines_of(c: Column) -> Column:
     """str.splitlines()."""
     parts = F.split(c, LINE_END, -1)

@@ -51,10 +51,15 @@ def composites(cells_: DataFrame, require_complete: bool = True) -> DataFrame:
     return out.select("model", F.when(complete | F.lit(not require_complete), F.col("mean")).alias("composite"), complete.alias("complete"), "missing")
 
 
-def ranked(composites_: DataFrame) -> DataFrame:
-    """rank 1, 2, ... by composite, ties by model; rows without a composite have no rank."""
-    order = Window.partitionBy(F.col("composite").isNull()).orderBy(F.desc("composite"), "model")
-    return composites_.withColumn("rank", F.when(F.col("composite").isNotNull(), F.row_number().over(order)))
+def ranked(composites_: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """rank 1, 2, ... by composite; rows without a composite have no rank. Of equal composites the model with the newer run
+    (runs as from latest_runs) goes first, without runs the first by name."""
+    met, newer = composites_, []
+    if runs is not None:
+        met = composites_.join(runs.select("model", F.col("when").alias("__when"), F.col("path").alias("__path")), "model", "left")
+        newer = [F.desc_nulls_last("__when"), F.asc_nulls_last("__path")]
+    order = Window.partitionBy(F.col("composite").isNull()).orderBy(F.desc("composite"), *newer, "model")
+    return met.withColumn("rank", F.when(F.col("composite").isNotNull(), F.row_number().over(order))).drop("__when", "__path")
 
 
 def ties(ranked_: DataFrame, cells_: DataFrame) -> DataFrame:
@@ -97,8 +102,45 @@ def tint(score: Column, chance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (score - chance) / F.greatest(F.lit(100.0) - chance, F.lit(1e-9))))
 
 
-def document(ranked_: DataFrame, cells_: DataFrame, ties_: DataFrame) -> DataFrame:
-    """One row per model with its cells as a map, as JSON."""
-    scores = cells_.where(F.col("state").isin("published", "provisional")).groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", F.struct("score", "ci_low", "ci_high", "coverage", (F.col("state") == "provisional").alias("provisional")))))).alias("scores"))
-    out = ranked_.join(scores, "model", "left").join(ties_.select("model", "tied_with"), "model", "left")
-    return out.select("rank", "model", F.to_json(F.struct("model", "rank", "composite", "complete", "missing", "scores", F.col("tied_with").alias("tiedWith"))).alias("row")).orderBy(F.asc_nulls_last("rank"), "model")
+# Names in the published document, and the columns they come from.
+CELL_FIELDS = {
+    "score": "score", "ci_low": "ci_low", "ci_high": "ci_high", "n": "n_scored", "n_items": "n_items", "coverage": "coverage", "unparsed_rate": "unparsed_rate",
+    "task_version": "task_version", "dataset_sha256": "sha", "at_or_below_chance": "at_or_below_chance",
+}
+RUN_FIELDS = {
+    "organization": "organization", "license": "license", "openWeights": "open_weights", "weightsUrl": "weights_url", "quantization": "quantization", "reasoning": "reasoning",
+    "runId": "run_id", "runDate": "run_date", "harnessVersion": "harness_version", "harnessCommit": "harness_commit", "temperature": "temperature", "provenance": "provenance",
+}
+
+
+def run_details(runs: DataFrame, suite: list[str]) -> DataFrame:
+    """What a board says about each model's run: one row per run with the columns of RUN_FIELDS and the model. runs as from
+    readers.read_runs, one per model. A task without a reasoning mode of its own has the run's."""
+    told = lambda c, other="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    own = lambda t: F.get_json_object(F.try_element_at("cells", F.lit(t)), "$.reasoning")
+    modes = [F.coalesce(F.nullif(own(t), F.lit("")), told("reasoning", "default")) for t in suite]
+    by_task = F.map_from_arrays(F.array(*[F.lit(t) for t in suite]), F.array(*modes))
+    return runs.select(
+        "model", F.coalesce("organization", F.lit("Unknown")).alias("organization"), F.coalesce("license", F.lit("unknown")).alias("license"), open_weights(F.col("license")).alias("open_weights"),
+        told("weights_url").alias("weights_url"), told("quantization").alias("quantization"), F.struct(reasoning_label(F.array(*modes)).alias("label"), by_task.alias("byTask")).alias("reasoning"),
+        "run_id", run_date(F.col("finished_at"), F.col("started_at")).alias("run_date"), told("harness_version").alias("harness_version"), F.left(told("harness_git_sha"), F.lit(12)).alias("harness_commit"),
+        "temperature", F.lit("organiser-run").alias("provenance"),
+    )
+
+
+def document(ranked_: DataFrame, cells_: DataFrame, ties_: DataFrame, details: DataFrame | None = None) -> DataFrame:
+    """One row per model as JSON: its cells by task, what is withheld or missing and, with details (run_details), its run."""
+    have = set(cells_.columns)
+    cell = F.struct(
+        *[F.col(c).alias(name) for name, c in CELL_FIELDS.items() if c in have], F.bround(F.col("chance") * 100, 1).alias("chance"), (F.col("state") == "provisional").alias("provisional")
+    )
+    shown, held = F.col("state").isin("published", "provisional"), F.col("state") == "withheld"
+    by_task = lambda use, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(use, F.struct("task", value))), lambda a, b: F.when(a["task"] < b["task"], -1).when(a["task"] > b["task"], 1).otherwise(0)))
+    told = cells_.groupBy("model").agg(by_task(shown, cell.alias("cell")).alias("scores"), by_task(held, F.bround("coverage", 4).alias("coverage")).alias("withheld"))
+    out = ranked_.join(told, "model", "left").join(ties_.select("model", "tied_with"), "model", "left")
+    fields = []
+    if details is not None:
+        out = out.join(details, "model", "left")
+        fields = [F.col(c).alias(name) for name, c in RUN_FIELDS.items()]
+    row = F.struct("model", "rank", *fields, "composite", "complete", "missing", "withheld", "scores", F.col("tied_with").alias("tiedWith"))
+    return out.select("rank", "model", F.to_json(row, {"ignoreNullFields": "false"}).alias("row")).orderBy(F.asc_nulls_last("rank"), "model")

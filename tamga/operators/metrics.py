@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import scorable
-from ..functions.mt import chrf_score, chrf_statistics
+from ..functions.mt import bleu_score, bleu_statistics, chrf_score, chrf_statistics
 from ..functions.stats import mcnemar, percent, wilson
 
 
@@ -107,15 +107,25 @@ def interval(values: DataFrame, column: str) -> DataFrame:
 
 
 def chrf_interval(pairs: DataFrame, samples: int = 500, seed: int = 12345) -> DataFrame:
-    """95 % interval of corpus chrF++ by resampling segments: the statistics are made once and summed per resample."""
+    """95 % interval of corpus chrF++ by resampling segments."""
+    return _resampled(pairs, chrf_statistics, chrf_score, "chrf", samples, seed)
+
+
+def bleu_interval(pairs: DataFrame, samples: int = 500, seed: int = 12345) -> DataFrame:
+    """95 % interval of corpus BLEU by resampling segments."""
+    return _resampled(pairs, bleu_statistics, bleu_score, "bleu", samples, seed)
+
+
+def _resampled(pairs: DataFrame, statistics, scored, column: str, samples: int, seed: int) -> DataFrame:
+    """The statistics of the segments are made once and summed per resample."""
     placed = pairs.select("seg", (F.row_number().over(Window.orderBy("seg")) - 1).alias("pos"))
     n = placed.count()
     if n < 2:
         return pairs.sparkSession.createDataFrame([(0.0, 0.0)], "low double, high double")
-    stats = chrf_statistics(pairs).join(placed, "seg").drop("seg")
+    stats = statistics(pairs).join(placed, "seg").drop("seg")
     drawn = resample_indexes(pairs.sparkSession, n, samples, seed).join(stats, "pos")
     sums = drawn.groupBy("sample", "kind", "n").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("hyp", "ref", "match")])
-    return interval(chrf_score(sums, "sample"), "chrf")
+    return interval(scored(sums, "sample"), column)
 
 
 def constraint_summary(judged: DataFrame) -> DataFrame:

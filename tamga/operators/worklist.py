@@ -93,3 +93,6 @@ def coverage(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kwarg").agg(F.count("*").alias("total"), F.count_if("before").alias("before"), F.count_if("after").alias("after"))
 
 
+def histogram(missing_: DataFrame) -> DataFrame:
+    """constraint, n: how many terms a locale owes, the most first, ties by name."""
+    return missing_.groupBy("constraint").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "constraint")

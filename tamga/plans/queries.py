@@ -10,6 +10,7 @@ from ..functions import extract as X
 from ..functions import mt, score, stats
 from ..functions import text as T
 from ..operators import board, builder, items, metrics, records, validators
+from ..sources import readers
 from . import tables as D
 
 QUERIES: dict = {}
@@ -203,7 +204,13 @@ def rate_window(spark, d):
     return D.table(spark, d, "events").select("event_id", (F.count("*").over(w) - 1).alias("before"))
 
 
-@query("rate_limit_stateful")
+_HELD = "CASE WHEN len({0}) < 5 THEN list_append({0}, e.ts) ELSE {0} END"
+_KEPT = "list_filter(r.kept, lambda x: x >= e.ts - INTERVAL 1 HOUR)"
+
+
+@query("rate_limit_stateful", f"""WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT key, event_id, k, [ts] AS kept, true AS ok FROM e WHERE k = 1 UNION ALL SELECT e.key, e.event_id, e.k, {_HELD.format(_KEPT)}, len({_KEPT}) < 5 FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
+SELECT key, event_id, ok FROM r""")
 def rate_limit_stateful(spark, d):
     from ..streaming.limits import accepted
 
@@ -299,13 +306,14 @@ _LAST = lambda p, g: f"list_last(regexp_extract_all(u, '{p}', {g}))"  # noqa: E7
 _SHOWN = "substring('ABCDEFGHIJ', 1, CAST(n AS INT))"
 
 
-def _choice_sql() -> str:
-    cue = r"(?i)(?:JAVOB|ANSWER|ОТВЕТ)\s*(?:HISOBLANADI|BO\S*LARDI)?\s*[:\-—]?\s*\**\(?([A-J])\)?\**"
-    boxed, bold = r"(?i)\\BOXED\s*\{\s*([A-J])\s*\}", r"\*\*\s*\(?([A-J])\)?\s*\**"
+def _choice_sql(strict: bool = False) -> str:
+    edge, stars, before = (r"(?:[^\p{L}\p{N}]|$)", r"\*\*", r"(?:^|[^\p{L}\p{N}])") if strict else ("", r"\**", "")
+    cue = rf"(?i)(?:JAVOB|ANSWER|ОТВЕТ)\s*(?:HISOBLANADI|BO\S*LARDI)?\s*[:\-—]?\s*\**\(?([A-J])\)?\**{edge}"
+    boxed, bold = r"(?i)\\BOXED\s*\{\s*([A-J])\s*\}", rf"\*\*\s*\(?([A-J])\)?\s*{stars}"
     among = lambda e: f"CASE WHEN length({e}) = 1 AND contains({_SHOWN}, {e}) THEN {e} END"
     bare = "upper(trim(trim(v, ' ' || chr(10)), ' .)*'))"
     line = "upper(trim(list_last(list_filter(string_split(v, chr(10)), lambda x: length(trim(x)) > 0))))"
-    tail = f"nullif(regexp_extract({line}, '\\(?([A-J])\\)?\\s*[.):]?\\s*$', 1), '')"
+    tail = f"nullif(regexp_extract({line}, '{before}\\(?([A-J])\\)?\\s*[.):]?\\s*$', 1), '')"
     label = f"nullif(regexp_extract({line}, '^\\**\\(?([A-J])\\)?\\s*[.):]\\s+\\S', 1), '')"
     return f"""WITH {D.RESPONSES}, {_VISIBLE}, u AS (SELECT *, upper(v) AS u FROM visible),
 a AS (SELECT doc_id, r, v, open, {among(bare)} AS s1, {among(_LAST(cue, 1))} AS s2, {among(_LAST(boxed, 1))} AS s3, {among(_LAST(bold, 1))} AS s4, {among(tail)} AS s5, {among(label)} AS s6 FROM u)
@@ -321,7 +329,7 @@ def extract_choice(spark, d):
     return x.select("doc_id", "x.value", "x.status", "x.strategy")
 
 
-@query("extract_choice_strict")
+@query("extract_choice_strict", _choice_sql(True))
 def extract_choice_strict(spark, d):
     x = D.responses(spark, d).select("doc_id", X.extract_choice(F.col("r"), F.col("n"), strict=True).alias("x"))
     return x.select("doc_id", "x.value", "x.status", "x.strategy")
@@ -361,7 +369,7 @@ def extract_response(spark, d):
     return x.select("doc_id", "x.value", "x.status")
 
 
-@query("json_ok")
+@query("json_ok", "SELECT event_id, CASE WHEN event_id % 3 < 2 AND json_valid(props) THEN 'ok' ELSE 'unparsed' END AS status FROM events")
 def json_ok(spark, d):
     e = D.table(spark, d, "events")
     r = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.concat("props", F.lit(" so")))
@@ -501,18 +509,44 @@ def _grid(spark, d):
     return each.withColumn("localised", F.col("item_id").cast("int") % 2 == 0)
 
 
-@query("ifeval_evaluate")
+def _variants_sql() -> str:
+    plain, first, end = "regexp_replace({}, '\\*+', '', 'g')", "CASE WHEN contains({0}, chr(10)) THEN substring({0}, instr({0}, chr(10)) + 1) ELSE {0} END", "regexp_replace({}, '\\n[^\\n]*\\z', '')"
+    c, f, e, b = "v", first.format("v"), end.format("v"), first.format(f"({end.format('v')})")
+    return ", ".join([c, c, plain.format(c), f, e, b, *(plain.format(f"({x})") for x in (f, e, b))])
+
+
+def _judged_sql() -> str:
+    """item_id, at, name, outcome, strict, loose, reason of the grid."""
+    asked = {0: "punctuation:no_comma", 1: "length_constraints:number_paragraphs", 2: "startend:quotation", 3: "keywords:existence"}
+    fits = ", ".join(f"coalesce({CHECKED[n][1]}, false) AS f{k}" for k, n in asked.items())
+    both = ", ".join(f"bool_or(variant = 0 AND f{k}) AS s{k}, bool_or(f{k} AND (variant = 0 OR length(v) > 0)) AS l{k}" for k in asked)
+    rows = [f"SELECT CAST(doc_id AS VARCHAR) AS item_id, {k} AS \"at\", '{n}' AS name, CASE WHEN s{k} THEN 'pass' ELSE 'fail' END AS outcome, s{k} AS strict, l{k} AS loose, CAST(NULL AS VARCHAR) AS reason FROM j{' WHERE doc_id % 2 = 0' if k == 3 else ''}" for k, n in asked.items()]
+    out = ((3, asked[3], "kwargs-not-localised", " WHERE doc_id % 2 <> 0"), (4, "keywords:letter_frequency", "not-meaningful-in-uzbek", ""), (5, "some:unknown", "unregistered", ""), (6, "language:response_language", "language:response_language needs a detector", ""))
+    rows += [f"SELECT CAST(doc_id AS VARCHAR), {k}, '{n}', 'excluded', NULL, NULL, '{why}' FROM j{where}" for k, n, why, where in out]
+    return f"""WITH {_DOCS}, raw AS (SELECT doc_id, unnest(range(0, 9)) AS variant, unnest([{_variants_sql()}]) AS x FROM docs), texts AS (SELECT doc_id, variant, regexp_replace(x, '^{_S}+|{_S}+\\z', '', 'g') AS v FROM raw),
+t AS (SELECT doc_id, variant, v, {fits} FROM texts), j AS (SELECT doc_id, {both} FROM t GROUP BY doc_id), judged AS ({' UNION ALL '.join(rows)})"""
+
+
+def _grid_sql() -> str:
+    low, high = wilson_sql("ps", "n")
+    share = lambda a, b: f"CASE WHEN {b} > 0 THEN round({a} / CAST({b} AS DOUBLE) * 100, 6) ELSE 0.0 END"
+    return f"""{_judged_sql()}, i AS (SELECT item_id, count(*) AS a, count(*) FILTER (WHERE outcome <> 'excluded') AS n, count(*) FILTER (WHERE strict) AS s, count(*) FILTER (WHERE loose) AS l FROM judged GROUP BY item_id),
+w AS (SELECT count(*) FILTER (WHERE n > 0) AS n, count(*) FILTER (WHERE n > 0 AND s = n) AS ps, count(*) FILTER (WHERE n > 0 AND l = n) AS pl, CAST(sum(n) AS BIGINT) AS e, CAST(sum(a) AS BIGINT) AS a, CAST(sum(s) AS BIGINT) AS s, CAST(sum(l) AS BIGINT) AS l FROM i)
+SELECT {share('ps', 'n')} AS prompt_strict, {low} AS ci_low, {high} AS ci_high, {share('pl', 'n')} AS prompt_loose, {share('s', 'e')} AS inst_strict, {share('l', 'e')} AS inst_loose, n, e AS constraints_evaluated, a - e AS constraints_excluded, {share('e', 'a')} AS coverage_percent FROM w"""
+
+
+@query("ifeval_evaluate", f"{_judged_sql()} SELECT * FROM judged")
 def ifeval_evaluate(spark, d):
     return C.evaluate(_grid(spark, d))
 
 
-@query("constraint_grid")
+@query("constraint_grid", _grid_sql())
 def constraint_grid(spark, d):
     df = metrics.constraint_summary(C.evaluate(_grid(spark, d)))
     return rounded(df, "prompt_strict", "prompt_loose", "ci_low", "ci_high", "inst_strict", "inst_loose", "coverage_percent")
 
 
-@query("constraint_by_type")
+@query("constraint_by_type", f"{_judged_sql()} SELECT name, count(*) AS n, round(count(*) FILTER (WHERE strict) / CAST(count(*) AS DOUBLE) * 100, 6) AS strict, round(count(*) FILTER (WHERE loose) / CAST(count(*) AS DOUBLE) * 100, 6) AS loose FROM judged WHERE outcome <> 'excluded' GROUP BY name HAVING count(*) >= 15")
 def constraint_by_type(spark, d):
     return rounded(metrics.by_instruction(C.evaluate(_grid(spark, d))), "strict", "loose")
 
@@ -607,7 +641,10 @@ def accepted_forms(spark, d):
     return items.accepted_forms(rows).select("ord", F.array_join("forms", "|").alias("forms"))
 
 
-@query("riddle_choice")
+@query("riddle_choice", """WITH o AS (SELECT p_partkey, [p_name, p_brand, p_type, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand) ELSE CAST(p_size AS VARCHAR) END] AS o FROM part),
+k AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, o FROM o WHERE len(list_distinct(list_transform(o, lambda x: trim(lower(x))))) = 4),
+h AS (SELECT item_id, unnest(o) AS x, unnest([0, 1, 2, 3]) AS i FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY md5('1|' || item_id || '|' || i), i) AS place FROM h)
+SELECT item_id, string_agg(x, '|' ORDER BY place) AS options, substring('ABCD', CAST(max(place) FILTER (WHERE i = 0) AS INT), 1) AS gold FROM r GROUP BY item_id""")
 def riddle_choice(spark, d):
     rows = D.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"), F.col("p_name").alias("riddle"), F.array("p_name").alias("accepted"), F.lit("").alias("answer"), F.array("p_brand", "p_type", F.when(F.col("p_partkey") % 3 == 0, F.upper("p_brand")).otherwise(F.col("p_size").cast("string"))).alias("distractors"), F.lit("t").alias("theme"), F.lit("e").alias("difficulty"))
     return items.permute_hashed(items.riddle_choice_items(rows), 1).select("item_id", F.array_join("options", "|").alias("options"), "gold")
@@ -724,7 +761,27 @@ def sentence_chrf(spark, d):
     return rounded(mt.sentence_chrf(D.turns(spark, d)), "chrf")
 
 
-@query("bleu_corpus")
+def _tokens_sql(side: str) -> str:
+    text = f"replace(regexp_replace({side}, '<skipped>|-\\n', '', 'g'), chr(10), ' ')"
+    for mark, said in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = f"replace({text}, '{mark}', '{said}')"
+    text = f"' ' || {text} || ' '"
+    for pattern, to in ((r"([{-~\[-` -&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return f"list_filter(string_split_regex({text}, '{_S}+'), lambda w: length(w) > 0)"
+
+
+def _bleu_sql() -> str:
+    grams = lambda side: f"SELECT seg, n, g, count(*) AS c FROM (SELECT seg, n, t[i:i + n - 1] AS g FROM (SELECT seg, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM (SELECT seg, {_tokens_sql(side)} AS t FROM turns), range(1, 5) o(n))) GROUP BY ALL"
+    at = ", ".join(f"CAST(coalesce(sum({c}) FILTER (WHERE n = {n}), 0) AS DOUBLE) AS {c}{n}" for c in ("hyp", "match") for n in range(1, 5))
+    smooth = [" * ".join(f"CASE WHEN match{m} = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END" for m in range(1, n + 1)) for n in range(1, 5)]
+    logs = " + ".join(f"ln(CASE WHEN hyp{n} = 0 THEN 1.0::DOUBLE WHEN match{n} = 0 THEN 1.0::DOUBLE / ({smooth[n - 1]} * hyp{n}) ELSE match{n} / hyp{n} END)" for n in range(1, 5))
+    return f"""WITH {D.TURNS}, h AS ({grams('hyp')}), r AS ({grams('ref')}), m AS (SELECT coalesce(h.seg, r.seg) AS seg, coalesce(h.n, r.n) AS n, coalesce(h.c, 0) AS hyp, coalesce(r.c, 0) AS ref, least(coalesce(h.c, 0), coalesce(r.c, 0)) AS match FROM h FULL OUTER JOIN r ON h.seg = r.seg AND h.n = r.n AND h.g = r.g),
+w AS (SELECT direction, {at}, CAST(coalesce(sum(ref) FILTER (WHERE n = 1), 0) AS DOUBLE) AS ref1 FROM m JOIN (SELECT seg, direction FROM turns) USING (seg) GROUP BY direction)
+SELECT direction, round(CASE WHEN match1 = 0 OR hyp1 = 0 OR hyp2 = 0 OR hyp3 = 0 OR hyp4 = 0 THEN 0.0 ELSE CASE WHEN hyp1 < ref1 THEN exp(1.0::DOUBLE - ref1 / hyp1) ELSE 1.0 END * exp(({logs}) / 4) * 100 END, 6) AS bleu FROM w"""
+
+
+@query("bleu_corpus", _bleu_sql())
 def bleu_corpus(spark, d):
     return rounded(mt.corpus_bleu(D.turns(spark, d), "direction"), "bleu")
 
@@ -929,3 +986,202 @@ def chrf_macro(spark, d):
 @query("score_tint", "SELECT p_partkey, round(greatest(0.0, least(1.0, (p_size * 2.0 - 25.0) / 75.0)), 6) AS tint FROM part")
 def score_tint(spark, d):
     return D.table(spark, d, "part").select("p_partkey", F.round(board.tint(F.col("p_size") * 2.0, F.lit(25.0)), 6).alias("tint"))
+
+
+# ---- prompts, items, worklists and files -----------------------------------------------------------------------------
+
+
+@query("html_escape", "SELECT doc_id, sha256(replace(replace(replace(replace(replace('<p title=\"' || coalesce(text, '') || '''\">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS sha FROM documents")
+def html_escape(spark, d):
+    said = F.concat(F.lit('<p title="'), F.coalesce("text", F.lit("")), F.lit("'\">"))
+    return D.table(spark, d, "documents").select("doc_id", F.sha2(T.html_escape(said), 256).alias("sha"))
+
+
+@query("default_items", "SELECT CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey - 1 AS VARCHAR) ELSE p_name END AS item_id, p_type AS gold, p_size AS size FROM part")
+def default_items(spark, d):
+    rows = D.table(spark, d, "part").select((F.col("p_partkey") - 1).alias("ord"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_name")).alias("id"), F.col("p_type").alias("answer"), F.col("p_size").alias("size"))
+    return items.default_items(rows).select("item_id", "gold", F.col("payload.size").alias("size"))
+
+
+@query("mmlu_items", """WITH p AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN p_size % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS g FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS question, p_brand || '|' || p_type || '|' || p_name AS options, substring('ABC', g + 1, 1) AS gold FROM p WHERE g < 3""")
+def mmlu_items(spark, d):
+    k = F.col("p_partkey") % 4
+    p = D.table(spark, d, "part")
+    rows = p.select(
+        F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"), F.when(k == 1, F.col("p_name")).otherwise("").alias("question_uzb"),
+        F.to_json(F.array("p_brand", "p_type", "p_name")).alias("options"), F.lit(None).cast("string").alias("options_uzb"), F.when(k == 0, (F.col("p_size") % 5).cast("string")).alias("answer_index"),
+        F.when(k == 1, " b").when(k == 2, "C").otherwise("?").alias("answer"), F.col("p_type").alias("category"),
+    )
+    return items.mmlu_items(rows).select("item_id", "question", F.array_join("options", "|").alias("options"), "gold")
+
+
+@query("translation_prompt", """WITH p AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN ['oʻzbek', 'ingliz'] WHEN 1 THEN ['rus', 'oʻzbek'] ELSE ['uz2', 'qozoq'] END AS l FROM documents)
+SELECT doc_id, sha256('Matnni ' || l[1] || ' tilidan ' || l[2] || ' tiliga oʻgiring, faqat tarjimani yozing.' || chr(10) || chr(10) || 'Matn: ' || text || chr(10) || chr(10) || 'Tarjima:') AS sha FROM p""")
+def translation_prompt(spark, d):
+    direction = F.get(F.array(*[F.lit(x) for x in ("uz_en", "ru_uz", "uz2_kk")]), (F.col("doc_id") % 3).cast("int"))
+    return D.table(spark, d, "documents").select("doc_id", F.sha2(items.translation_prompt(direction, F.col("text")), 256).alias("sha"))
+
+
+@query("riddle_prompt", """WITH p AS (SELECT p_partkey, 'Topishmoqning javobini toping.' || chr(10) || chr(10) || 'Zarbulmasal: ' || p_name || chr(10) || chr(10) AS q, 'Javob:' AS a, p_brand, p_type FROM part)
+SELECT p_partkey, q || a AS free, q || 'A) ' || p_brand || chr(10) || 'B) ' || p_type || chr(10) || chr(10) || a AS choice FROM p""")
+def riddle_prompt(spark, d):
+    return D.table(spark, d, "part").select("p_partkey", items.riddle_prompt(F.col("p_name")).alias("free"), items.riddle_prompt(F.col("p_name"), F.array("p_brand", "p_type")).alias("choice"))
+
+
+_WORDS = "w AS (SELECT doc_id, source, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{3,}') AS w FROM documents)"
+
+
+def _words(spark, d):
+    """doc_id, source, w: the Latin words of whole texts, in lower case."""
+    return D.table(spark, d, "documents").select("doc_id", "source", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
+
+
+_VOWEL = "CASE WHEN x[1] IN ('a', 'e', 'i', 'o', 'u') THEN 'yes' WHEN x[1] < 'n' THEN 'no' ELSE 'unknown' END"
+
+
+@query("reasoning_score_words", f"""WITH {_WORDS}, a AS (SELECT doc_id, w, doc_id % 3 AS k, list_transform(w[1:3], lambda x: {_VOWEL}) AS p, list_transform(w[2:4], lambda x: {_VOWEL}) AS g, list_transform(w[1:3], lambda x: left(x, 1)) AS zp, list_transform(w[2:4], lambda x: left(x, 1)) AS zg FROM w WHERE len(w) >= 4),
+b AS (SELECT *, CAST(p[1] = g[1] AS INT) + CAST(p[2] = g[2] AS INT) + CAST(p[3] = g[3] AS INT) AS web, CAST(zp[1] = zg[1] AS INT) + CAST(zp[2] = zg[2] AS INT) + CAST(zp[3] = zg[3] AS INT) AS zebra FROM a)
+SELECT doc_id, round(CASE k WHEN 0 THEN (CAST(web = 3 AS DOUBLE) + web / 3.0::DOUBLE) / 2 WHEN 1 THEN CAST(starts_with(w[1], left(w[2], 2)) AND length(w[1]) <= 6 AS DOUBLE) ELSE (CAST(zebra = 3 AS DOUBLE) + zebra / 3.0::DOUBLE) / 2 END, 6) AS score FROM b""")
+def reasoning_score_words(spark, d):
+    """The reasoning scorer over answers and keys that neighbouring words of a text make."""
+    says = lambda x: F.when(F.left(x, F.lit(1)).isin(*"aeiou"), "Ha").when(F.left(x, F.lit(1)) < "n", "yo'q").otherwise("noaniq.")
+    keys = lambda x: F.when(F.left(x, F.lit(1)).isin(*"aeiou"), "xa").when(F.left(x, F.lit(1)) < "n", "no").otherwise("nomaʼlum")
+    first = lambda x: F.left(x, F.lit(1))
+    one, two, k = F.slice("w", 1, 3), F.slice("w", 2, 3), F.col("doc_id") % 3
+    value = F.when(k == 0, F.array_join(F.transform(one, says), ", ")).when(k == 1, F.upper(F.get("w", F.lit(0)))).otherwise(F.array_join(F.transform(one, first), " , "))
+    gold = F.when(k == 0, F.array_join(F.transform(two, keys), ",")).when(k == 1, F.left(F.get("w", F.lit(1)), F.lit(2))).otherwise(F.array_join(F.transform(two, first), ","))
+    kind = F.when(k == 0, "web_of_lies_v2").when(k == 1, "spatial").otherwise("zebra_puzzle")
+    rows = _words(spark, d).where(F.size("w") >= 4).select("doc_id", value.alias("value"), gold.alias("gold"), kind.alias("kind"))
+    return rows.select("doc_id", F.round(score.reasoning_score(F.col("value"), F.col("gold"), F.col("kind"), T.match_key_lower), 6).alias("score"))
+
+
+@query("answer_matches_words", f"""WITH {_WORDS} SELECT doc_id, w[1] IN (w[2], w[3]) OR list_contains(list_transform([w[2], w[3]], lambda s: starts_with(w[1], s) AND length(w[1]) > length(s) AND regexp_matches(substring(w[1], length(s) + 1), '{score.SUFFIX}')), true) AS fits FROM w WHERE len(w) >= 3""")
+def answer_matches_words(spark, d):
+    """Whether a text's first word is its second or third, endings aside."""
+    said = F.concat(F.lit("Javob: "), F.initcap(F.get("w", F.lit(0))), F.lit("!"))
+    return _words(spark, d).where(F.size("w") >= 3).select("doc_id", score.matches(said, F.slice("w", 2, 2), T.match_key_lower).alias("fits"))
+
+
+@query("quote_alignment", f"""WITH {_WORDS} SELECT doc_id, CASE WHEN w[1] <> w[2] THEN CASE WHEN doc_id % 2 = 0 THEN w[1] || '=u' || w[1] || '|' || w[2] || '=u' || w[2] ELSE w[2] || '=u' || w[1] || '|' || w[1] || '=u' || w[2] END END AS pairs FROM w WHERE len(w) >= 2 AND length(w[1]) < 70 AND length(w[2]) < 70""")
+def quote_alignment(spark, d):
+    """English terms and Uzbek quotes by the order of quotes; on odd ids the English prompt has them the other way round."""
+    from ..operators.worklist import quote_map
+
+    a, b = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+    quoted = lambda x, y: F.concat(F.lit('use "'), x, F.lit('" or "'), y, F.lit('"'))
+    rows = _words(spark, d).where((F.size("w") >= 2) & (F.length(a) < 70) & (F.length(b) < 70))
+    en = F.when(F.col("doc_id") % 2 == 0, quoted(a, b)).otherwise(quoted(b, a))
+    uz = F.concat(F.lit("«u"), a, F.lit("» yoki «u"), b, F.lit("»"))
+    met = rows.select("doc_id", quote_map(en, uz, F.array(a, b)).alias("m"))
+    return met.select("doc_id", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e.key, F.lit("="), e.value)), "|").alias("pairs"))
+
+
+def _owed(spark, d):
+    from ..operators.worklist import missing
+
+    several = F.col("doc_id") % 2 == 0
+    kw = F.when(several, F.create_map(F.lit("keywords"), F.slice("w", 1, 3))).otherwise(F.create_map(F.lit("keyword"), F.slice("w", 1, 1)))
+    name = F.when(F.col("doc_id") % 7 == 0, "punctuation:no_comma").when(several, "keywords:existence").otherwise("keywords:frequency")
+    return missing(_words(spark, d).select(F.col("doc_id").cast("string").alias("item_id"), F.col("doc_id").alias("ord"), F.lit(2).alias("at"), name.alias("name"), kw.alias("kw"), (F.col("doc_id") % 5 == 0).alias("localised"), F.concat("source", F.lit("\n  x")).alias("prompt")))
+
+
+_OWED = f"""{_WORDS}, owed AS (SELECT CAST(doc_id AS VARCHAR) AS key, CASE WHEN doc_id % 2 = 0 THEN 'keywords:existence' ELSE 'keywords:frequency' END AS "constraint", CASE WHEN doc_id % 2 = 0 THEN 'keywords' ELSE 'keyword' END AS kwarg,
+ '2.' || i AS "index", w[CAST(i + 1 AS INT)] AS en, source || ' x' AS prompt_uz FROM (SELECT *, unnest(range(0, least(len(w), CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END))) AS i FROM w WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0))"""
+
+
+@query("worklist_missing", f"WITH {_OWED} SELECT * FROM owed")
+def worklist_missing(spark, d):
+    return _owed(spark, d).drop("uz")
+
+
+@query("worklist_histogram", f"""WITH {_OWED} SELECT "constraint", count(*) AS n FROM owed GROUP BY 1""")
+def worklist_histogram(spark, d):
+    from ..operators.worklist import histogram
+
+    return histogram(_owed(spark, d))
+
+
+@query("response_language", """SELECT CAST(doc_id AS VARCHAR) AS item_id, CASE WHEN doc_id % 4 = 0 THEN 'excluded' WHEN coalesce(regexp_matches(text, '(^|[^a-z])(der|die|und)([^a-z]|$)'), false) = (lang = 'de') AND text IS NOT NULL THEN 'pass' ELSE 'fail' END AS outcome FROM documents WHERE lang IS NOT NULL""")
+def response_language(spark, d):
+    """Responses that shall be in a language, judged by a detector of three German words."""
+    found = lambda c: F.when(c.rlike("(^|[^a-z])(der|die|und)([^a-z]|$)"), "DE").when(c.isNotNull(), "xx")
+    kw = F.create_map(F.lit("language"), F.array(F.when(F.col("doc_id") % 4 == 0, " ").when(F.col("lang") == "de", "de").otherwise("xx")))
+    rows = D.table(spark, d, "documents").where("lang is not null").select(F.col("doc_id").cast("string").alias("item_id"), F.lit(0).alias("at"), F.lit("language:response_language").alias("name"), kw.alias("kw"), F.lit(False).alias("localised"), F.col("text").alias("response"))
+    return C.evaluate(rows, detector=found).select("item_id", "outcome")
+
+
+def _put(spark, rows, kind: str, **options) -> str:
+    """The folder in shared storage to which rows were written."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base}/trip-{uuid.uuid4().hex}.{kind}"
+    rows.write.format({"jsonl": "json", "tsv": "csv"}.get(kind, kind)).options(**options).save(path)
+    return path
+
+
+_TRIP = "SELECT doc_id, sha256(text) AS sha FROM documents WHERE text <> ''"
+
+
+def _tripped(spark, d, kind: str, read, **options):
+    rows = D.table(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    back = read(spark, _put(spark, rows, kind, **options))
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2("text", 256).alias("sha"))
+
+
+@query("read_jsonl", _TRIP)
+def read_jsonl(spark, d):
+    return _tripped(spark, d, "jsonl", readers.read_jsonl)
+
+
+@query("read_csv", _TRIP)
+def read_csv(spark, d):
+    return _tripped(spark, d, "csv", readers.read_csv, header=True, escape='"', quoteAll=True)
+
+
+@query("read_tsv", _TRIP)
+def read_tsv(spark, d):
+    return _tripped(spark, d, "tsv", readers.read_tsv, header=True, escape='"', quoteAll=True, sep="\t")
+
+
+@query("read_json", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def read_json(spark, d):
+    """One document that wraps its rows, as benchmark files do."""
+    rows = D.table(spark, d, "nation").agg(F.to_json(F.struct(F.lit("v1").alias("meta"), F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("rows"))).alias("value"))
+    return readers.read_json(spark, _put(spark, rows, "text")).select(F.col("id").cast("int").alias("id"), "name")
+
+
+@query("record_log", """SELECT CAST(p_partkey AS VARCHAR) AS item_id, 'r2' AS run_id, 'ok' AS status FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'r1', CASE WHEN p_partkey % 3 = 0 THEN 'error' ELSE 'ok' END FROM part""")
+def record_log(spark, d):
+    """Two runs appended to a log, and the log read again."""
+    from ..sources.writers import append_records
+
+    part = D.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"), F.when(F.col("p_partkey") % 3 == 0, "error").otherwise("ok").alias("status"), F.col("p_name").alias("response"))
+    folder = _put(spark, part.limit(0), "jsonl")
+    append_records(part, folder, "r1", "dtm")
+    append_records(part.where("status = 'error'").withColumn("status", F.lit("ok")), folder, "r2", "dtm")
+    return readers.read_records(spark, folder).select("item_id", "run_id", "status")
+
+
+@query("board_rows", f"""WITH {_cells_sql()}, {_COMPOSITE}, r AS (SELECT DISTINCT model, CAST(substring(model, 4) AS INT) AS k FROM results),
+m AS (SELECT model, string_agg(task, '|' ORDER BY task) FILTER (WHERE state NOT IN ('published', 'provisional')) AS missing, count(*) FILTER (WHERE state IN ('published', 'provisional')) AS n_scores FROM cells GROUP BY model)
+SELECT ranked.model, ranked.rank, composite, CASE WHEN k % 2 = 0 THEN 'apache-2.0' ELSE 'unknown' END AS license, k % 2 = 0 AS open_weights, CASE k % 3 WHEN 0 THEN 'no-think' WHEN 1 THEN 'mixed' ELSE 'think' END AS reasoning, '2026-01-02' AS run_date, 'abcdefabcdef' AS harness_commit, coalesce(missing, '') AS missing, n_scores,
+ (SELECT score FROM cells c WHERE c.model = ranked.model AND task = 'en' AND state IN ('published', 'provisional')) AS en FROM ranked JOIN r USING (model) JOIN m USING (model)""")
+def board_rows(spark, d):
+    """The published document, read again."""
+    cells, suite = _cells(spark, d), [t for t, _ in _SUITE]
+    k = F.expr("cast(substring(model, 4) as int)")
+    runs = cells.select("model").distinct().select(
+        "model", F.lit(None).cast("string").alias("organization"), F.when(k % 2 == 0, "apache-2.0").alias("license"), F.lit("").alias("weights_url"), F.lit(None).cast("string").alias("quantization"),
+        F.when(k % 3 == 0, "off").alias("reasoning"), F.concat(F.lit("run-"), "model").alias("run_id"), F.lit("").alias("finished_at"), F.lit("2026-01-02T03:04").alias("started_at"), F.lit("1").alias("harness_version"),
+        F.lit("abcdefabcdef0123").alias("harness_git_sha"), F.lit(0.0).alias("temperature"), F.create_map(F.lit("en"), F.when(k % 3 == 1, '{"reasoning": "off"}').otherwise("{}")).alias("cells"),
+    )
+    ranked = board.ranked(board.composites(cells))
+    row = board.document(ranked, cells, board.ties(ranked, cells), board.run_details(runs, suite))
+    form = "model string, rank int, composite double, license string, openWeights boolean, reasoning struct<label:string>, runDate string, harnessCommit string, missing array<string>, scores map<string,struct<score:double>>"
+    x = row.select(F.from_json("row", form).alias("x"))
+    return x.select(
+        "x.model", "x.rank", "x.composite", "x.license", F.col("x.openWeights").alias("open_weights"), F.col("x.reasoning.label").alias("reasoning"), F.col("x.runDate").alias("run_date"),
+        F.col("x.harnessCommit").alias("harness_commit"), F.array_join("x.missing", "|").alias("missing"), F.size("x.scores").cast("bigint").alias("n_scores"), F.try_element_at("x.scores", F.lit("en"))["score"].alias("en"),
+    )

@@ -183,4 +183,4 @@ class Instructions(EvalTask):
         from .functions.constraints import evaluate
 
         shown = responses.withColumn("x", self.parse(F.col("text"))).where(extract.ok(F.col("x"))).select("item_id", F.col("x.value").alias("response"))
-        return evaluate(constraints.join(shown, "item_id"), self.options.get("score_recalibrated", True), self.options.get("word_count_factor", 1.0))
+        return evaluate(constraints.join(shown, "item_id"), self.options.get("score_recalibrated", True), self.options.get("word_count_factor", 1.0), self.options.get("detector"))

@@ -44,6 +44,10 @@ class Provider:
     def describe(self) -> dict[str, str]:
         return {"provider": self.name, "model": self.model, "revision": "", "quantization": ""}
 
+    def described(self, reasoning: str) -> dict[str, str]:
+        """What a manifest says about how a task was asked."""
+        return {"reasoning": reasoning} | {k: v for k, v in self.describe().items() if k in ("revision", "quantization") and v}
+
     def generate(self, prompt: str, max_tokens: int) -> dict:
         """One response; passing errors are tried again after a growing, jittered pause."""
         begun = time.monotonic()

@@ -139,7 +139,7 @@ def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Run manifests under folder: run_id, model, times, path, tasks (names), manifest (as text). Files that can't be parsed
     are skipped."""
     files = spark.read.text(f"{folder}/*/manifest.json", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    schema = "run_id string, model string, organization string, license string, weights_url string, quantization string, reasoning string, started_at string, finished_at string, tasks map<string,string>"
+    schema = "run_id string, model string, organization string, license string, weights_url string, quantization string, reasoning string, harness_version string, harness_git_sha string, temperature double, started_at string, finished_at string, tasks map<string,string>"
     parsed = files.select("path", "value", F.from_json("value", schema).alias("m")).where("m.model is not null or m.run_id is not null")
     return parsed.select("path", "m.*", F.col("value").alias("manifest")).withColumn("cells", F.col("tasks")).withColumn("tasks", F.map_keys("tasks"))
 
@@ -148,4 +148,4 @@ def run_cells(runs: DataFrame) -> DataFrame:
     """model, run_id, task and the numbers of each task entry with metrics."""
     entry = "metrics struct<primary:double,ci_low:double,ci_high:double>, diagnostics struct<coverage:double,unparsed_rate:double,at_or_below_chance:boolean>, n_items bigint, n_scored bigint, task_version string, dataset_sha256 string, reasoning string"
     each = runs.select("model", "run_id", F.explode("cells").alias("task", "entry")).withColumn("e", F.from_json("entry", entry)).where("e.metrics is not null")
-    return each.select("model", "run_id", "task", F.col("e.metrics.primary").alias("score"), "e.metrics.ci_low", "e.metrics.ci_high", F.coalesce("e.diagnostics.coverage", F.lit(1.0)).alias("coverage"), "e.n_items", "e.n_scored", "e.reasoning", F.left("e.dataset_sha256", F.lit(12)).alias("sha"))
+    return each.select("model", "run_id", "task", F.col("e.metrics.primary").alias("score"), "e.metrics.ci_low", "e.metrics.ci_high", F.coalesce("e.diagnostics.coverage", F.lit(1.0)).alias("coverage"), "e.n_items", "e.n_scored", "e.reasoning", F.coalesce("e.diagnostics.unparsed_rate", F.lit(0.0)).alias("unparsed_rate"), F.coalesce("e.diagnostics.at_or_below_chance", F.lit(False)).alias("at_or_below_chance"), "e.task_version", F.left("e.dataset_sha256", F.lit(12)).alias("sha"))

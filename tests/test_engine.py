@@ -213,3 +213,68 @@ def test_registry():
         registry.get_task("none")
     with pytest.raises(ValueError):
         registry.register_task(type("X", (registry.EvalTask,), {"name": "x"}))
+
+
+def test_board_document(spark):
+    runs = spark.createDataFrame(
+        [("r1", "a", "2026-01-01", "", "p1", ["t", "u"], {"t": '{"reasoning": "off"}', "u": "{}"}, "Org", "MIT", "", "Q4", "on", "0.2", "abcdef0123456789", 0.0), ("r2", "b", "2026-01-02T05", "", "p2", ["t"], {"t": "{}"}, None, None, None, None, None, None, None, None)],
+        "run_id string, model string, finished_at string, started_at string, path string, tasks array<string>, cells map<string,string>, organization string, license string, weights_url string, quantization string, reasoning string, harness_version string, harness_git_sha string, temperature double",
+    )
+    runs = board.latest_runs(runs, ["t", "u"])
+    scores = spark.createDataFrame([("a", "t", 80.0, 75.0, 85.0, 1.0, 40, 40), ("a", "u", 50.0, 45.0, 55.0, 0.7, 28, 40), ("b", "t", 80.0, 75.0, 85.0, 1.0, 40, 40), ("b", "u", 50.0, 45.0, 55.0, 0.33333, 13, 40)], "model string, task string, score double, ci_low double, ci_high double, coverage double, n_scored bigint, n_items bigint")
+    cells = board.cells(scores, scores, spark.createDataFrame([("t", 0.25), ("u", 0.0)], "task string, chance double"))
+    told = board.composites(cells, require_complete=False)
+    assert [r.model for r in board.ranked(board.composites(cells.where("task = 't'"))).orderBy("rank").collect()] == ["a", "b"]
+    assert [r.model for r in board.ranked(board.composites(cells.where("task = 't'")), runs).orderBy("rank").collect()] == ["b", "a"]  # equal: the newer run
+    ranked = board.ranked(told, runs)
+    rows = {r.model: json.loads(r.row) for r in board.document(ranked, cells, board.ties(ranked, cells), board.run_details(runs, ["t", "u"])).collect()}
+    a, b = rows["a"], rows["b"]
+    assert (a["organization"], a["license"], a["openWeights"], a["quantization"], a["runId"], a["runDate"]) == ("Org", "MIT", True, "Q4", "r1", "2026-01-01")
+    assert a["reasoning"] == {"label": "mixed", "byTask": {"t": "off", "u": "on"}} and a["harnessCommit"] == "abcdef012345"
+    assert a["scores"]["u"]["provisional"] and a["scores"]["u"]["n"] == 28 and a["scores"]["t"]["chance"] == 25.0 and a["withheld"] == {}
+    assert (b["organization"], b["license"], b["openWeights"], b["temperature"], b["runDate"]) == ("Unknown", "unknown", False, None, "2026-01-02")
+    assert b["reasoning"] == {"label": "think", "byTask": {"t": "default", "u": "default"}}
+    assert b["withheld"] == {"u": 0.3333} and b["missing"] == ["u"] and list(b["scores"]) == ["t"]
+
+
+def test_batch_and_resume(spark, tmp_path, monkeypatch):
+    """A batch runs its models in the order listed; answers that were written before a run died are not asked for again."""
+    for sub in ("suites", "tasks", "models"):
+        (tmp_path / "configs" / sub).mkdir(parents=True)
+    (tmp_path / "configs/suites/batch.yaml").write_text("tasks: [dtm]\nmodels: [small, Big One]\n")
+    (tmp_path / "configs/tasks/dtm.yaml").write_text("dataset: dtm.json\n")
+    for name in ("small", "Big One"):
+        (tmp_path / f"configs/models/{name}.yaml").write_text(f"model: {name}\nprovider: stub\n")
+    rows = [{"id": i, "question": f"q{i}", "option_A": "1", "option_B": "2", "option_C": "3", "option_D": "4", "answer": "A", "subject": "x"} for i in range(10)]
+    (tmp_path / "dtm.json").write_text(json.dumps(rows))
+    base = ["--configs", str(tmp_path / "configs"), "--data", str(tmp_path), "--runs", str(tmp_path / "runs"), "--suite", "batch", "--run-id", "b"]
+    assert cli.main(["run", *base]) == 0
+    assert sorted(os.listdir(tmp_path / "runs")) == ["b-big-one", "b-small"]
+    told = json.loads((tmp_path / "runs/b-small/manifest.json").read_text())
+    assert told["harness_version"] and told["tasks"]["dtm"]["reasoning"] == "default"
+
+    cfg, model = config.TaskConfig("dtm", "dtm.json"), config.ModelConfig("s", "stub")
+    asked, plain = [], cli._asked
+
+    def dies(part, *more):
+        if len(asked) == 2:
+            raise RuntimeError("killed")
+        asked.append([r.item_id for r in part.orderBy("ord").collect()])
+        return plain(part, *more)
+
+    monkeypatch.setattr(cli, "_asked", dies)
+    with pytest.raises(RuntimeError):
+        cli.run_task(spark, cfg, model, str(tmp_path / "runs/k"), (str(tmp_path),), every=4)
+    assert asked == [["0", "1", "2", "3"], ["4", "5", "6", "7"]]
+    monkeypatch.setattr(cli, "_asked", lambda part, *more: asked.append([r.item_id for r in part.orderBy("ord").collect()]) or plain(part, *more))
+    assert cli.run_task(spark, cfg, model, str(tmp_path / "runs/k"), (str(tmp_path),), every=4)["n_scored"] == 10
+    assert asked[2:] == [["8", "9"]]
+
+
+def test_intervals(spark):
+    pairs = spark.createDataFrame([(i, f"bu {i} gap bor edi", "bu gap ham bor edi" if i % 2 else f"bu {i} gap bor edi") for i in range(12)], "seg bigint, hyp string, ref string")
+    from tamga.functions import mt
+
+    low, high = metrics.bleu_interval(pairs, 60).first()
+    assert 0 < low < mt.corpus_bleu(pairs).first().bleu < high <= 100
+    assert metrics.bleu_interval(pairs.limit(1)).first() == (0.0, 0.0)

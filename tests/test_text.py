@@ -154,3 +154,18 @@ def test_translation_metrics(spark):
     # worked by hand: precisions 4/5, 2/4, smoothed 1/(2*3), 1/(4*2); equal lengths
     one = spark.createDataFrame([(1, "a b x d e", "a b c d e")], "seg int, hyp string, ref string")
     assert mt.corpus_bleu(one).first().bleu == pytest.approx(100 * (0.8 * 0.5 * (1 / 6) * (1 / 8)) ** 0.25)
+
+
+def test_html_escape(spark):
+    rows = spark.createDataFrame([("<a href='x'>&amp; \"q\"</a>",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(T.html_escape(F.col("t"))).collect()] == ["&lt;a href=&#39;x&#39;&gt;&amp;amp; &quot;q&quot;&lt;/a&gt;", "", ""]
+    assert [T.slug_of(x) for x in ("Org/Model  7B", "--", "a_b.c")] == ["org-model-7b", "run", "a_b.c"]
+
+
+def test_language_detector(spark):
+    """With a detector response languages are judged; blank languages stay excluded, undetected texts fail."""
+    rows = spark.createDataFrame([("1", 0, "privet", "RU"), ("2", 0, "hello", "ru"), ("3", 0, "", "ru"), ("4", 0, "privet", " ")], "item_id string, at int, response string, lang string")
+    rows = rows.select("item_id", "at", "response", F.lit("language:response_language").alias("name"), F.create_map(F.lit("language"), F.array("lang")).alias("kw"), F.lit(False).alias("localised"))
+    got = {r.item_id: r.outcome for r in C.evaluate(rows, detector=lambda c: F.when(c == "privet", "ru").when(c == "hello", "EN")).collect()}
+    assert got == {"1": "pass", "2": "fail", "3": "fail", "4": "excluded"}
+    assert {r.reason for r in C.evaluate(rows.where("item_id = '1'")).collect()} == {"language:response_language needs a detector"}
