@@ -157,13 +157,19 @@ def _reordered(items: DataFrame) -> DataFrame:
     return out.withColumn("gold", F.substring(F.lit(LETTERS), F.col("gold_index") + 1, F.lit(1)))
 
 
+#: Items whose orders one generator makes on the driver.
+MOST_SEEDED = 1_000_000
+
+
 def permute_seeded(items: DataFrame, seed: int = 0) -> DataFrame:
     """items with options as one seeded generator shuffles them, item after item in `ord`.
 
     The generator is sequential by nature, so the orders are made on the driver, from the item's position and its number of
-    options alone; that is for benchmarks, not for corpora: beyond a million items use permute_hashed.
+    options alone; that is for benchmarks, not for corpora: beyond MOST_SEEDED items it is an error, use permute_hashed.
     """
-    sizes = items.select("ord", F.size("options").alias("n")).orderBy("ord").collect()
+    sizes = items.select("ord", F.size("options").alias("n")).orderBy("ord").limit(MOST_SEEDED + 1).collect()
+    if len(sizes) > MOST_SEEDED:
+        raise ValueError(f"more than {MOST_SEEDED} items: use permute_hashed")
     rng, orders = random.Random(seed), []
     for row in sizes:
         order = list(range(row["n"]))

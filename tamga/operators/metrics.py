@@ -46,9 +46,15 @@ def mcnemar_test(pairs: DataFrame, *by: str) -> DataFrame:
     return mcnemar_counts(pairs, *by).withColumn("t", mcnemar(F.col("b"), F.col("c"))).select(*by, "b", "c", "t.*")
 
 
+#: Draws that one generator makes on the driver.
+MOST_DRAWS = 50_000_000
+
+
 def resample_indexes(spark, n: int, samples: int, seed: int) -> DataFrame:
     """sample, pos, times: how often each position is drawn, from one seeded generator; made on the driver, since the stream is
-    sequential, and meant for benchmark sizes (n * samples draws)."""
+    sequential, and meant for benchmark sizes: more than MOST_DRAWS draws (n * samples) are an error."""
+    if n * samples > MOST_DRAWS:
+        raise ValueError(f"{n} rows, {samples} samples: one generator is too slow for that, use resample_hashed")
     rng = random.Random(seed)
     rows = []
     for s in range(samples):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
+
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,50 @@ def checked(rows: DataFrame) -> DataFrame:
     return out.withColumn("ok", full & F.col("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"))
 
 
+def screened(rows: DataFrame, salt: str = "") -> DataFrame:
+    """Submissions as they are stored, with `said`: why one isn't, null if it is. A filled hidden field is a robot's, consent must
+    be given, the sender's address is kept as a salted hash of the first one forwarded.
+
+    rows: id, created_at, name, email, model_name, company, notes, website, consent, forwarded_for.
+    """
+    address = F.trim(F.get(F.split(F.coalesce("forwarded_for", F.lit("")), ","), F.lit(0)))
+    out = checked(rows).withColumn("ip_hash", F.sha2(F.concat(address, F.lit(salt)), 256))
+    full = (F.length("name") > 0) & (F.length("email") > 0) & (F.length("model_name") > 0)
+    said = F.when(clip(F.col("website"), 200) != "", "robot").when(~F.coalesce("consent", F.lit(False)), "no consent").when(~full, "missing fields").when(~F.col("ok"), "invalid address")
+    return out.select("id", "created_at", "name", "email", "model_name", "company", "notes", "ip_hash", said.alias("said"))
+
+
+def submission_sink(folder: str, limit: int = LIMIT, salt: str = "", notify=None):
+    """foreachBatch sink: submissions that pass the checks and the hourly limit as Parquet, one folder per batch, so a repeated
+    batch is stored once. notify(rows) gets what was stored; that it fails changes nothing."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fine = screened(batch, salt).where("said is null").drop("said").dropDuplicates(["id"])
+        events = fine.select(F.col("ip_hash").alias("key"), F.xxhash64("id").alias("event_id"), F.col("created_at").alias("ts"))
+        try:
+            stored = spark.read.parquet(folder).where(F.col("epoch") < epoch)
+        except AnalysisException as e:  # nothing is stored yet
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+            stored = None
+        if stored is not None:
+            since = events.agg(F.min("ts") - F.expr("INTERVAL 1 HOUR")).scalar()
+            # what was stored in the hour before the batch counts, older rows can't matter
+            old = stored.where(F.col("created_at") >= since)
+            events = events.unionByName(old.select(F.col("ip_hash").alias("key"), F.xxhash64("id").alias("event_id"), F.col("created_at").alias("ts")))
+        passed = accepted(events, limit).where("ok").select(F.col("key").alias("ip_hash"), "event_id")
+        kept = fine.withColumn("event_id", F.xxhash64("id")).join(passed, ["ip_hash", "event_id"], "left_semi").drop("event_id")
+        kept.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+        if notify is not None:
+            try:
+                notify(spark.read.parquet(f"{folder}/epoch={epoch}"))
+            except Exception as e:  # noqa: BLE001  a message that isn't sent loses no submission
+                warnings.warn(f"no notification: {e}", stacklevel=1)
+
+    return write
+
+
 def accepted(events: DataFrame, limit: int = LIMIT) -> DataFrame:
     """key, event_id, ok: an event is rejected if its key has `limit` accepted ones in the hour before it. events: key,
     event_id, ts. A key's events go through one task in order of time, as a stream: no more than `limit` times are held."""

@@ -278,3 +278,47 @@ def test_intervals(spark):
     low, high = metrics.bleu_interval(pairs, 60).first()
     assert 0 < low < mt.corpus_bleu(pairs).first().bleu < high <= 100
     assert metrics.bleu_interval(pairs.limit(1)).first() == (0.0, 0.0)
+
+
+def test_submissions(spark, tmp_path):
+    """Checks, the hourly limit over batches, a repeated batch, a notification that fails."""
+    form = "id string, s int, email string, website string, consent boolean, forwarded_for string"
+    shape = lambda rows: spark.createDataFrame(rows, form).select("id", F.timestamp_seconds("s").alias("created_at"), F.lit(" n ").alias("name"), "email", F.lit("m").alias("model_name"), F.lit("").alias("company"), F.lit(None).cast("string").alias("notes"), "website", "consent", "forwarded_for")
+    one = shape([("a", 0, "a@b.uz", "", True, "1.1.1.1, 9.9.9.9"), ("b", 10, "a@b.uz", None, True, " 1.1.1.1"), ("c", 20, "a@b.uz", "x", True, "2"), ("d", 30, "a@b.uz", "", None, "2"), ("e", 40, "nobody", "", True, "2"), ("f", 50, "a@b.uz", "", True, None)])
+    assert {r.id: r.said for r in limits.screened(one).collect()} == {"a": None, "b": None, "c": "robot", "d": "no consent", "e": "invalid address", "f": None}
+    told = []
+
+    def notify(rows):
+        told.append(rows.count())
+        raise RuntimeError("offline")
+
+    folder = str(tmp_path / "submissions")
+    put = limits.submission_sink(folder, 2, "salt", notify)
+    with pytest.warns(UserWarning, match="offline"):
+        put(one, 0)
+        put(one, 0)
+        put(shape([("g", 60, "a@b.uz", "", True, "1.1.1.1"), ("h", 61, "a@b.uz", "", True, None), ("i", 3605, "a@b.uz", "", True, "1.1.1.1"), ("j", 3606, "a@b.uz", "", True, "1.1.1.1")]), 1)
+    stored = spark.read.parquet(folder).collect()
+    # g is the third within the hour of a and b; i comes when a is older than an hour, j while b and i still count
+    assert sorted(r.id for r in stored) == ["a", "b", "f", "h", "i"] and told == [3, 3, 2]
+    assert all(r.name == "n" and r.company is None and len(r.ip_hash) == 64 for r in stored)
+
+
+def test_bounds(spark, monkeypatch):
+    """What one generator makes on the driver is an error beyond its bound, not a slow success."""
+    monkeypatch.setattr(metrics, "MOST_DRAWS", 100)
+    monkeypatch.setattr(items, "MOST_SEEDED", 3)
+    with pytest.raises(ValueError, match="resample_hashed"):
+        metrics.resample_indexes(spark, 11, 10, 1)
+    rows = spark.createDataFrame([(i, str(i), ["a", "b"], 0) for i in range(4)], "ord bigint, item_id string, options array<string>, gold_index int")
+    with pytest.raises(ValueError, match="permute_hashed"):
+        items.permute_seeded(rows)
+    assert items.permute_seeded(rows.limit(3)).count() == 3
+
+
+def test_manifest_schema(spark):
+    from tamga.sources import schemas
+
+    text = json.dumps({"run_id": "r", "model": "m", "temperature": 0.0, "tasks": {"dtm": {"n_items": 3, "metrics": {"primary": 1.5}, "diagnostics": {"coverage": 1.0}}}})
+    got = spark.range(1).select(F.from_json(F.lit(text), schemas.MANIFEST).alias("m")).first().m
+    assert got.tasks["dtm"].metrics.primary == 1.5 and got.tasks["dtm"].n_items == 3 and got.run_id == "r"
