@@ -474,7 +474,7 @@ CHECKED = {
     "detectable_format:multiple_sections": ({"section_spliter": ["erth"], "num_sections": ["1"]}, "len(regexp_extract_all(v, '(?i)erth\\s?\\d+')) >= 1"),
     "detectable_format:constrained_response": ({"allowed_responses": ["in the", "de la"]}, f"contains({_LOWER}, 'in the') OR contains({_LOWER}, 'de la')"),
     "length_constraints:nth_paragraph_first_word": ({"first_word": ["the"], "nth_paragraph": ["2"]}, f"coalesce(len({_PARTS}) >= 2 AND trim({_LOWER.replace('translate(v', f'translate(({_FIRST})')}, '.,!?;:\"' || chr(39)) = 'the', false)"),
-    "detectable_format:json_format": ({}, None),
+    "detectable_format:json_format": ({}, f"coalesce(json_valid(regexp_replace(v, '^{_S}+|{_S}+$', '', 'g')), false)"),
 }
 
 
@@ -1113,10 +1113,13 @@ def response_language(spark, d):
 
 def _put(spark, rows, kind: str, **options) -> str:
     """The folder in shared storage to which rows were written."""
+    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/trip-{uuid.uuid4().hex}.{kind}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{base or tempfile.mkdtemp(prefix='tamga-')}/trip-{uuid.uuid4().hex}.{kind}"
     rows.write.format({"jsonl": "json", "tsv": "csv"}.get(kind, kind)).options(**options).save(path)
     return path
 
