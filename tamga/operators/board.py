@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import against_chance
+from ..functions.stats import against_chance, py_round
 
 PUBLISH, PROVISIONAL = 0.5, 0.8
 # Licences that are not open.
@@ -13,8 +13,8 @@ CLOSED = ("unknown", "proprietary", "closed", "")
 
 
 def published(c: Column) -> Column:
-    """A number with two digits, halves to the even one."""
-    return F.bround(c, 2)
+    """A number with two digits, rounded by its binary value as Python does it."""
+    return py_round(c, 2)
 
 
 def latest_runs(runs: DataFrame, suite: list[str]) -> DataFrame:
@@ -132,11 +132,11 @@ def document(ranked_: DataFrame, cells_: DataFrame, ties_: DataFrame, details: D
     """One row per model as JSON: its cells by task, what is withheld or missing and, with details (run_details), its run."""
     have = set(cells_.columns)
     cell = F.struct(
-        *[F.col(c).alias(name) for name, c in CELL_FIELDS.items() if c in have], F.bround(F.col("chance") * 100, 1).alias("chance"), (F.col("state") == "provisional").alias("provisional")
+        *[F.col(c).alias(name) for name, c in CELL_FIELDS.items() if c in have], py_round(F.col("chance") * 100, 1).alias("chance"), (F.col("state") == "provisional").alias("provisional")
     )
     shown, held = F.col("state").isin("published", "provisional"), F.col("state") == "withheld"
     by_task = lambda use, value: F.map_from_entries(F.array_sort(F.collect_list(F.when(use, F.struct("task", value))), lambda a, b: F.when(a["task"] < b["task"], -1).when(a["task"] > b["task"], 1).otherwise(0)))
-    told = cells_.groupBy("model").agg(by_task(shown, cell.alias("cell")).alias("scores"), by_task(held, F.bround("coverage", 4).alias("coverage")).alias("withheld"))
+    told = cells_.groupBy("model").agg(by_task(shown, cell.alias("cell")).alias("scores"), by_task(held, py_round(F.col("coverage"), 4).alias("coverage")).alias("withheld"))
     out = ranked_.join(told, "model", "left").join(ties_.select("model", "tied_with"), "model", "left")
     fields = []
     if details is not None:

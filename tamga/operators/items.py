@@ -7,8 +7,10 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import seeded
 from ..functions.extract import LETTERS
 from ..functions.text import SPACE, match_key, normalize, normalize_display, py_strip
+from .metrics import placed
 
 # Language names in Uzbek.
 LANGUAGES = {"uz": "oʻzbek", "en": "ingliz", "ru": "rus", "tr": "turk", "kk": "qozoq"}
@@ -157,25 +159,32 @@ def _reordered(items: DataFrame) -> DataFrame:
     return out.withColumn("gold", F.substring(F.lit(LETTERS), F.col("gold_index") + 1, F.lit(1)))
 
 
-#: Items whose orders one generator makes on the driver.
+#: Items of several sizes whose orders one generator makes on the driver.
 MOST_SEEDED = 1_000_000
 
 
 def permute_seeded(items: DataFrame, seed: int = 0) -> DataFrame:
     """items with options as one seeded generator shuffles them, item after item in `ord`.
 
-    The generator is sequential by nature, so the orders are made on the driver, from the item's position and its number of
-    options alone; that is for benchmarks, not for corpora: beyond MOST_SEEDED items it is an error, use permute_hashed.
+    Items that all have as many options are shuffled in parts, in any number. Where their numbers differ nothing tells in advance
+    which number of the stream an item begins with; the orders are made on the driver then, from the numbers of options alone, and
+    beyond MOST_SEEDED items that is an error: use permute_hashed.
     """
-    sizes = items.select("ord", F.size("options").alias("n")).orderBy("ord").limit(MOST_SEEDED + 1).collect()
-    if len(sizes) > MOST_SEEDED:
-        raise ValueError(f"more than {MOST_SEEDED} items: use permute_hashed")
-    rng, orders = random.Random(seed), []
-    for row in sizes:
-        order = list(range(row["n"]))
-        rng.shuffle(order)
-        orders.append((row["ord"], order))
-    table = items.sparkSession.createDataFrame(orders, "ord bigint, __order array<int>")
+    spark = items.sparkSession
+    sizes = [r["n"] for r in items.select(F.size("options").alias("n")).distinct().limit(2).collect()]
+    if len(sizes) < 2:
+        told = placed(items.select("ord"), "ord")
+        table = told.join(seeded.orders(spark, items.count(), sizes[0] if sizes else 0, seed), "pos").select("ord", F.col("order").alias("__order"))
+    else:
+        rows = items.select("ord", F.size("options").alias("n")).orderBy("ord").limit(MOST_SEEDED + 1).collect()
+        if len(rows) > MOST_SEEDED:
+            raise ValueError(f"more than {MOST_SEEDED} items of several sizes: use permute_hashed")
+        rng, orders = random.Random(seed), []
+        for row in rows:
+            order = list(range(row["n"]))
+            rng.shuffle(order)
+            orders.append((row["ord"], order))
+        table = spark.createDataFrame(orders, "ord bigint, __order array<int>")
     out = items.join(table, "ord").withColumn("__x", F.transform("__order", lambda i: F.struct(i.alias("i"), F.get("options", i).alias("o"))))
     return _reordered(out.drop("__order"))
 

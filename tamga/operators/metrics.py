@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import scorable
 from ..functions.mt import bleu_score, bleu_statistics, chrf_score, chrf_statistics
+from ..functions.seeded import draws
 from ..functions.stats import mcnemar, percent, wilson
 
 
@@ -46,54 +49,130 @@ def mcnemar_test(pairs: DataFrame, *by: str) -> DataFrame:
     return mcnemar_counts(pairs, *by).withColumn("t", mcnemar(F.col("b"), F.col("c"))).select(*by, "b", "c", "t.*")
 
 
-#: Draws that one generator makes on the driver.
-MOST_DRAWS = 50_000_000
-
-
-def resample_indexes(spark, n: int, samples: int, seed: int) -> DataFrame:
-    """sample, pos, times: how often each position is drawn, from one seeded generator; made on the driver, since the stream is
-    sequential, and meant for benchmark sizes: more than MOST_DRAWS draws (n * samples) are an error."""
-    if n * samples > MOST_DRAWS:
-        raise ValueError(f"{n} rows, {samples} samples: one generator is too slow for that, use resample_hashed")
-    rng = random.Random(seed)
-    rows = []
-    for s in range(samples):
-        drawn: dict[int, int] = {}
-        for _ in range(n):
-            k = rng.randrange(n)
-            drawn[k] = drawn.get(k, 0) + 1
-        rows += [(s, k, times) for k, times in drawn.items()]
-    return spark.createDataFrame(rows, "sample int, pos int, times int")
-
-
-def resample_hashed(rows: DataFrame, samples: int, seed: int = 0, id_col: str = "item_id") -> DataFrame:
-    """rows by sample with `times` drawn by hash from Poisson(1): a bootstrap without sequential state, for any size."""
-    # Cumulative probabilities of Poisson(1).
-    cumulative = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
-    each = rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    digest = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("sample").cast("string"))), F.lit(1), F.lit(8))
-    u = F.conv(digest, 16, 10).cast("double") / 4294967296.0
-    times = sum(((u >= p).cast("int") for p in cumulative), F.lit(0))
-    return each.withColumn("times", times).where("times > 0")
+# Cumulative probabilities of Poisson(1).
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+#: Rows whose weights a task holds at a time.
+WEIGHED = 1024
+
+
+def placed(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `pos`, their rank by a column from 0, without a window over all of them: cuts taken from rows picked by hash divide
+    them into stretches, whose sizes are added up."""
+    cuts = max(1, min(4096, rows.count() // 50_000))
+    picked = sorted(r[0] for r in rows.where(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(column)).limit(16 * cuts).collect())[8::16]
+    kind = rows.schema[column].dataType
+    part = sum(((F.col(column) >= F.lit(x).cast(kind)).cast("int") for x in picked), F.lit(0)) if len(picked) < 64 else F.size(F.filter(F.array(*[F.lit(x).cast(kind) for x in picked]), lambda x: x <= F.col(column)))
+    dealt = rows.withColumn("__part", F.coalesce(part, F.lit(0)))
+    counts = dict(dealt.groupBy("__part").agg(F.count("*")).collect())
+    before, start = {}, 0
+    for k in sorted(counts):
+        before[k], start = start, start + counts[k]
+    if not before:
+        return rows.withColumn("pos", F.lit(0).cast("bigint"))
+    starts = F.create_map(*[F.lit(x).cast("bigint") for k in before.items() for x in k])
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1
+    return dealt.withColumn("pos", rank + F.element_at(starts, F.col("__part").cast("bigint"))).drop("__part")
+
+
+def _summed(held: dict, by: list[pa.Field], values: list[str]) -> pa.RecordBatch:
+    """by, sample and sums of each group that a task has met, its samples one after the other."""
+    keys = list(held)
+    samples = len(next(iter(held.values())))
+    columns = [pa.array([k[i] for k in keys for _ in range(samples)], f.type) for i, f in enumerate(by)]
+    columns.append(pa.array(np.tile(np.arange(samples, dtype=np.int32), len(keys))))
+    sums = np.concatenate([held[k] for k in keys])
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(sums[:, v])) for v in range(len(values)))], names=[*(f.name for f in by), "sample", *values])
+
+
+def _add(held: dict, by: list[list], values: np.ndarray, weights: np.ndarray) -> None:
+    """weights: rows x samples. One product of matrices for each group."""
+    groups: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(*by) if by else [()] * len(values)):
+        groups.setdefault(key, []).append(i)
+    for key, rows in groups.items():
+        sums = weights[rows].T.astype(np.float64) @ values[rows]
+        held[key] = held[key] + sums if key in held else sums
+
+
+def _schema(rows: DataFrame, by: list[str], values: list[str]) -> tuple[str, list[pa.Field]]:
+    kinds = [(c, rows.schema[c].dataType) for c in by]
+    text = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in kinds), "sample int", *(f"`{c}` double" for c in values)])
+    return text, [pa.field(c, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[t.simpleString()]) for c, t in kinds]
+
+
+def hashed_weights(ids: list, samples: int, seed: int) -> np.ndarray:
+    """How often each id is drawn for each sample: Poisson(1) by hash, a bootstrap without sequential state. Samples are told apart
+    by the first 32 bits of md5(seed|id|sample)."""
+    ends = [str(s).encode() for s in range(samples)]
+    out = np.empty((len(ids), samples), np.uint32)
+    for i, x in enumerate(ids):
+        begun = hashlib.md5(f"{seed}|{x}|".encode(), usedforsecurity=False)
+        row = []
+        for end in ends:
+            h = begun.copy()
+            h.update(end)
+            row.append(h.digest()[:4])
+        out[i] = np.frombuffer(b"".join(row), ">u4")
+    return np.searchsorted(np.array(POISSON), out / 4294967296.0, side="right")
+
+
+def resampled_hashed(rows: DataFrame, by: list[str], values: list[str], samples: int, seed: int = 0, id_col: str = "item_id") -> DataFrame:
+    """by, sample and sums of the values, each row as often as its hash says. A task adds up a vector of all samples for each
+    group, so what is shuffled are vectors of tasks and not rows by samples. There should be few groups."""
+    schema, fields = _schema(rows, by, values)
+
+    def run(batches):
+        held: dict = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, WEIGHED):
+                batch = whole.slice(at, WEIGHED)
+                numbers = np.stack([batch.column(1 + len(by) + v).to_numpy(zero_copy_only=False) for v in range(len(values))], 1)
+                _add(held, [batch.column(1 + i).to_pylist() for i in range(len(by))], numbers, hashed_weights(batch.column(0).to_pylist(), samples, seed))
+        if held:
+            yield _summed(held, fields, values)
+
+    made = rows.select(F.col(id_col).cast("string"), *by, *[F.col(c).cast("double") for c in values]).mapInArrow(run, schema)
+    return made.groupBy(*by, "sample").agg(*[F.sum(c).alias(c) for c in values])
+
+
+def resampled_seeded(rows: DataFrame, by: list[str], values: list[str], n: int, samples: int, seed: int) -> DataFrame:
+    """by, sample and sums of the values, each position `pos` (0 to n - 1) as often as random.Random(seed) draws it: samples of n
+    draws, one after the other. Draws are made in parts and meet the rows of their block of positions; see functions.seeded."""
+    schema, fields = _schema(rows, by, values)
+    drawn, block = draws(rows.sparkSession, n, samples, seed)
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        weights = np.zeros((block, samples), np.int32)
+        for sample, places in zip(right.column("sample").to_pylist(), right.column("places").to_pylist()):
+            weights[:, sample] += np.bincount(np.frombuffer(places, "<i4"), minlength=block).astype(np.int32)
+        held: dict = {}
+        numbers = np.stack([left.column(c).to_numpy() for c in values], 1)
+        _add(held, [left.column(c).to_pylist() for c in by], numbers, weights[left.column("pos").to_numpy() % block])
+        return pa.Table.from_batches([_summed(held, fields, values)]) if held else pa.Table.from_batches([], schema=pa.schema([*fields, ("sample", pa.int32()), *((c, pa.float64()) for c in values)]))
+
+    dealt = rows.select(F.floor(F.col("pos") / block).alias("block"), "pos", *by, *[F.col(c).cast("double").alias(c) for c in values])
+    made = dealt.groupBy("block").cogroup(drawn.groupBy("block")).applyInArrow(run, schema)
+    return made.groupBy(*by, "sample").agg(*[F.sum(c).alias(c) for c in values])
 
 
 def paired_bootstrap(pairs: DataFrame, samples: int = 1000, seed: int = 12345) -> DataFrame:
     """delta, p_value: one row. pairs: ord, a, b; positions are ranks of ord."""
     spark = pairs.sparkSession
-    placed = pairs.select((F.row_number().over(Window.orderBy("ord")) - 1).alias("pos"), (F.col("a") - F.col("b")).alias("d"))
-    whole = placed.agg(F.count("*").alias("n"), F.sum("d").alias("d")).first()
+    told = placed(pairs.select("ord", (F.col("a") - F.col("b")).alias("d")), "ord")
+    whole = told.agg(F.count("*").alias("n"), F.sum("d").alias("d")).first()
     n = whole["n"]
     if not n:
         return spark.createDataFrame([(0.0, 1.0, 0)], "delta double, p_value double, n_samples int")
-    sums = resample_indexes(spark, n, samples, seed).join(placed, "pos").groupBy("sample").agg((F.sum(F.col("d") * F.col("times")) / n).alias("d"))
+    sums = resampled_seeded(told, [], ["d"], n, samples, seed)
     same = (F.col("d") > 0) == F.lit(whole["d"] > 0)
     return sums.agg(F.lit(whole["d"] / n * 100).alias("delta"), (F.lit(1.0) - F.count_if(same & (F.col("d") != 0)) / samples).alias("p_value"), F.lit(samples).alias("n_samples"))
 
 
 def paired_bootstrap_hashed(pairs: DataFrame, samples: int = 200, seed: int = 12345) -> DataFrame:
-    """sample, delta: mean difference of each hash-drawn resample."""
-    drawn = resample_hashed(pairs.select("item_id", (F.col("a") - F.col("b")).alias("d")), samples, seed)
-    return drawn.groupBy("sample").agg((F.sum(F.col("d") * F.col("times")) / F.sum("times")).alias("delta"))
+    """sample, delta: mean difference of each hash-drawn resample; one that draws nothing has none."""
+    rows = pairs.select("item_id", (F.col("a") - F.col("b")).alias("d"), F.lit(1.0).alias("n"))
+    sums = resampled_hashed(rows, [], ["d", "n"], samples, seed)
+    return sums.where("n > 0").select("sample", (F.col("d") / F.col("n")).alias("delta"))
 
 
 def interval(values: DataFrame, column: str) -> DataFrame:
@@ -124,13 +203,11 @@ def bleu_interval(pairs: DataFrame, samples: int = 500, seed: int = 12345) -> Da
 
 def _resampled(pairs: DataFrame, statistics, scored, column: str, samples: int, seed: int) -> DataFrame:
     """The statistics of the segments are made once and summed per resample."""
-    placed = pairs.select("seg", (F.row_number().over(Window.orderBy("seg")) - 1).alias("pos"))
-    n = placed.count()
+    segments = placed(pairs.select("seg"), "seg")
+    n = segments.count()
     if n < 2:
         return pairs.sparkSession.createDataFrame([(0.0, 0.0)], "low double, high double")
-    stats = statistics(pairs).join(placed, "seg").drop("seg")
-    drawn = resample_indexes(pairs.sparkSession, n, samples, seed).join(stats, "pos")
-    sums = drawn.groupBy("sample", "kind", "n").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("hyp", "ref", "match")])
+    sums = resampled_seeded(statistics(pairs).join(segments, "seg"), ["kind", "n"], ["hyp", "ref", "match"], n, samples, seed)
     return interval(scored(sums, "sample"), column)
 
 

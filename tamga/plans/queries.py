@@ -123,7 +123,16 @@ def mcnemar_exact(spark, d):
     return k.select("model", "b", "c", F.round(stats.binomial_tail(F.col("b"), F.col("c")), 6).alias("p_value"))
 
 
-@query("mcnemar_chi2_p")
+# erfc by the series of erf, whose terms are all positive; beyond 6 it is 0 to six digits
+_ERFC = """CASE WHEN x > 6 THEN 0.0::DOUBLE WHEN x = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - 2.0::DOUBLE / sqrt(pi()) * list_sum(list_transform(range(0, 200), lambda i:
+ exp(2.0::DOUBLE * i * ln(2.0::DOUBLE) + (2.0::DOUBLE * i + 1) * ln(x) + lgamma(i + 1) - lgamma(2 * i + 2) - x * x))) END"""
+
+
+@query("mcnemar_chi2_p", f"""WITH {_PAIRS}, k AS (SELECT task, count(*) FILTER (WHERE a > 0 AND b <= 0) AS b, count(*) FILTER (WHERE b > 0 AND a <= 0) AS c FROM pairs GROUP BY task),
+t AS (SELECT task, b, c, unnest(range(0, least(b, c) + 1)) AS i FROM k WHERE b + c < 25),
+s AS (SELECT task, least(1.0::DOUBLE, 2.0 * CAST(sum(factorial(CAST(b + c AS INT)) / (factorial(CAST(i AS INT)) * factorial(CAST(b + c - i AS INT)))) AS DOUBLE) / pow(2.0, any_value(b + c))) AS exact FROM t GROUP BY task),
+x AS (SELECT task, b, c, CASE WHEN b + c >= 25 THEN pow(abs(b - c) - 1.0::DOUBLE, 2.0::DOUBLE) / (b + c) END AS chi2 FROM k), y AS (SELECT *, sqrt(chi2 / 2) AS x FROM x)
+SELECT y.task, b, c, round(CASE WHEN b + c = 0 THEN 1.0 WHEN b + c < 25 THEN exact ELSE {_ERFC} END, 6) AS p_value, round(chi2, 6) AS chi2, CASE WHEN b + c = 0 THEN 'none' WHEN b + c < 25 THEN 'exact' ELSE 'chi2' END AS test FROM y LEFT JOIN s USING (task)""")
 def mcnemar_chi2_p(spark, d):
     return rounded(metrics.mcnemar_test(_pairs(spark, d), "task"), "p_value", "chi2")
 
@@ -155,7 +164,19 @@ def percentile_positions(spark, d):
     return metrics.interval(D.table(spark, d, "orders"), "o_totalprice")
 
 
-@query("py_round_edge")
+# the number written out to two digits from its binary value
+PY_ROUND = lambda x: f"CAST(format('{{:.2f}}', CAST({x} AS DOUBLE)) AS DOUBLE)"
+
+
+@query("py_round_ties", f"""SELECT l_orderkey, l_linenumber, {PY_ROUND('l_extendedprice / 1000 + 0.005')} AS plain, {PY_ROUND('(l_partkey * 10 + 5) / 1000.0::DOUBLE')} AS tie, {PY_ROUND('-l_discount * l_tax / l_quantity')} AS small FROM lineitem""")
+def py_round_ties(spark, d):
+    two = lambda c: stats.py_round(c, 2)
+    price, part = F.col("l_extendedprice").cast("double"), F.col("l_partkey").cast("double")
+    small = -(F.col("l_discount").cast("double") * F.col("l_tax").cast("double")) / F.col("l_quantity").cast("double")
+    return D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", two(price / 1000.0 + 0.005).alias("plain"), two((part * 10 + 5) / 1000.0).alias("tie"), two(small).alias("small"))
+
+
+@query("py_round_edge", f"SELECT p_partkey, {PY_ROUND('p_retailprice / 8')} AS r FROM part")
 def py_round_edge(spark, d):
     return D.table(spark, d, "part").select("p_partkey", stats.py_round(F.col("p_retailprice") / 8, 2).alias("r"))
 
@@ -810,14 +831,15 @@ def _cells(spark, d):
 
 def _cells_sql() -> str:
     low, high = wilson_sql("correct", "n")
-    return f"""{D.RESULTS}, s AS (SELECT model, task, round_even(CASE WHEN n > 0 THEN correct / n * 100 ELSE 0.0 END, 2) AS score, round_even({low}, 2) AS ci_low, round_even({high}, 2) AS ci_high, n / CAST(n_items AS DOUBLE) AS coverage FROM
+    return f"""{D.RESULTS}, s AS (SELECT model, task, {PY_ROUND('CASE WHEN n > 0 THEN correct / n * 100 ELSE 0.0 END')} AS score, {PY_ROUND(low)} AS ci_low, {PY_ROUND(high)} AS ci_high, n / CAST(n_items AS DOUBLE) AS coverage FROM
  (SELECT model, task, count(*) FILTER (WHERE {D.SCORABLE}) AS n, coalesce(sum(score) FILTER (WHERE {D.SCORABLE}), 0.0) AS correct, count(*) AS n_items FROM results WHERE NOT (model = 'src3' AND task = 'fr') GROUP BY model, task)),
 suite AS (SELECT * FROM (VALUES {', '.join(f"('{t}', {c}::DOUBLE)" for t, c in _SUITE)}) t(task, chance)),
 cells AS (SELECT m.model, suite.task, chance, score, ci_low, ci_high, coverage, CASE WHEN coverage IS NULL THEN 'missing' WHEN coverage < 0.5 THEN 'withheld' WHEN coverage < 0.8 THEN 'provisional' ELSE 'published' END AS state
  FROM (SELECT DISTINCT model FROM results) m CROSS JOIN suite LEFT JOIN s ON s.model = m.model AND s.task = suite.task)"""
 
 
-_COMPOSITE = """c AS (SELECT model, round_even(avg(round_even(greatest(0.0, (score / 100 - chance) / (1 - chance)) * 100, 2)) FILTER (WHERE state IN ('published', 'provisional')), 2) AS mean, count(*) FILTER (WHERE state IN ('published', 'provisional')) = count(*) AS complete FROM cells GROUP BY model),
+_NORMALISED = PY_ROUND("greatest(0.0, (score / 100 - chance) / (1 - chance)) * 100")
+_COMPOSITE = f"""c AS (SELECT model, {PY_ROUND(f"avg({_NORMALISED}) FILTER (WHERE state IN ('published', 'provisional'))")} AS mean, count(*) FILTER (WHERE state IN ('published', 'provisional')) = count(*) AS complete FROM cells GROUP BY model),
 ranked AS (SELECT model, CASE WHEN complete THEN mean END AS composite, complete, CASE WHEN complete THEN CAST(row_number() OVER (PARTITION BY complete ORDER BY mean DESC, model) AS INT) END AS rank FROM c)"""
 
 

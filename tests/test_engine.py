@@ -304,16 +304,46 @@ def test_submissions(spark, tmp_path):
     assert all(r.name == "n" and r.company is None and len(r.ip_hash) == 64 for r in stored)
 
 
-def test_bounds(spark, monkeypatch):
-    """What one generator makes on the driver is an error beyond its bound, not a slow success."""
-    monkeypatch.setattr(metrics, "MOST_DRAWS", 100)
-    monkeypatch.setattr(items, "MOST_SEEDED", 3)
-    with pytest.raises(ValueError, match="resample_hashed"):
-        metrics.resample_indexes(spark, 11, 10, 1)
-    rows = spark.createDataFrame([(i, str(i), ["a", "b"], 0) for i in range(4)], "ord bigint, item_id string, options array<string>, gold_index int")
+def test_seeded_orders(spark, monkeypatch):
+    """Lists of one size are shuffled in any number; of several sizes on the driver, and beyond the bound that is an error."""
+    import random
+
+    shape = "ord bigint, item_id string, options array<string>, gold_index int"
+    for sizes in ([3] * 50, [2 + i % 3 for i in range(50)]):
+        rows = spark.createDataFrame([(7 * i, str(i), list("abcd")[:n], 0) for i, n in enumerate(sizes)], shape).repartition(5)
+        rng, want = random.Random(6), []
+        for n in sizes:
+            order = list(range(n))
+            rng.shuffle(order)
+            want.append(["abcd"[i] for i in order])
+        assert [r.options for r in items.permute_seeded(rows, 6).orderBy("ord").collect()] == want
+    monkeypatch.setattr(items, "MOST_SEEDED", 49)
     with pytest.raises(ValueError, match="permute_hashed"):
         items.permute_seeded(rows)
-    assert items.permute_seeded(rows.limit(3)).count() == 3
+
+
+def test_positions(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{i:04}",) for i in range(500)], "seg string").repartition(7)
+    assert [r.pos for r in metrics.placed(rows, "seg").orderBy("seg").collect()] == list(range(500))
+    numbers = spark.range(120_000).selectExpr("id * 3 AS seg").repartition(5)
+    got = metrics.placed(numbers, "seg")
+    assert got.where("pos <> seg / 3").count() == 0 and got.count() == 120_000
+
+
+def test_hashed_sums(spark):
+    """Sums by vectors equal those of rows by samples."""
+    import hashlib
+
+    rows = [(f"i{i}", f"g{i % 3}", float(i % 7), 1.0) for i in range(3000)]
+    got = {(r.g, r.sample): (r.d, r.n) for r in metrics.resampled_hashed(spark.createDataFrame(rows, "item_id string, g string, d double, n double"), ["g"], ["d", "n"], 5, 9).collect()}
+    want = {}
+    for i, g, d, n in rows:
+        for s in range(5):
+            u = int(hashlib.md5(f"9|{i}|{s}".encode()).hexdigest()[:8], 16) / 2**32
+            k = sum(u >= p for p in metrics.POISSON)
+            a, b = want.get((g, s), (0.0, 0.0))
+            want[g, s] = (a + k * d, b + k * n)
+    assert got == want
 
 
 def test_manifest_schema(spark):

@@ -139,8 +139,8 @@ def test_resamples_whole(spark, monkeypatch):
     assert got.n_samples == 1000 and got.p_value == pytest.approx(1 - wins / 1000)
     hashed = plans.QUERIES["bootstrap_hash"](spark, SMALL)
     assert sorted(r.sample for r in hashed.collect()) == list(range(200))
-    drawn, made = [], metrics.resample_indexes
-    monkeypatch.setattr(metrics, "resample_indexes", lambda spark, n, samples, seed: drawn.append(samples) or made(spark, n, samples, seed))
+    drawn, made = [], metrics.draws
+    monkeypatch.setattr(metrics, "draws", lambda spark, n, samples, seed: drawn.append(samples) or made(spark, n, samples, seed))
     ends = plans.QUERIES["bootstrap_ci_rng"](spark, SMALL).first()
     assert drawn == [500] and 0 <= ends.low < ends.high <= 100
 
