@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import __version__
 from .functions.text import slug_of
-from .operators import board, records, validators
+from .operators import board, records
 from .registry import TASKS, get_task
 from .sources import config, readers
 from .sources.providers import PROVIDERS, get_provider, run_items
@@ -40,27 +40,56 @@ def _save(path: str, manifest: dict) -> None:
     os.replace(path + ".new", path)
 
 
-def _entry(task, results: DataFrame, dataset: readers.Dataset) -> dict:
+def _plain(x):
+    """A Row and what it holds as JSON has it."""
+    if hasattr(x, "asDict"):
+        return {k: _plain(v) for k, v in x.asDict().items()}
+    return [_plain(v) for v in x] if isinstance(x, list) else x
+
+
+def _told(told: dict) -> dict:
+    """Lists of a name and its numbers as objects by name."""
+    named = {"by_direction": "direction", "by_instruction_type": "name"}
+    told = {k: {r.pop(named[k]): r for r in v} if k in named else v for k, v in told.items()}
+    if "exclusion_reasons" in told:
+        told["exclusion_reasons"] = {r["reason"]: r["n"] for r in told["exclusion_reasons"]}
+    return told
+
+
+def _entry(task, results: DataFrame, dataset: readers.Dataset, cfg: config.TaskConfig) -> dict:
     """The manifest entry of one task."""
+    results = results.persist()
     s = task.summary(results).first().asDict()
-    number = lambda k: round(s[k], 2)
     rates = {k: round(v or 0.0, 4) for k, v in s.items() if k.endswith("_rate") or k == "coverage"}
+    by = task.broken_down(results)
+    breakdown: dict = {}
+    for r in by.collect() if by is not None else ():
+        breakdown.setdefault(r["key"], {})[r["value"]] = {"accuracy": round(r["accuracy"], 2), "ci_low": round(r["ci_low"], 2), "ci_high": round(r["ci_high"], 2), "n": r["n"], "correct": round(r["correct"], 2)}
+    results.unpersist()
     return {
-        "task_version": task.version, "dataset": dataset.id, "dataset_sha256": dataset.sha256, "n_items": s["n_items"], "n_scored": s["n_scored"],
-        "metrics": {"primary": number("accuracy"), "ci_low": number("ci_low"), "ci_high": number("ci_high")}, "diagnostics": rates | {"at_or_below_chance": bool(s["at_or_below_chance"])},
+        "task_version": task.version, "dataset": dataset.id, "dataset_sha256": dataset.sha256, "options": cfg.options, "n_items": s["n_items"], "n_scored": s["n_scored"],
+        "metrics": {k: s[k] for k in ("primary", "ci_low", "ci_high", "n")} | _told(_plain(s["told"])), "diagnostics": rates | {"at_or_below_chance": bool(s["at_or_below_chance"])}, "breakdown": breakdown,
     }
 
 
+def _dataset(spark: SparkSession, cfg: config.TaskConfig, task, roots: tuple[str, ...]) -> tuple[readers.Dataset, DataFrame]:
+    """A task's dataset, and its rows numbered and with all columns that the task may read."""
+    from .operators.items import numbered
+
+    data = readers.load(spark, cfg.dataset, roots, variants=task.variants)
+    return data, task.shaped(numbered(data.rows))
+
+
 def run_task(spark: SparkSession, cfg: config.TaskConfig, model: config.ModelConfig, folder: str, roots: tuple[str, ...] = (), limit: int = 0, every: int = 1000) -> dict:
     """Ask for what has no good record yet, append the records, score the latest ones; a second call asks only for failures.
 
     Answers are committed for `every` items at a time, so a run that is killed loses no more than those under way.
     """
     task = get_task(cfg.task)(seed=cfg.seed, **cfg.options)
-    data = readers.load(spark, cfg.dataset, roots)
-    from .operators.items import limited, numbered
+    from .operators.items import limited
 
-    made = task.items(numbered(data.rows)).withColumn("prompt", task.prompt())
+    data, rows = _dataset(spark, cfg, task, roots)
+    made = task.items(rows).withColumn("prompt", task.prompt())
     made = (limited(made, limit) if limit else made).cache()
     log = os.path.join(folder, cfg.task)
     old = readers.read_records(spark, log) if os.path.isdir(log) else spark.createDataFrame([], RECORD).withColumn("ord", F.lit(0).cast("bigint"))
@@ -71,7 +100,7 @@ def run_task(spark: SparkSession, cfg: config.TaskConfig, model: config.ModelCon
     for part in sorted(r["part"] for r in todo.select("part").distinct().collect()):
         _asked(todo.where(F.col("part") == part), provider, tokens, chosen["concurrency"]).write.mode("append").json(log)
     todo.unpersist()
-    return _entry(task, _scored(spark, task, made, log), data) | provider.described(chosen["reasoning"])
+    return _entry(task, _scored(spark, task, made, log), data, cfg) | provider.described(chosen["reasoning"])
 
 
 def _asked(items, provider, tokens: int, concurrency: int) -> DataFrame:
@@ -111,21 +140,48 @@ def _scored(spark, task, made: DataFrame, log: str, rescoring: bool = False) ->
 
 def rescore_task(spark: SparkSession, cfg: config.TaskConfig, folder: str, roots: tuple[str, ...] = ()) -> dict:
     task = get_task(cfg.task)(seed=cfg.seed, **cfg.options)
-    data = readers.load(spark, cfg.dataset, roots)
-    from .operators.items import numbered
-
-    return _entry(task, _scored(spark, task, task.items(numbered(data.rows)), os.path.join(folder, cfg.task), True), data)
+    data, rows = _dataset(spark, cfg, task, roots)
+    return _entry(task, _scored(spark, task, task.items(rows), os.path.join(folder, cfg.task), True), data, cfg)
 
 
-def report(spark: SparkSession, folder: str, suite: config.SuiteConfig, chances: dict[str, float]) -> DataFrame:
+def validate(spark: SparkSession, cfg: config.TaskConfig, roots: tuple[str, ...] = (), limit: int = 10) -> tuple[list[str], bool]:
+    """Lines about a dataset and its first problems; whether it is clean. Rows are judged as they are, not the items made of them."""
+    task = get_task(cfg.task)(seed=cfg.seed, **cfg.options)
+    try:
+        data, rows = _dataset(spark, cfg, task, roots)
+    except Exception as e:  # noqa: BLE001  a dataset that can't be read is a problem of its own
+        return [f"{cfg.task}: {type(e).__name__}: {e}"[:500]], False
+    problems = task.problems(rows).persist()
+    n = problems.count()
+    lines = [f"{cfg.task}: {rows.count()} rows, {task.items(rows).count()} items, sha256 {data.sha256[:12]}, {n} problems"]
+    lines += [f"  row {r['row_id']}: {r['problem']}" for r in problems.orderBy("row_id", "problem").limit(limit).collect()]
+    problems.unpersist()
+    return lines + ([f"  and {n - limit} more"] if n > limit else []), not n
+
+
+def report(spark: SparkSession, folder: str, suite: config.SuiteConfig, tasks: dict[str, config.TaskConfig]) -> DataFrame:
     """rank, model and the row as JSON, from all manifests under folder."""
     runs = board.latest_runs(readers.read_runs(spark, folder), suite.tasks)
     scores = readers.run_cells(runs).where(F.col("task").isin(*suite.tasks))
-    cells = board.cells(runs, scores, spark.createDataFrame([(t, float(chances.get(t, 0.0))) for t in suite.tasks], "task string, chance double"))
+    chances = spark.createDataFrame([(t, float(get_task(tasks[t].task).chance)) for t in suite.tasks], "task string, chance double")
+    cells = board.cells(runs, scores, chances)
     ranked = board.ranked(board.composites(cells, suite.require_complete), runs)
     return board.document(ranked, cells, board.ties(ranked, cells), board.run_details(runs, suite.tasks))
 
 
+def published(rows: list[str], suite: config.SuiteConfig, tasks: dict[str, config.TaskConfig]) -> dict:
+    """The whole board: what the suite is, its tasks, how to read it, and the models' rows."""
+    notes = {
+        "composite": "Mean of the tasks' scores, each rescaled so that its random baseline is 0. Only models with all tasks of the suite have one.",
+        "intervals": "95 % intervals. Models whose intervals overlap on every task that both have are told as tied.",
+        "coverage": f"A cell of which less than {board.PROVISIONAL:.0%} could be scored is provisional, below {board.PUBLISH:.0%} it is withheld; answers that could not be read are reported apart.",
+    }
+    if not rows:
+        notes["status"] = "No model has been run on this suite yet."
+    about = [{"id": t, "chance": round(get_task(tasks[t].task).chance * 100, 1), "version": get_task(tasks[t].task).version} for t in suite.tasks]
+    return {"suite": suite.name, "suiteDescription": suite.description.strip(), "generatedAt": now(), "tasks": about, "notes": notes, "models": [json.loads(x) for x in rows]}
+
+
 def summary_lines(manifest: dict) -> list[str]:
     out = [f"run {manifest.get('run_id')}, model {manifest.get('model')}, started {manifest.get('started_at')}"]
     for name, e in (manifest.get("tasks") or {}).items():
@@ -145,6 +201,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--run-id")
     p.add_argument("--limit", type=int, default=0)
     p.add_argument("--strict", action="store_true")
+    p.add_argument("--out", help="file for the whole board as JSON")
     a = p.parse_args(args)
     if a.verb == "list":
         print("tasks:", *sorted(TASKS), "\nproviders:", *sorted(PROVIDERS), "\nsuites:", *config.listed(f"{a.configs}/suites"))
@@ -157,20 +214,18 @@ def main(args: list[str] | None = None) -> int:
     suite = config.load(config.SuiteConfig, f"{a.configs}/suites", a.suite)
     tasks = {t: config.load(config.TaskConfig, f"{a.configs}/tasks", t) for t in suite.tasks}
     if a.verb == "report":
-        for row in report(spark, a.runs, suite, {t: get_task(c.task).chance for t, c in tasks.items()}).collect():
-            print(row["row"])
+        rows = [r["row"] for r in report(spark, a.runs, suite, tasks).collect()]  # a row for each model
+        if a.out:
+            _save(a.out, published(rows, suite, tasks))
+        print("\n".join(rows))
         return 0
     if a.verb == "validate":
-        bad = 0
-        for name, cfg in tasks.items():
-            from .operators.items import numbered
-
-            made = get_task(cfg.task)(seed=cfg.seed, **cfg.options).items(numbered(readers.load(spark, cfg.dataset, (a.data,)).rows))
-            found = validators.choice_problems(made, F.col("item_id"), F.col("options"), F.col("gold_index")) if "gold_index" in made.columns else None
-            n = found.count() if found is not None else 0
-            bad += n
-            print(f"{name}: {made.count()} items, {n} problems")
-        return int(bool(bad) and a.strict)
+        clean = True
+        for cfg in tasks.values():
+            lines, fine = validate(spark, cfg, (a.data,), a.limit or 10)
+            print("\n".join(lines))
+            clean &= fine
+        return int(not clean and a.strict)
     if a.verb == "run":
         # a batch suite lists its models in the order in which they run, the smallest first
         for name in [a.model] if a.model else suite.models:

@@ -54,10 +54,16 @@ def choice_items(rows: DataFrame, options: Column, gold: Column, question: Colum
     )
 
 
-def dtm_items(rows: DataFrame, strict: bool = False) -> DataFrame:
+def dtm_choice(rows: DataFrame, strict: bool = False) -> tuple[Column, Column]:
+    """Options and the position of the key."""
     options = F.array(*[F.coalesce(F.col(f"option_{x}").cast("string"), F.lit("")) for x in "ABCD"])
     key = F.col("answer") if "answer" in rows.columns else F.col("correct_answer")
-    return choice_items(rows, options, letter_index(key, "ABCD", strict), F.col("question"), F.create_map(F.lit("subject"), F.coalesce("subject", F.lit("unknown"))))
+    return options, letter_index(key, "ABCD", strict)
+
+
+def dtm_items(rows: DataFrame, strict: bool = False) -> DataFrame:
+    options, gold = dtm_choice(rows, strict)
+    return choice_items(rows, options, gold, F.col("question"), F.create_map(F.lit("subject"), F.coalesce("subject", F.lit("unknown"))))
 
 
 def parse_options(cell: Column) -> Column:
@@ -72,10 +78,15 @@ def parse_options(cell: Column) -> Column:
     return F.when(F.length(text) == 0, none).when(valid.isNotNull(), valid).when(F.size(quoted) > 0, quoted).otherwise(lines)
 
 
-def mmlu_items(rows: DataFrame) -> DataFrame:
-    options = parse_options(first(F.col("options_uzb"), F.col("options")))
+def mmlu_choice() -> tuple[Column, Column]:
+    """Options and the position of the key."""
     given = first(F.col("answer_index"))
     gold = F.when(given.isNotNull(), F.expr("try_cast(answer_index as int)")).otherwise(letter_index(F.col("answer"), LETTERS))
+    return parse_options(first(F.col("options_uzb"), F.col("options"))), gold
+
+
+def mmlu_items(rows: DataFrame) -> DataFrame:
+    options, gold = mmlu_choice()
     rows = rows.withColumn("id", F.coalesce(F.col("question_id").cast("string"), F.col("ord").cast("string")))
     return choice_items(rows, options, gold, first(F.col("question_uzb"), F.col("question")), F.create_map(F.lit("category"), F.coalesce("category", F.lit("unknown"))))
 
@@ -110,16 +121,58 @@ def translation_items(rows: DataFrame, directions=("uz_en", "en_uz", "uz_ru", "r
     return out.select(F.concat("rid", F.lit(":"), "x.direction").alias("item_id"), "ord", "split", "x.direction", "x.source", normalize(F.col("x.target")).alias("gold"))
 
 
+ARGUMENTS = "map<string,array<string>>"
+
+
+def arguments(c: Column, kind) -> Column:
+    """Arguments by position as array<map<string, array<string>>>: a single value is a list of one, null arguments are dropped.
+
+    kind: the column's type. JSON text, VARIANT, maps and structs of any types do, also where an argument is a number in one row
+    and a list in the next.
+    """
+    if kind.simpleString() == f"array<{ARGUMENTS}>":
+        return F.transform(c, lambda m: F.map_filter(F.coalesce(m, F.create_map().cast(ARGUMENTS)), lambda k, v: v.isNotNull()))
+    name = kind.typeName()
+    v = c if name == "variant" else F.try_parse_json(c) if name == "string" else F.to_variant_object(c)
+    listed = F.try_variant_get(v, "$", "array<variant>")
+
+    def plain(x: Column) -> Column:
+        said = F.try_variant_get(x, "$", "array<string>")
+        return F.when(F.is_variant_null(x), F.lit(None).cast("array<string>")).otherwise(F.coalesce(said, F.array(F.try_variant_get(x, "$", "string"))))
+
+    def one(x: Column) -> Column:
+        named = F.coalesce(F.try_variant_get(x, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+        return F.map_filter(F.transform_values(named, lambda k, v: plain(v)), lambda k, v: v.isNotNull())
+
+    return F.transform(listed, one)
+
+
+def _constraints(rows: DataFrame) -> DataFrame:
+    """item_id, ord, prompt, constraints: for each instruction id struct<at, name, kw, localised>, local arguments over the others."""
+    empty = F.create_map().cast(ARGUMENTS)
+    said = lambda c: arguments(F.col(c), rows.schema[c].dataType) if c in rows.columns else F.array().cast(f"array<{ARGUMENTS}>")
+    prompt = first(*[F.col(c) for c in ("prompt_uz", "prompt") if c in rows.columns])
+    made = rows.where(prompt.isNotNull()).select(
+        F.coalesce(F.col("key").cast("string"), F.col("ord").cast("string")).alias("item_id"), "ord", prompt.alias("prompt"), F.coalesce("instruction_id_list", F.array().cast("array<string>")).alias("ids"),
+        said("kwargs").alias("base"), said("kwargs_uz").alias("local"),
+    )
+
+    def one(name: Column, at: Column) -> Column:
+        own = lambda c: F.coalesce(F.get(F.col(c), at), empty)
+        over = F.map_concat(F.map_filter(own("base"), lambda k, v: ~F.map_contains_key(own("local"), k)), own("local"))
+        return F.struct(at.alias("at"), name.alias("name"), over.alias("kw"), (F.size(own("local")) > 0).alias("localised"))
+
+    return made.select("item_id", "ord", "prompt", F.transform("ids", one).alias("constraints"))
+
+
+def constraint_items(rows: DataFrame) -> DataFrame:
+    """One item per prompt, with its constraints; rows without a prompt are left out."""
+    return _constraints(rows).select("item_id", "ord", "prompt", F.transform("constraints", lambda x: x["name"]).alias("gold"), "constraints")
+
+
 def constraint_rows(rows: DataFrame) -> DataFrame:
-    """item_id, ord, prompt, at, name, kw, localised: instruction ids with their arguments by position, null arguments
-    dropped, local arguments over the others. Arguments are maps from name to array of strings."""
-    empty = F.create_map().cast("map<string,array<string>>")
-    clean = lambda m: F.map_filter(F.coalesce(m, empty), lambda k, v: v.isNotNull())
-    prompt = first(F.col("prompt_uz"), F.col("prompt"))
-    out = rows.where(prompt.isNotNull()).select(F.coalesce(F.col("key").cast("string"), F.col("ord").cast("string")).alias("item_id"), "ord", prompt.alias("prompt"), "kwargs", "kwargs_uz", F.posexplode("instruction_id_list").alias("at", "name"))
-    base, local = clean(F.get("kwargs", F.col("at"))), clean(F.get("kwargs_uz", F.col("at")))
-    over = F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(local, k)), local)
-    return out.select("item_id", "ord", "prompt", "at", "name", over.alias("kw"), (F.size(local) > 0).alias("localised"))
+    """item_id, ord, prompt, at, name, kw, localised: a row for each constraint."""
+    return _constraints(rows).select("item_id", "ord", "prompt", F.inline("constraints"))
 
 
 def accepted_forms(rows: DataFrame) -> DataFrame:

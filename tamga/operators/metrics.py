@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.extract import scorable
 from ..functions.mt import bleu_score, bleu_statistics, chrf_score, chrf_statistics
 from ..functions.seeded import draws
-from ..functions.stats import mcnemar, percent, wilson
+from ..functions.stats import mcnemar, percent, py_round, wilson
 
 
 def accuracy(results: DataFrame, *by: str, only_scorable: bool = True) -> DataFrame:
@@ -211,6 +211,18 @@ def _resampled(pairs: DataFrame, statistics, scored, column: str, samples: int,
     return interval(scored(sums, "sample"), column)
 
 
+def segment_interval(segments: DataFrame, samples: int = 500, seed: int = 12345) -> DataFrame:
+    """95 % interval of corpus chrF++ by resampling segments (seg, stats: an array of statistics). Scores of the resamples are
+    rounded to two digits. Fewer than two segments have 0 and 0."""
+    told = placed(segments, "seg")
+    n = segments.count()
+    if n < 2:
+        return segments.sparkSession.createDataFrame([(0.0, 0.0)], "low double, high double")
+    each = told.select("pos", F.explode("stats").alias("x")).select("pos", "x.*").where("kind <> 'b'")
+    sums = resampled_seeded(each, ["kind", "n"], ["hyp", "ref", "match"], n, samples, seed)
+    return interval(chrf_score(sums, "sample").withColumn("chrf", py_round(F.col("chrf"), 2)), "chrf")
+
+
 def constraint_summary(judged: DataFrame) -> DataFrame:
     """One row: prompt and instruction rates, strict and loose, coverage. judged: item_id, outcome, strict, loose."""
     each = judged.groupBy("item_id").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constraints import NEEDS_LOCALE, REGISTRY
 from ..functions.score import matches, slots, yes_no
-from ..functions.text import SPACE, fold_apostrophes, match_key, match_key_lower, py_strip, words_of
+from ..functions.text import SPACE, fold_apostrophes, match_key, match_key_lower, normalize_display, py_strip, words_of
 from .items import accepted_forms, constraint_rows, parse_options
 
 
@@ -29,6 +29,14 @@ def choice_problems(rows: DataFrame, row_id: Column, options: Column, gold: Colu
     ])
 
 
+def shown_choice_problems(rows: DataFrame, row_id: Column, options: Column, gold: Column) -> DataFrame:
+    """choice_problems of options as they are shown: two that differ only in their apostrophes are one."""
+    shown_ = F.split(normalize_display(F.array_join("__options", "\x1e", "")), "\x1e", -1)
+    made = rows.withColumn("__options", options).withColumn("__gold", gold)
+    made = made.withColumn("__shown", F.when(F.size("__options") > 0, shown_).otherwise(F.array().cast("array<string>")))
+    return choice_problems(made, row_id, F.col("__shown"), F.col("__gold"))
+
+
 def translated_problems(rows: DataFrame, row_id: Column) -> DataFrame:
     """Option counts and lengths of a translated multiple-choice row."""
     en, uz = parse_options(F.col("options")), parse_options(F.col("options_uzb"))

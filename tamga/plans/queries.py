@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import registry
 from ..functions import constraints as C
 from ..functions import extract as X
 from ..functions import mt, score, stats
@@ -567,6 +568,22 @@ def constraint_grid(spark, d):
     return rounded(df, "prompt_strict", "prompt_loose", "ci_low", "ci_high", "inst_strict", "inst_loose", "coverage_percent")
 
 
+@query("ifeval_task", _grid_sql())
+def ifeval_task(spark, d):
+    """The task from dataset rows, whose arguments are JSON of mixed types, over items and responses to its rates."""
+    task = registry.Instructions()
+    docs = _docs(spark, d)
+    names = ("punctuation:no_comma", "length_constraints:number_paragraphs", "startend:quotation", "keywords:existence", "keywords:letter_frequency", "some:unknown", "language:response_language")
+    even = F.col("doc_id") % 2 == 0
+    paragraphs = F.when(F.col("doc_id") % 3 == 0, '2.0').when(F.col("doc_id") % 3 == 1, '"2"').otherwise('["2"]')
+    kwargs = F.concat(F.lit('[null, {"num_paragraphs": '), paragraphs, F.lit(', "keywords": null}, {}, {"keywords": "never used"}, {"letter": "a"}, {}, {"language": "uz"}]'))
+    local = F.when(even, '[{}, {}, {}, {"keywords": ["The", "of"]}]')
+    rows = docs.select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("key"), F.lit("p").alias("prompt_uz"), F.array(*[F.lit(x) for x in names]).alias("instruction_id_list"), kwargs.alias("kwargs"), local.alias("kwargs_uz"))
+    responses = docs.select(F.col("doc_id").cast("string").alias("item_id"), F.col("v").alias("text"), F.lit("stop").alias("finish_reason"), F.lit(None).cast("string").alias("error"))
+    df = metrics.constraint_summary(task.constraints(task.results(task.items(task.shaped(rows)), responses)))
+    return rounded(df, "prompt_strict", "prompt_loose", "ci_low", "ci_high", "inst_strict", "inst_loose", "coverage_percent")
+
+
 @query("constraint_by_type", f"{_judged_sql()} SELECT name, count(*) AS n, round(count(*) FILTER (WHERE strict) / CAST(count(*) AS DOUBLE) * 100, 6) AS strict, round(count(*) FILTER (WHERE loose) / CAST(count(*) AS DOUBLE) * 100, 6) AS loose FROM judged WHERE outcome <> 'excluded' GROUP BY name HAVING count(*) >= 15")
 def constraint_by_type(spark, d):
     return rounded(metrics.by_instruction(C.evaluate(_grid(spark, d))), "strict", "loose")
@@ -807,6 +824,23 @@ def bleu_corpus(spark, d):
     return rounded(mt.corpus_bleu(D.turns(spark, d), "direction"), "bleu")
 
 
+_BOTH_SQL = f"""SELECT CAST(1 AS INT) AS whole, CAST(NULL AS VARCHAR) AS direction, chrf FROM ({_chrf_sql('1')} SELECT chrf FROM f) UNION ALL
+SELECT 0, CASE WHEN direction = 0 THEN 'uz_en' ELSE 'en_uz' END, chrf FROM ({_chrf_sql('direction')} SELECT k AS direction, chrf FROM f)"""
+
+
+@query("translation_task", f"""WITH s AS ({_BOTH_SQL}), n AS (SELECT direction, count(*) AS n FROM (WITH {D.TURNS} SELECT CASE WHEN direction = 0 THEN 'uz_en' ELSE 'en_uz' END AS direction FROM turns) GROUP BY direction),
+b AS (SELECT CASE WHEN direction = 0 THEN 'uz_en' ELSE 'en_uz' END AS direction, bleu FROM ({_bleu_sql()}))
+SELECT whole, s.direction, round(chrf, 6) AS chrf, b.bleu, CAST(CASE WHEN whole = 1 THEN (SELECT sum(n) FROM n) ELSE n.n END AS BIGINT) AS segments FROM s LEFT JOIN n USING (direction) LEFT JOIN b USING (direction)""")
+def translation_task(spark, d):
+    """The task from dataset rows over items and responses to its scores; BLEU of all segments is left out, SQL has it by direction."""
+    task = registry.Translation(directions=("uz_en", "en_uz"))
+    turns = D.turns(spark, d).withColumn("direction", F.when(F.col("direction") == 0, "uz_en").otherwise("en_uz"))
+    rows = turns.select(F.col("seg").alias("ord"), F.col("seg").alias("id"), "direction", F.lit("x").alias("source"), F.col("ref").alias("reference"))
+    responses = turns.select(F.concat(F.col("seg").cast("string"), F.lit(":"), "direction").alias("item_id"), F.col("hyp").alias("text"), F.lit("stop").alias("finish_reason"), F.lit(None).cast("string").alias("error"))
+    scores = task.scores(task.results(task.items(task.shaped(rows)), responses))
+    return rounded(scores, "chrf", "bleu").withColumn("bleu", F.when(F.col("whole") == 0, F.col("bleu")))
+
+
 @query("bootstrap_ci_rng")
 def bootstrap_ci_rng(spark, d):
     return rounded(metrics.chrf_interval(D.turns(spark, d)), "low", "high")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import urllib.parse
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WRAPPERS = ("data", "rows", "items", "examples")
 READERS: dict = {}
@@ -42,12 +45,26 @@ def get_reader(suffix: str):
     return READERS[suffix.lower()]
 
 
+def _open_typed(kind, names: tuple[str, ...]):
+    """A schema in which fields of these names are VARIANT, wherever they stand."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, T.VariantType() if f.name in names else _open_typed(f.dataType, names), f.nullable) for f in kind.fields])
+    return T.ArrayType(_open_typed(kind.elementType, names)) if isinstance(kind, T.ArrayType) else kind
+
+
+def _json(reader, path: str, variants: tuple[str, ...]) -> DataFrame:
+    """With columns whose values have types of their own, row by row, as VARIANT: inference would make strings of them."""
+    df = reader.json(path)
+    schema = _open_typed(df.schema, variants)
+    return reader.schema(schema).json(path) if schema != df.schema else df
+
+
 @register_reader(".json")
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, variants: tuple[str, ...] = ()) -> DataFrame:
     """A list of objects, an object that has the list under data, rows, items or examples, or one object. Of several files all
     fields are kept. A byte-order mark at the beginning is skipped. A JSON document is read by one task: corpora come as JSON
     lines or Parquet."""
-    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("allowNumericLeadingZeros", True).json(path)
+    df = _json(spark.read.option("multiLine", True).option("mode", "FAILFAST").option("allowNumericLeadingZeros", True), path, variants)
     for name in WRAPPERS:
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
             return df.select(F.inline(name)) if df.schema[name].dataType.elementType.typeName() == "struct" else df
@@ -55,9 +72,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 @register_reader(".jsonl")
-def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, variants: tuple[str, ...] = ()) -> DataFrame:
     """One object per line; blank lines are skipped."""
-    return spark.read.option("mode", "FAILFAST").json(path)
+    return _json(spark.read.option("mode", "FAILFAST"), path, variants)
 
 
 @register_reader(".csv")
@@ -94,26 +111,42 @@ def resolve(source: str, roots: tuple[str, ...] = ()) -> str | None:
     raise FileNotFoundError(f"{source!r} is not in {', '.join(['.', *roots])}")
 
 
+#: Bytes of a file that a task takes as one value.
+WHOLE_FILE = 1 << 30
+
+
+def _local_sha256(batches):
+    for batch in batches:
+        out = []
+        for name in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with open(urllib.parse.unquote(urllib.parse.urlparse(name).path), "rb") as f:
+                while piece := f.read(1 << 22):
+                    digest.update(piece)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["path", "sha"])
+
+
 def file_sha256(spark: SparkSession, path: str) -> str:
-    """Hash of a file's bytes; of a folder, of its files' hashes by name. Files of any size are read as streams."""
-    sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
-    found, files = [], fs.listFiles(at, True)
-    while files.hasNext():
-        one = files.next().getPath()
-        stream = fs.open(one)
-        try:
-            found.append((one.toString(), sc._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))
-        finally:
-            stream.close()
-    if len(found) == 1:
-        return found[0][1]
-    return hashlib.sha256("\n".join(x for _, x in sorted(found)).encode()).hexdigest()
-
-
-def load(spark: SparkSession, source: str, roots: tuple[str, ...] = (), revision: str = "") -> Dataset:
-    """A dataset by file. Empty ones are an error. Hub ids need a reader registered for `hub`."""
+    """Hash of a file's bytes; of a folder, of its files' hashes by name. Tasks read the files, one file a task: as streams where they
+    have paths of the file system, else whole through Spark. What is neither, a file beyond 1 GB in a store that only Spark
+    reaches, is an error: hash it where it is stored, and give the hash as the revision."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    listed = files.select("path", "length").collect()
+    if all(r["path"].startswith("file:") for r in listed):
+        names = spark.createDataFrame([(r["path"],) for r in listed], "path string")
+        found = names.repartition(max(1, len(listed))).mapInArrow(_local_sha256, "path string, sha string")
+    elif all(r["length"] <= WHOLE_FILE for r in listed):
+        found = files.select("path", F.sha2("content", 256).alias("sha"))
+    else:
+        raise ValueError(f"{path!r} has files beyond {WHOLE_FILE} bytes that tasks can't open")
+    hashes = sorted((r["path"], r["sha"]) for r in found.collect())
+    return hashes[0][1] if len(hashes) == 1 else hashlib.sha256("\n".join(x for _, x in hashes).encode()).hexdigest()
+
+
+def load(spark: SparkSession, source: str, roots: tuple[str, ...] = (), revision: str = "", variants: tuple[str, ...] = ()) -> Dataset:
+    """A dataset by file. Empty ones are an error. Hub ids need a reader registered for `hub`. variants: columns of JSON files whose
+    values differ in type from row to row."""
     path = resolve(source, roots)
     if path is None and "://" in source:
         path = source
@@ -121,7 +154,8 @@ def load(spark: SparkSession, source: str, roots: tuple[str, ...] = (), revision
         if "hub" not in READERS:
             raise ImportError(f"{source!r} is no file, and no reader is registered for hub ids")
         return Dataset(source, READERS["hub"](spark, source), "", f"hub://{source}" + (f"@{revision}" if revision else ""), revision)
-    rows = get_reader(os.path.splitext(path)[1])(spark, path)
+    suffix = os.path.splitext(path)[1]
+    rows = get_reader(suffix)(spark, path, variants) if variants and suffix.lower() in (".json", ".jsonl") else get_reader(suffix)(spark, path)
     if rows.isEmpty():
         raise ValueError(f"{source!r} has no rows")
     return Dataset(source, rows, file_sha256(spark, path), path, revision)
