@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-import sys
 import unicodedata
 
 import pyarrow as pa
@@ -23,7 +22,7 @@ from ._common import bounded_batches, free_name
 # Element names by their role in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed canvas audio video datalist title meta link noembed noframes rp input".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed canvas audio video datalist title meta link noembed noframes rp progress meter".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html "
     "legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
@@ -62,8 +61,8 @@ LEAVES_FOREIGN = frozenset(
 HTML_INSIDE = frozenset("mi mo mn ms mtext".split())
 UNPAINTED = {"svg": frozenset("clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
 UNPAINTED["svg text"] = UNPAINTED["svg"]
-#: Nesting beyond this stays flat: children join the innermost element that fits. Rendering takes a few frames a level.
-DEEPEST, FRAMES = 400, 8000
+#: Inputs that are painted as buttons with their value.
+BUTTONS = frozenset("submit reset button".split())
 # The largest spans of a cell.
 SPANS = {"colspan": 1000, "rowspan": 65534}
 
@@ -97,26 +96,49 @@ def attributes(said: str) -> dict[str, str]:
     return found
 
 
+class _Open:
+    """The open elements, and where in them each name stands: an end tag finds its element however deep the page is nested."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {root.name: [0]}
+
+    def push(self, node: Node):
+        self.at.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int):
+        """Close all from place k on."""
+        for node in self.stack[k:]:
+            self.at[node.name].pop()
+        del self.stack[k:]
+
+    def last(self, names) -> int:
+        """The innermost open element of these names, the root aside; 0 if there is none."""
+        return max((x[-1] for n in names if (x := self.at.get(n))), default=0)
+
+    def has(self, name: str) -> bool:
+        return bool(self.at.get(name))
+
+
 def tree(text: str) -> Node:
     """The elements of a page; text is str, elements are Node."""
     root = Node("html", {})
-    stack = [root]
+    open_ = _Open(root)
+    stack = open_.stack
     at, size = 0, len(text)
 
     def add_text(said: str):
         if said:
             if stack[-1].name == "head" and said.strip():
-                stack.pop()
+                open_.cut(len(stack) - 1)
             stack[-1].children.append(html.unescape(said))
 
     def pop_to(names, barriers) -> bool:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return True
-            if stack[k].name in barriers:
-                return False
-        return False
+        k = open_.last(names)
+        if not k or k < open_.last(barriers - names):
+            return False
+        open_.cut(k)
+        return True
 
     while at < size:
         m = _TOKEN.search(text, at)
@@ -129,7 +151,7 @@ def tree(text: str) -> Node:
             name = m[1].lower()
             if name == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif name == "p" and not any(x.name == "p" for x in stack):
+            elif name == "p" and not open_.has("p"):
                 stack[-1].children.append(Node("p", {}))
             elif name not in ("html", "body"):  # what follows these still belongs to the page
                 pop_to({name}, {"table"} - {name} if name in PARTS else SCOPE - {name})
@@ -138,16 +160,15 @@ def tree(text: str) -> Node:
             continue
         name = m[2].lower()
         attrs = attributes(m[3]) if m[3] else {}
-        if name == "html" or name == "body" and any(x.name == "body" for x in stack):
-            for x in stack:
-                if x.name == name:
-                    x.attrs = attrs | x.attrs
+        if name == "html" or name == "body" and open_.has("body"):
+            for k in open_.at[name]:
+                stack[k].attrs = attrs | stack[k].attrs
             continue
         if stack[-1].name == "head" and name not in HEAD_ONLY:
-            stack.pop()
+            open_.cut(len(stack) - 1)
         if name in LEAVES_FOREIGN:
             while stack[-1].kind and stack[-1].name not in HTML_INSIDE:
-                stack.pop()
+                open_.cut(len(stack) - 1)
         if name == "form" and stack[-1].name in ("table", "tbody", "thead", "tfoot", "tr"):
             continue  # it holds nothing there, and what follows stays in the table
         if name in ENDS_P:
@@ -156,14 +177,11 @@ def tree(text: str) -> Node:
             names, barriers = IMPLIED[name]
             while pop_to(names, barriers):
                 pass
-        if name in CONTEXT:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in CONTEXT[name]:
-                    del stack[k + 1 :]
-                    break
+        if name in CONTEXT and (k := open_.last(CONTEXT[name])):
+            open_.cut(k + 1)
         if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             stack[-1].children.append(row := Node("tr", {}))
-            stack.append(row)
+            open_.push(row)
         node = Node(name, attrs, _kind(name, stack[-1]))
         stack[-1].children.append(node)
         if node.kind and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
@@ -173,8 +191,8 @@ def tree(text: str) -> Node:
             inner = text[at : end.start()] if end else text[at:]
             node.children.append(html.unescape(inner) if name in ("textarea", "title") else inner)
             at = end.end() if end else size
-        elif name not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+        elif name not in VOID:
+            open_.push(node)
     return root
 
 
@@ -202,7 +220,7 @@ def painted(root: Node) -> Node:
             if not displayed(child, style):
                 continue
             own = seen if style.get("visibility", "inherit") not in ("visible", "hidden", "collapse") else style["visibility"] == "visible"
-            if own or child.name not in ("img", "hr"):
+            if own or child.name not in ("img", "hr", "input"):
                 left.append(child)
                 open_.append((child, own))
         if node.name == "details" and "open" not in node.attrs:
@@ -268,14 +286,31 @@ class _Lines:
             self.lines.append(((first if k == 0 else rest) + line).rstrip() if line or k == 0 else "")
 
 
-def render(node: Node, depth: int = 0) -> list[str]:
+def _done(step):
+    """What a step returns. Steps yield the steps that they need done first, so nesting takes no frames of Python's stack."""
+    open_, got = [step], None
+    while open_:
+        try:
+            step = open_[-1].send(got)
+        except StopIteration as e:
+            open_.pop()
+            got = e.value
+        else:
+            open_.append(step)
+            got = None
+    return got
+
+
+def render(node: Node):
+    """A step: the lines of an element."""
     out = _Lines()
-    _inside(node, out, depth)
+    yield _inside(node, out)
     out.end()
     return out.lines
 
 
-def _inside(node: Node, out: _Lines, depth: int):
+def _inside(node: Node, out: _Lines):
+    """A step: an element's children into out."""
     number = 1
     if node.name == "ol":
         start = node.attrs.get("start", "1").strip()
@@ -288,7 +323,7 @@ def _inside(node: Node, out: _Lines, depth: int):
         name = child.name
         if child.kind == "svg text" and (name == "text" or not {"x", "y", "dy"}.isdisjoint(child.attrs)):  # placed on its own
             out.space = True
-            _inside(child, out, depth + 1)
+            yield _inside(child, out)
             out.space = True
             continue
         if name == "br":
@@ -298,52 +333,61 @@ def _inside(node: Node, out: _Lines, depth: int):
             out.gap = 1
         elif name == "img":
             out.text(child.attrs.get("alt", ""))
+        elif name == "input":
+            out.text(_label(child))
         elif name in ("pre", "textarea", "listing", "xmp"):
-            lines = _plain(child).replace("\r\n", "\n").replace("\r", "\n").removeprefix("\n").rstrip("\n").split("\n")
+            lines = (yield _plain(child)).replace("\r\n", "\n").replace("\r", "\n").removeprefix("\n").rstrip("\n").split("\n")
             out.block(lines if any(lines) else [], 1)
             out.gap = 1
         elif name == "table":
-            out.block(_table(child, depth + 1), 1)
+            out.block((yield _table(child)), 1)
             out.gap = 1
         elif name == "li" and node.name in ("ul", "menu", "dir"):
-            out.block(render(child, depth + 1), 0, "- ", "  ")
+            out.block((yield render(child)), 0, "- ", "  ")
         elif name == "li" and node.name == "ol":
             value = child.attrs.get("value", "").strip()
             number = int(value) if re.fullmatch(r"-?\d{1,9}", value) else number
             mark = f"{number}. "
-            out.block(render(child, depth + 1), 0, mark, " " * len(mark))
+            out.block((yield render(child)), 0, mark, " " * len(mark))
             number += 1
         elif name == "dd":
-            out.block(render(child, depth + 1), 0, "    ", "    ")
+            out.block((yield render(child)), 0, "    ", "    ")
         elif name == "blockquote":
-            out.block(render(child, depth + 1), 1, "> ", "> ")
+            out.block((yield render(child)), 1, "> ", "> ")
             out.gap = 1
         elif name in BLOCK:
             nested = name in ("ul", "ol") and node.name == "li"
             gap = 1 if name in SPACED and not nested else 0
             out.end()
             out.gap = max(out.gap, gap)
-            _inside(child, out, depth + 1)
+            yield _inside(child, out)
             out.end()
             out.gap = max(out.gap, gap)
         elif name == "q":
             out.text('"')
-            _inside(child, out, depth + 1)
+            yield _inside(child, out)
             out.text('"')
         else:
-            _inside(child, out, depth + 1)
+            yield _inside(child, out)
+
+
+def _label(node: Node) -> str:
+    """What is painted of an input: a button's value."""
+    return node.attrs.get("value", "") if node.attrs.get("type", "").strip().lower() in BUTTONS else ""
 
 
-def _plain(node: Node) -> str:
-    """Text as it stands."""
+def _plain(node: Node):
+    """A step: text as it stands."""
     parts = []
     for child in node.children:
         if isinstance(child, str):
             parts.append(child)
         elif child.name == "br":
             parts.append("\n")
+        elif child.name == "input":
+            parts.append(_label(child))
         else:
-            parts.append(_plain(child))
+            parts.append((yield _plain(child)))
     return "".join(parts)
 
 
@@ -373,13 +417,14 @@ def _span(cell: Node, name: str) -> int:
     return n or (SPANS[name] if name == "rowspan" else 1)
 
 
-def _table(node: Node, depth: int) -> list[str]:
+def _table(node: Node):
+    """A step: the lines of a table."""
     other, rows = _rows(node)
     out = _Lines()
     for x in other:
         holder = Node("div", {})
         holder.children = [x]
-        out.block(render(holder, depth + 1), 0)
+        out.block((yield render(holder)), 0)
     grid: list[dict[int, list[str]]] = []
     spans: list[dict[int, int]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell above still covers
@@ -392,7 +437,7 @@ def _table(node: Node, depth: int) -> list[str]:
                 box = Node("td", {})
                 box.children = [cell]
                 cell = box
-            said = render(cell, depth + 1)
+            said = yield render(cell)
             if cell.name not in ("td", "th") and not any(said):
                 continue
             while taken.get(column, 0):
@@ -436,9 +481,7 @@ def _table(node: Node, depth: int) -> list[str]:
 
 def page_text(page: str) -> str:
     """Visible text of one page."""
-    if sys.getrecursionlimit() < FRAMES:
-        sys.setrecursionlimit(FRAMES)
-    lines = render(painted(tree(page.replace("\x00", ""))))
+    lines = _done(render(painted(tree(page.replace("\x00", "")))))
     while lines and not lines[0].strip():
         lines.pop(0)
     while lines and not lines[-1].strip():

@@ -106,3 +106,38 @@ def test_rows_and_columns_stay(spark):
     rows = [(1, "<title>t</title>x", "mine"), (1, "<title>t</title>x", "mine"), (2, None, None), (3, "", "")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, html string, title string").withColumn("read", F.lit(5)))
     assert sorted(((r.page_id, r.text, r.title, r.read) for r in got.collect()), key=str) == [(1, "x", "t", 5), (1, "x", "t", 5), (2, None, None, 5), (3, "", None, 5)]
+
+
+@pytest.mark.parametrize("n", [100, 398, 400, 450, 5000, 60000])
+def test_layout_at_any_depth(n):
+    """What is hidden stays hidden, tables stay aligned, lists keep their markers, however deep the page is nested."""
+    deep = "<div>" * n
+    assert html_text.page_text(deep + "<span hidden>secret</span><b>seen</b>") == "seen"
+    assert html_text.page_text(deep + "<p style='display: none'>secret<i>secret</i></p>seen") == "seen"
+    assert html_text.page_text(deep + "<script>secret</script><span style='visibility:hidden'>secret<b style='visibility:visible'>seen</b></span>") == "seen"
+    table = "<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>"
+    assert html_text.page_text(deep + table) == "a    bb\nccc  d"
+    assert html_text.page_text(deep + "<ol><li>one<li>two<ul><li>three</ul></ol>") == "1. one\n2. two\n   - three"
+    assert html_text.page_text(deep + "<pre>a\n  b</pre>" + "</div>" * n + "end") == "a\n  b\n\nend"
+    inner = "<span>" * n
+    assert html_text.page_text(f"<table><tr><td>{inner}<b hidden>no</b>x{'</span>' * n}</td><td>y</td></tr></table>") == "x  y"
+
+
+def test_deep_quotes_and_lists():
+    assert html_text.page_text("<blockquote>" * 3000 + "said") == "> " * 3000 + "said"
+    assert html_text.page_text("<ul><li>" * 2000 + "x") == "- " * 2000 + "x"
+
+
+def test_end_tags_in_deep_pages():
+    # each end tag finds its element, and none that lies behind a barrier
+    n = 50_000
+    assert html_text.page_text("<p>a" + "<b>" * n + "b<div>c") == "ab\n\nc"
+    assert html_text.page_text("<p>a" + "<b>" * n + "</b>" * (n + 5) + "b</p>c") == "ab\n\nc"
+    assert html_text.page_text("<div><table><tr><td>" + "<i>" * n + "x</div>y</td></tr></table>z</div>") == "xy\n\nz"
+
+
+def test_buttons_and_fallback():
+    assert html_text.page_text("a<input type=submit value='Send it'>b") == "aSend itb"
+    assert html_text.page_text("<input type=RESET value=Clear> <input type=text value=typed><input value=typed><input type=hidden value=no><input type=submit>") == "Clear"
+    assert html_text.page_text("<span style='visibility:hidden'><input type=submit value=no></span>x") == "x"
+    assert html_text.page_text("a <progress value=1>fallback</progress><meter>fallback</meter> b") == "a b"
