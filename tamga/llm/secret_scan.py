@@ -245,16 +245,18 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    # postings hold the key; hits go back to their rows by id and two hashes
+    rows = rows.withColumn("key", F.xxhash64("id", "text")).withColumn("second", F.xxhash64(F.lit(2), "text", "id"))
     indexed = [r for r in rules if trigram_query(r.pattern, r.ignore_case) and frozenset() not in trigram_query(r.pattern, r.ignore_case)]
     scanned = [r for r in rules if r not in indexed]
     trigrams = sorted({(t, r.ignore_case) for r in indexed for x in trigram_query(r.pattern, r.ignore_case) for t in x})
     blocks = max(16, stored_bytes(docs, text_col) // BLOCK_BYTES)
     tried = saved(candidates(postings(rows, trigrams, blocks), indexed, trigrams))
     wanted = IdFilter(tried.select("key"))
-    met = rows.where(wanted.has(F.col("key"))).select("key", "text").dropDuplicates(["key"]).join(tried, "key")
-    hits = _matched(met, ["key"], indexed, "more").where(F.size("more") > 0)
-    out = _matched(rows, ["id", "key"], scanned, "spans").join(hits, "key", "left")
+    met = rows.where(wanted.has(F.col("key"))).select("id", "key", "second", "text").dropDuplicates(["id", "key", "second"]).join(tried, "key")
+    hits = _matched(met, ["id", "key", "second"], indexed, "more").where(F.size("more") > 0).withColumnRenamed("id", "hit_id")
+    same = F.col("l.id").eqNullSafe(F.col("r.hit_id")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.second") == F.col("r.second"))
+    out = _matched(rows, ["id", "key", "second"], scanned, "spans").alias("l").join(hits.alias("r"), same, "left").select("l.id", "l.spans", "r.more")
     empty = F.array().cast(SPANS)
     spans = F.array_sort(F.transform(F.concat("spans", F.coalesce("more", empty)), lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end"))))
     return out.select(F.col("id").alias(id_col), spans.alias("spans"))
