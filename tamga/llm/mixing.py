@@ -12,6 +12,8 @@ posterior and the residuals of the steps so far: nothing is written or joined be
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +27,8 @@ BUCKETS, SMOOTHING = 1 << 16, 1.0
 #: Of ten labelled rows so many are counted; the others tell what the counts are worth. A token's evidence above STRONG stands
 #: out whatever the length of its text.
 COUNTED, STRONG, FIT_STEPS, FIT_DECAY = 6, 2.0, 300, 1e-4
-#: Steps at most, and the largest error of a domain's share of the tokens at which they end.
-STEPS, ENOUGH = 60, 1e-5
+#: Steps at most, the largest error of a domain's share of the tokens at which they end, and the one from which mix() warns.
+STEPS, ENOUGH, WARN = 400, 1e-5, 1e-3
 #: Domains are the kinds of labelled documents: clean, poor, toxic; wanted shares of the tokens.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = (0.9, 0.08, 0.02)
@@ -129,7 +131,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A classifier from at most TRAIN_ROWS labelled documents.
 
-    labels: doc_id, domain (position). Of a repeated doc_id one label counts. Token counts of some of the rows give evidence
+    labels: doc_id, domain (position). Of a repeated doc_id one label and one text count. Token counts of some of the rows give evidence
     per token; the rest of the rows says how evidence turns into posteriors that hold. What reaches the driver is a number per
     domain and bucket, and the features of at most TRAIN_ROWS rows. Without labelled rows all posteriors are equal.
     """
@@ -137,7 +139,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     k = len(DOMAINS)
     some = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = docs.join(F.broadcast(some), "doc_id").where("text is not null").select("domain", "text", (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(10)) < COUNTED).alias("counted"))
+    met = docs.join(F.broadcast(some), "doc_id").where("text is not null")
+    # of rows that repeat an id one counts, so there are TRAIN_ROWS in any case
+    met = met.groupBy("doc_id", "domain").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text"))).alias("x"))
+    rows = met.select("domain", F.col("x.text").alias("text"), (F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(10)) < COUNTED).alias("counted"))
     table = rows.where("counted").select("domain", "text").mapInArrow(_counts, "domain int, bucket int, n bigint").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((k, BUCKETS))
     np.add.at(counts, (table.column("domain").to_numpy(), table.column("bucket").to_numpy()), table.column("n").to_numpy())
@@ -277,7 +282,8 @@ def fit(members: DataFrame, targets=TARGETS, budget: float | None = 1.0, most: f
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float | None = 1.0, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_tokens, p_<domain> for each domain, rate.
+    """One row per input row: id, n_tokens, p_<domain> for each domain, rate, missed: the largest error of a domain's share that the
+    rates leave, the same in every row (see Plan).
 
     labels: doc_id, quality, toxic (0 or 1). Rows repeat as they do in docs; null ids teach nothing but get a rate. With no
     labels all posteriors are equal; an empty table gives an empty result. Equal texts have equal rates. Other columns are
@@ -288,7 +294,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float | N
     members = saved(membership(rows, model).select("doc_id", "member.*"))
     plan = fit(members, targets, budget, most)
     shares = [F.col("p")[c].alias(f"p_{name}") for c, name in enumerate(DOMAINS)]
-    return members.select(F.col("doc_id").alias(id_col), "n_tokens", *shares, plan.column(F.col("p")).alias("rate"))
+    return members.select(F.col("doc_id").alias(id_col), "n_tokens", *shares, plan.column(F.col("p")).alias("rate"), F.lit(float(plan.missed)).alias("missed"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float | None = None, most: float | None = 1.0) -> DataFrame:
@@ -296,10 +302,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets=TARGETS, budget: float | Non
     were, whatever their names.
 
     By default no row is repeated and the budget is free: rates come down from 1 only as far as the domains' shares ask for
-    it. Rows that share an id, null included, are drawn by the same number; an empty table gives an empty result.
+    it. Rows that share an id, null included, are drawn by the same number; an empty table gives an empty result. Shares that are
+    missed by more than WARN are told in a warning.
     """
     model = learn(docs.select("doc_id", "text"), labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")))
     plan = fit(saved(membership(docs.select("text"), model).select("member.*")), targets, budget, most)
+    if plan.missed > WARN:
+        warnings.warn(f"a domain's share is {plan.missed:.4f} off its target", stacklevel=2)
     name = free_name(docs, "member")
     rate = plan.column(F.col(name)["p"])
     times = (F.floor(rate) + (drawn() < rate - F.floor(rate)).cast("bigint")).cast("int")
@@ -320,4 +329,4 @@ def labels_of(spark, sf_dir: str) -> DataFrame:
 
 def op2(spark, sf_dir: str) -> DataFrame:
     got = rates(documents(spark, sf_dir, "doc_id", "text"), labels_of(spark, sf_dir))
-    return got.select("doc_id", "n_tokens", *[F.round(f"p_{d}", 9).alias(f"p_{d}") for d in DOMAINS], F.round("rate", 9).alias("rate"))
+    return got.select("doc_id", "n_tokens", *[F.round(f"p_{d}", 9).alias(f"p_{d}") for d in DOMAINS], F.round("rate", 9).alias("rate"), F.round("missed", 9).alias("missed"))
