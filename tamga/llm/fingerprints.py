@@ -20,6 +20,8 @@ from ._common import documents, stored_bytes
 SAMPLES, CHUNK = 40, 8
 #: Text (as stored) of one range, quantiles of a step, and ranges that one task puts in order.
 RANGE_BYTES, QUANTILES, LEVEL = 1 << 20, 256, 4096
+#: Partitions over which ranges are dealt at most; a task puts those of its ranges in order by sorting.
+PARTITIONS = 8192
 #: Ranges up to which their first ids are broadcast, 24 bytes each.
 BROADCAST_RANGES = 200_000
 
@@ -120,7 +122,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = heads.select("range", F.col("id").alias("head"), "to")
     met = rows.join(F.broadcast(heads) if small else heads, "range").where(F.col("id").eqNullSafe(F.col("head")))
     ghosts = met.groupBy("to").agg(F.max("id").alias("id"), F.min("text").alias("text")).select("id", "text", F.col("to").alias("range"), F.lit(1).alias("ghost"))
-    dealt = rows.unionByName(ghosts).repartition(ranges, "range")
+    dealt = rows.unionByName(ghosts).repartition(min(ranges, PARTITIONS), "range")
     order = Window.partitionBy("range").orderBy("ghost", F.col("id").desc_nulls_last(), "text")
     n = F.length("text")
     seen = dealt.select("range", "ghost", "id", "text", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("next"))
