@@ -9,124 +9,201 @@ summed over the whole training part first and bound once.
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, documents, flat, free_name, slices, tidy
+from ._common import bounded_batches, documents, flat, free_name, mixed, slices, tidy
 
-DIM, SEED, SYMBOLS = 1024, 20240229, 128
-#: Bundled trigram vectors that a worker keeps.
-HELD = 24_000
+DIM, SEED = 1024, 20240229
+#: Bundled trigram vectors, and letters' vectors, that a worker keeps.
+HELD, HELD_LETTERS = 24_000, 8192
 SLICE = 1 << 18
-#: Trigram vectors that are added up at once.
-PART = 2048
+#: Trigram vectors that are added up at once; counts that a task holds before it hands them on.
+PART, COUNTS = 2048, 1 << 20
+#: Bits of a code point within a trigram's number.
+POINT = 21
 
 
 @functools.cache
 def _alphabet() -> np.ndarray:
-    """Code point -> symbol; 0: no letter. Case is folded; letters beyond the first ones share the symbols that are left."""
-    first = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
-    known = {c: i + 1 for i, c in enumerate(first)}
-    rest = SYMBOLS - 1 - len(first)
-    table = np.zeros(0x110000, np.uint8)
+    """Code point -> its letter in lower case, as a code point; 0: no letter."""
+    table = np.zeros(0x110000, np.uint32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
-            low = c.lower()[:1]
-            table[point] = known.get(low) or 1 + len(first) + ord(low) % rest
-        elif point > 0x323AF and point < 0xE0000:
-            continue
+            table[point] = ord(c.lower()[0])
     return table
 
 
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """A random vector of +1 and -1 for each letter, from hashes of its code point: any number of letters, each its own."""
+    words = mixed(points.astype(np.uint64)[:, None] * np.uint64(DIM) + np.arange(DIM // 64, dtype=np.uint64) + np.uint64(SEED << 32))
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(len(points), DIM // 8), axis=1, bitorder="little")
+    vectors = bits.astype(np.int8) * 2 - 1
+    vectors[points == 0] = _BORDER
+    return vectors
+
+
+_BORDER = np.random.default_rng(SEED).integers(0, 2, DIM, dtype=np.int8) * 2 - 1
+
+
+class _Letters:
+    """Vectors of the letters that were met, in their three rotations."""
+
+    def __init__(self):
+        self.place, self.n, self.vectors = np.full(0x110000, -1, np.int32), 0, np.zeros((3, 64, DIM), np.int8)
+
+    def places(self, points: np.ndarray) -> np.ndarray:
+        new = np.unique(points[self.place[points] < 0])
+        if len(new):
+            if self.n + len(new) > HELD_LETTERS:
+                self.place[:], self.n = -1, 0
+                new = np.unique(points)
+            if (need := self.n + len(new)) > self.vectors.shape[1]:
+                self.vectors = np.concatenate([self.vectors, np.zeros((3, max(need, 2 * self.n) - self.vectors.shape[1], DIM), np.int8)], 1)
+            made = letter_vectors(new)
+            for turn in range(3):
+                self.vectors[turn, self.n : need] = np.roll(made, turn, 1)
+            self.place[new] = np.arange(self.n, need, dtype=np.int32)
+            self.n = need
+        return self.place[points]
+
+
 @functools.cache
-def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = np.random.default_rng(SEED).integers(0, 2, (SYMBOLS, DIM), dtype=np.int8) * 2 - 1
-    return np.roll(base, 2, 1), np.roll(base, 1, 1), base
+def _letters() -> _Letters:
+    return _Letters()
 
 
 def bound(grams: np.ndarray) -> np.ndarray:
-    """The vectors of trigram codes."""
-    a, b, c = _letters()
-    return a[grams >> 14] * b[(grams >> 7) & 127] * c[grams & 127]
+    """The vectors of trigrams, numbers of three code points. At most HELD_LETTERS of them at a time have all their letters held."""
+    mask, held = (1 << POINT) - 1, _letters()
+    out = np.empty((len(grams), DIM), np.int8)
+    for i in range(0, len(grams), HELD_LETTERS // 3):
+        part = grams[i : i + HELD_LETTERS // 3]
+        a, b, c = held.places(np.concatenate([part >> 2 * POINT, (part >> POINT) & mask, part & mask])).reshape(3, -1)
+        out[i : i + len(part)] = held.vectors[2][a] * held.vectors[1][b] * held.vectors[0][c]
+    return out
 
 
 class _Bundler:
     def __init__(self):
-        self.slot, self.n, self.vectors = np.full(SYMBOLS**3, -1, np.int32), 0, np.zeros((1024, DIM), np.int8)
+        self.known, self.slot, self.n, self.vectors = np.zeros(0, np.int64), np.zeros(0, np.int32), 0, np.zeros((1024, DIM), np.int8)
 
     def slots(self, grams: np.ndarray) -> np.ndarray:
-        """grams: distinct codes."""
-        new = grams[self.slot[grams] < 0]
-        if len(new):
-            if self.n + len(new) > HELD:
-                self.slot[:], self.n, new = -1, 0, grams
+        """grams: distinct, in order, HELD of them at most."""
+        at = np.searchsorted(self.known, grams)
+        has = np.zeros(len(grams), bool)
+        inside = at < len(self.known)
+        has[inside] = self.known[at[inside]] == grams[inside]
+        if not has.all():
+            if self.n + int((~has).sum()) > HELD:
+                self.known, self.slot, self.n, at = self.known[:0], self.slot[:0], 0, np.zeros(len(grams), np.int64)
+                has[:] = False
+            new = grams[~has]
             if (need := self.n + len(new)) > len(self.vectors):
                 self.vectors = np.vstack([self.vectors, np.zeros((max(need, 2 * len(self.vectors)) - len(self.vectors), DIM), np.int8)])
             self.vectors[self.n : need] = bound(new)
-            self.slot[new] = np.arange(self.n, need, dtype=np.int32)
+            self.known, self.slot = np.insert(self.known, at[~has], new), np.insert(self.slot, at[~has], np.arange(self.n, need, dtype=np.int32))
             self.n = need
-        return self.slot[grams]
+        return self.slot[np.searchsorted(self.known, grams)]
 
 
-def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and trigram codes of the letters of some rows; runs of other characters are one boundary."""
+def trigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, trigrams (numbers of three code points) and how often each occurs in its row, in order of rows. Runs of characters
+    that are no letters are one boundary."""
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]
     n = len(at) - 1
-    symbols, rows = np.zeros(len(points) + n + 1, np.uint8), np.repeat(np.arange(n), np.diff(starts))
+    symbols, rows = np.zeros(len(points) + n + 1, np.uint32), np.repeat(np.arange(n), np.diff(starts))
     symbols[np.arange(len(points)) + rows + 1] = _alphabet()[points]
     row_of = np.zeros(len(symbols), np.int32)
     row_of[np.arange(len(points)) + rows + 1] = rows
     keep = symbols != 0
     keep[1:] |= symbols[:-1] != 0
     keep[0] = True
-    symbols, row_of = symbols[keep].astype(np.int32), row_of[keep]
+    symbols, row_of = symbols[keep], row_of[keep]
     if symbols[-1]:
-        symbols, row_of = np.append(symbols, 0), np.append(row_of, 0)
+        symbols, row_of = np.append(symbols, np.uint32(0)), np.append(row_of, 0)
     mid = np.flatnonzero(symbols)
-    return row_of[mid], (symbols[mid - 1] << 14) | (symbols[mid] << 7) | symbols[mid + 1]
+    # letters by their number among those that occur here, so that row and trigram fit one number
+    letters = np.flatnonzero(np.bincount(symbols, minlength=1)).astype(np.int64)
+    small = np.zeros(int(letters[-1]) + 1, np.int64)
+    small[letters] = np.arange(len(letters))
+    local, size = small[symbols], len(letters)
+    gram = (local[mid - 1] * size + local[mid]) * size + local[mid + 1]
+    if size**3 * n < 1 << 62:
+        keys, times = np.unique(row_of[mid] * np.int64(size**3) + gram, return_counts=True)
+        row, gram = keys // size**3, keys % size**3
+    else:
+        some, back = np.unique(gram, return_inverse=True)
+        keys, times = np.unique((row_of[mid].astype(np.int64) << 32) | back, return_counts=True)
+        row, gram = keys >> 32, some[keys & 0xFFFFFFFF]
+    return row, (letters[gram // size**2] << 2 * POINT) | (letters[gram // size % size] << POINT) | letters[gram % size], times
 
 
 def _counted(batches):
-    sums: dict[str, np.ndarray] = {}
+    held: dict[str, list] = {}
+
+    def handed():
+        for name, parts in held.items():
+            grams, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            some, back = np.unique(grams, return_inverse=True)
+            sums = np.bincount(back, n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(sums)], names=["lang", "gram", "n"])
+        held.clear()
+
+    size = 0
     for batch in batches:
         raw, at = flat(batch.column(1))
         langs = np.array(batch.column(0).to_pylist(), object)
         for i, j in slices(at, SLICE):
-            rows, grams = trigrams(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+            rows, grams, n = trigrams(raw[at[i] : at[j]], at[i : j + 1] - at[i])
             names, which = np.unique(langs[i:j].astype(str), return_inverse=True)
-            keys, n = np.unique((which[rows].astype(np.int64) << 21) | grams, return_counts=True)
             for k, name in enumerate(names):
-                mine = (keys >> 21) == k
-                total = sums.setdefault(name, np.zeros(SYMBOLS**3, np.int32))
-                np.add.at(total, keys[mine] & (SYMBOLS**3 - 1), n[mine].astype(np.int32))
+                mine = which[rows] == k
+                some, back = np.unique(grams[mine], return_inverse=True)
+                if len(some):
+                    held.setdefault(name, []).append((some, np.bincount(back, n[mine])))
+                    size += len(some)
+        if size >= COUNTS:
+            yield from handed()
+            size = 0
         tidy()
+    yield from handed()
+
+
+def _bundled(batches):
+    """Counts (lang, gram, n) -> the numbers of the languages' bundles."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        names, which = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True)
+        grams, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.float64)
+        for k, name in enumerate(names):
+            mine = np.flatnonzero(which == k)
+            for i in range(0, len(mine), PART):
+                part = mine[i : i + PART]
+                sums[name] = sums.get(name, 0) + n[part] @ bound(grams[part]).astype(np.float64)
     for name, total in sums.items():
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * DIM, pa.string()), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(total)], names=["lang", "i", "x"])
 
 
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
     """Language names and their unit prototypes; rows without text or language teach nothing.
 
-    What reaches the driver is one count per language and trigram that occurs, whatever the number of documents.
+    Trigrams are counted and bundled in tasks; what reaches the driver is one vector per language.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(lang_col, text_col)
-    table = rows.mapInArrow(_counted, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    lang, gram, n = (np.array(table.column(c).to_pylist()) for c in ("lang", "gram", "n"))
+    counts = rows.mapInArrow(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = counts.mapInArrow(_bundled, "lang string, i int, x double").groupBy("lang", "i").agg(F.sum("x").alias("x")).toArrow()
+    lang, i, x = (np.array(table.column(c).to_pylist()) for c in ("lang", "i", "x"))
     names, made = sorted(set(lang.tolist())), []
     for name in names:
-        mine = np.flatnonzero(lang == name)
-        total = np.zeros(DIM)
-        for i in range(0, len(mine), 4096):
-            part = mine[i : i + 4096]
-            total += n[part].astype(np.float64) @ bound(gram[part]).astype(np.float64)
+        mine, total = lang == name, np.zeros(DIM)
+        total[i[mine]] = x[mine]
         made.append(total / max(np.linalg.norm(total), 1e-9))
     return names, np.array(made, np.float32).reshape(len(names), DIM)
 
@@ -141,16 +218,12 @@ def _predictor(names: list[str], prototypes: np.ndarray):
         raw, at = flat(text)
         best, score = np.full(len(at) - 1, -1), np.zeros(len(at) - 1)
         for i, j in slices(at, SLICE) if names else ():
-            rows, grams = trigrams(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+            rows, grams, n = trigrams(raw[at[i] : at[j]], at[i : j + 1] - at[i])
             if not len(rows):
                 continue
-            keys, n = np.unique((rows.astype(np.int64) << 21) | grams, return_counts=True)
-            grams, rows, n = keys & (SYMBOLS**3 - 1), keys >> 21, n.astype(np.float32)
+            n = n.astype(np.float32)
             used, back = np.unique(grams, return_inverse=True)
-            if len(used) > HELD:
-                slots = None
-            else:
-                slots = bundler.slots(used)[back]
+            slots = bundler.slots(used)[back] if len(used) <= HELD else None
             cut = np.flatnonzero(np.diff(rows, prepend=-1))
             for a, b in zip(cut, [*cut[1:], len(rows)]):
                 vector = np.zeros(DIM, np.float32)

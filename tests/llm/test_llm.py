@@ -1,6 +1,7 @@
 """Operators of tamga.llm against brute force, round trips, held-out accuracy and odd input."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -462,20 +463,36 @@ def test_language(spark):
 
 def plain_trigrams(text):
     """Trigrams of the letters of a text as symbols; runs of other characters are one boundary."""
-    first = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
     marks = [0]
     for c in text:
         if c.isalpha():
-            low = c.lower()[:1]
-            marks.append(1 + first.index(low) if low in first else 1 + len(first) + ord(low) % (language_id.SYMBOLS - 1 - len(first)))
+            marks.append(ord(c.lower()[0]))
         elif marks[-1]:
             marks.append(0)
     marks += [0] if marks[-1] else []
     return collections.Counter(tuple(marks[i - 1 : i + 2]) for i in range(1, len(marks) - 1) if marks[i])
 
 
+@functools.cache
+def plain_letter(point):
+    """A letter's vector, bit by bit from hashes of its code point; that of a boundary is drawn."""
+    if not point:
+        return np.random.default_rng(language_id.SEED).integers(0, 2, language_id.DIM, dtype=np.int8).astype(int) * 2 - 1
+    bits, mask = [], (1 << 64) - 1
+    for k in range(language_id.DIM // 64):
+        x = (point * language_id.DIM + k + (language_id.SEED << 32)) & mask
+        for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+            x = (x ^ x >> 33) * by & mask
+        bits += [x >> b & 1 for b in range(64)]
+    return np.array(bits) * 2 - 1
+
+
+class Letters(dict):
+    __missing__ = staticmethod(plain_letter)
+
+
 def plain_bundle(grams):
-    base = np.random.default_rng(language_id.SEED).integers(0, 2, (language_id.SYMBOLS, language_id.DIM), dtype=np.int8).astype(int) * 2 - 1
+    base = Letters()
     total = np.zeros(language_id.DIM)
     for (a, b, c), n in grams.items():
         total += n * np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
@@ -502,6 +519,30 @@ def test_language_against_plain(spark):
         assert abs(r.score - max(best, 0.0)) < 1e-3 and (near[r.lang_pred] > best - 1e-3 if grams else (r.lang_pred, r.score) == ("und", 0.0))
 
 
+def test_letters_of_any_script(spark, monkeypatch):
+    """Every letter has a vector of its own, so languages that share a script of many letters are told apart."""
+    points = np.array([ord(c) for c in "aбαあア日本語한글"])
+    v = language_id.letter_vectors(points).astype(int)
+    near = v @ v.T / language_id.DIM
+    assert (np.abs(near - np.eye(len(points))) < 0.15).all()
+    rnd = random.Random(1)
+    words = {lang: ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(2)) for _ in range(400)] for lang in ("xa", "xb")}
+    rows = [(i, " ".join(rnd.choices(words[lang], k=40)), lang) for i in range(200) for lang in ("xa", "xb")]
+    df = spark.createDataFrame([(k, t, x) for k, (_, t, x) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    for held in (language_id.HELD_LETTERS, 90):  # also when a worker keeps few letters
+        monkeypatch.setattr(language_id, "HELD_LETTERS", held)
+        names, prototypes = language_id.learn(df.where("doc_id < 200"))
+        got = language_id.identify(df.where("doc_id >= 200"), names, prototypes)
+        assert names == ["xa", "xb"] and got.where("lang <> lang_pred").count() == 0
+
+
+def test_many_languages(spark):
+    """A dirty column of languages: counts are sparse and handed on, one vector for each value reaches the driver."""
+    df = spark.createDataFrame([(i, f"word{chr(97 + i % 26) * 3} other{chr(97 + i // 26) * 4}", f"l{i}") for i in range(400)], "doc_id bigint, text string, lang string")
+    names, prototypes = language_id.learn(df)
+    assert len(names) == 400 and prototypes.shape == (400, language_id.DIM)
+
+
 # ---- mixing ----------------------------------------------------------------------------------------------------------
 
 
