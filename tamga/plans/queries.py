@@ -240,6 +240,26 @@ def rate_limit_stateful(spark, d):
     return accepted(e)
 
 
+@query("rate_limit_live", ORACLE["rate_limit_stateful"])
+def rate_limit_live(spark, d):
+    """The events as a stream. A last row without an id, ages ahead, lets the watermark pass all others."""
+    from ..streaming import limits
+
+    schema = "key string, event_id bigint, ts timestamp"
+    end = _put(spark, spark.sql("SELECT CAST(NULL AS STRING) AS key, CAST(NULL AS BIGINT) AS event_id, TIMESTAMP '2200-01-01' AS ts").coalesce(1), "parquet")
+    e = spark.readStream.schema(D.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    e = e.select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    kind, out = "spark.sql.streaming.stateStore.providerClass", end.replace("trip-", "limit-")
+    before = spark.conf.get(kind)
+    spark.conf.set(kind, limits.ROCKSDB)
+    try:
+        said = limits.accepted_stream(e.unionByName(spark.readStream.schema(schema).parquet(end)))
+        said.writeStream.option("checkpointLocation", f"{out}.state").trigger(availableNow=True).start(out, "parquet").awaitTermination()
+    finally:
+        spark.conf.set(kind, before)
+    return spark.read.schema("key string, event_id bigint, ok boolean").parquet(out)
+
+
 # ---- text ------------------------------------------------------------------------------------------------------------
 
 _N = f"translate(nfc_normalize(t), '{D._A}', repeat('ʻ', 9))"

@@ -328,6 +328,66 @@ def test_submissions(spark, tmp_path):
     assert all(r.name == "n" and r.company is None and len(r.ip_hash) == 64 for r in stored)
 
 
+@pytest.fixture
+def rocksdb(spark):
+    kind = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(kind)
+    spark.conf.set(kind, limits.ROCKSDB)
+    yield
+    spark.conf.set(kind, before)
+
+
+def test_live_limit(spark, tmp_path, rocksdb):
+    """Late and repeated rows over batches of a stream give what the batch form gives, also after a stop between batches."""
+    import os
+    import random
+
+    rng, shape = random.Random(4), "key string, event_id bigint, us bigint"
+    rows = [(rng.choice(["a", "b", "", None]), i, rng.randrange(6 * 3600) * 1_000_000 + rng.randrange(3)) for i in range(240)]
+    rows.sort(key=lambda e: e[2] + rng.randrange(9 * 60) * 1_000_000)
+    stamped = lambda df: df.select("key", "event_id", F.timestamp_micros("us").alias("ts"))
+    want = sorted(map(repr, limits.accepted(stamped(spark.createDataFrame(rows, shape)), 3).collect()))
+
+    def put(some, at):
+        spark.createDataFrame(some, shape).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for p in (tmp_path / "in").glob("*.parquet"):
+            if p not in seen:
+                seen.add(p)
+                os.utime(p, (at, at))  # files are read in order of time
+
+    def run():
+        source = stamped(spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+        limits.accepted_stream(source, 3).writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out", "parquet").awaitTermination()
+
+    seen = set()
+    for k in range(4):
+        put(rows[60 * k : 60 * k + 60] + rng.sample(rows[: 60 * k + 60], 15), 1_700_000_000 + k)
+        if k == 1:
+            run()
+    # one that comes far too late, one without a time, and the end
+    put([("a", 999, 1), ("a", 998, None), ("a", 1000, 0), ("end", 10**6, 10**15)], 1_700_000_009)
+    run()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(repr(r) for r in got if r.event_id < 998) == want
+    assert sorted((r.event_id, r.ok) for r in got if r.event_id >= 998) == [(998, False), (1000, False)]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    with pytest.raises(ValueError, match="RocksDB"):
+        limits.accepted_stream(spark.readStream.schema("key string, event_id bigint, ts timestamp").parquet(f"{tmp_path}/in"))
+
+
+def test_live_submissions(spark, tmp_path, rocksdb):
+    form = "id string, created_at timestamp, name string, email string, model_name string, company string, notes string, website string, consent boolean, forwarded_for string"
+    row = lambda i, s, email="a@b.uz", web="", yes=True, ip="1": (i, s, " n ", email, "m", "", None, web, yes, ip)
+    rows = [row("a", 5), row("b", 10), row("c", 20), row("a", 5), row("d", 20, ip="2"), row("e", 30, email="nobody", ip="2"), row("f", 40, web="x", ip="2"), row("g", 3608), row("end", 10**8, ip="3")]
+    shape = form.replace("created_at timestamp", "created_at bigint")
+    spark.createDataFrame(rows, shape).withColumn("created_at", F.timestamp_seconds("created_at")).write.parquet(f"{tmp_path}/in")
+    stream = limits.submissions_stream(spark.readStream.schema(form).parquet(f"{tmp_path}/in"), 2, salt="s")
+    stream.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out", "parquet").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("created_at", "id").collect()
+    assert [(r.id, r.created_at.minute, r.name, r.company) for r in got] == [("a", 0, "n", None), ("b", 0, "n", None), ("d", 0, "n", None), ("g", 0, "n", None)]
+    assert len({r.ip_hash for r in got}) == 2
+
+
 def test_seeded_orders(spark, monkeypatch):
     """Lists of one size are shuffled in any number; of several sizes on the driver, and beyond the bound that is an error."""
     import random
