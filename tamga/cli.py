@@ -19,6 +19,7 @@ from .functions.text import slug_of
 from .operators import board, records
 from .registry import TASKS, get_task
 from .sources import config, readers
+from .sources import endpoints  # noqa: F401  registers its providers
 from .sources.providers import PROVIDERS, get_provider, run_items
 from .sources.schemas import RECORD
 
@@ -76,8 +77,8 @@ def _dataset(spark: SparkSession, cfg: config.TaskConfig, task, roots: tuple[str
     """A task's dataset, and its rows numbered and with all columns that the task may read."""
     from .operators.items import numbered
 
-    data = readers.load(spark, cfg.dataset, roots, variants=task.variants)
-    return data, task.shaped(numbered(data.rows))
+    data = readers.load(spark, cfg.dataset, roots, cfg.dataset_revision or "", task.variants, cfg.split, cfg.dataset_config)
+    return data, task.shaped(data.rows if data.placed else numbered(data.rows))
 
 
 def run_task(spark: SparkSession, cfg: config.TaskConfig, model: config.ModelConfig, folder: str, roots: tuple[str, ...] = (), limit: int = 0, every: int = 1000) -> dict:
@@ -94,8 +95,8 @@ def run_task(spark: SparkSession, cfg: config.TaskConfig, model: config.ModelCon
     log = os.path.join(folder, cfg.task)
     old = readers.read_records(spark, log) if os.path.isdir(log) else spark.createDataFrame([], RECORD).withColumn("ord", F.lit(0).cast("bigint"))
     todo = records.pending(made, records.latest_non_error(old)).withColumn("part", F.floor(F.col("ord") / every)).cache()
-    provider = get_provider(model.provider)(model.model, **model.extra_body)
     chosen = config.settings(cfg, model)
+    provider = get_provider(model.provider).configured(model, chosen)
     tokens = config.budget(cfg, model, task.max_tokens)
     for part in sorted(r["part"] for r in todo.select("part").distinct().collect()):
         _asked(todo.where(F.col("part") == part), provider, tokens, chosen["concurrency"]).write.mode("append").json(log)

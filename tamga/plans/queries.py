@@ -1189,13 +1189,9 @@ def response_language(spark, d):
 
 def _put(spark, rows, kind: str, **options) -> str:
     """The folder in shared storage to which rows were written."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{base or tempfile.mkdtemp(prefix='tamga-')}/trip-{uuid.uuid4().hex}.{kind}"
+    path = f"{readers.shared_folder(spark)}/trip-{uuid.uuid4().hex}.{kind}"
     rows.write.format({"jsonl": "json", "tsv": "csv"}.get(kind, kind)).options(**options).save(path)
     return path
 

@@ -38,6 +38,11 @@ class Provider:
     def __init__(self, model: str, retries: int = 5, pause: float = 1.0, **options):
         self.model, self.retries, self.pause, self.options = model, retries, pause, options
 
+    @classmethod
+    def configured(cls, model, chosen: dict):
+        """As a model's configuration and what was chosen for a task say."""
+        return cls(model.model, **model.extra_body)
+
     def complete(self, prompt: str, max_tokens: int) -> tuple[str, str, int, int]:
         raise NotImplementedError
 

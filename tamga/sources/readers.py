@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import tempfile
 import urllib.parse
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ class Dataset:
     sha256: str
     source: str
     revision: str = ""
+    placed: bool = False  # rows hold their place as `ord`
 
 
 def register_reader(suffix: str):
@@ -144,16 +146,20 @@ def file_sha256(spark: SparkSession, path: str) -> str:
     return hashes[0][1] if len(hashes) == 1 else hashlib.sha256("\n".join(x for _, x in hashes).encode()).hexdigest()
 
 
-def load(spark: SparkSession, source: str, roots: tuple[str, ...] = (), revision: str = "", variants: tuple[str, ...] = ()) -> Dataset:
-    """A dataset by file. Empty ones are an error. Hub ids need a reader registered for `hub`. variants: columns of JSON files whose
-    values differ in type from row to row."""
+def load(spark: SparkSession, source: str, roots: tuple[str, ...] = (), revision: str = "", variants: tuple[str, ...] = (), split: str = "test", config: str | None = None) -> Dataset:
+    """A dataset by file, or a split of a hub id, page by page; a reader registered for `hub` goes before the pages. Empty ones are an
+    error. variants: columns of JSON whose values differ in type from row to row."""
     path = resolve(source, roots)
     if path is None and "://" in source:
         path = source
     if path is None:
-        if "hub" not in READERS:
-            raise ImportError(f"{source!r} is no file, and no reader is registered for hub ids")
-        return Dataset(source, READERS["hub"](spark, source), "", f"hub://{source}" + (f"@{revision}" if revision else ""), revision)
+        origin = f"hub://{source}" + (f"@{revision}" if revision else "")
+        if "hub" in READERS:
+            return Dataset(source, READERS["hub"](spark, source), "", origin, revision)
+        from .paged import read_hub
+
+        rows, sha = read_hub(spark, source, split, config, revision, variants)
+        return Dataset(source, rows, sha, origin, revision, True)
     suffix = os.path.splitext(path)[1]
     rows = get_reader(suffix)(spark, path, variants) if variants and suffix.lower() in (".json", ".jsonl") else get_reader(suffix)(spark, path)
     if rows.isEmpty():
@@ -161,6 +167,14 @@ def load(spark: SparkSession, source: str, roots: tuple[str, ...] = (), revision
     return Dataset(source, rows, file_sha256(spark, path), path, revision)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; on a local master without one, a new temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return base or tempfile.mkdtemp(prefix="tamga-")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A record log; lines that can't be parsed are dropped, unknown fields too. `ord` follows file and place in it."""
     from ..operators.items import numbered
