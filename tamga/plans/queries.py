@@ -1178,6 +1178,36 @@ def worklist_histogram(spark, d):
     return histogram(_owed(spark, d))
 
 
+_LETTERS = "list_concat(list_transform(range(1, length(w) + 1), lambda i: substr(w, i, 1)), list_transform(range(1, length(w) + 2), lambda i: substr('_' || w || '_', i, 2)), list_transform(range(1, length(w) + 1), lambda i: substr('_' || w || '_', i, 3)))"
+_COUNTED = f"""w AS (SELECT doc_id, lang, w, count(*) AS n FROM (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+g AS (SELECT doc_id, lang, g, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, lang, n, unnest({_LETTERS}) AS g FROM w) GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS place FROM g WHERE lang IS NOT NULL AND doc_id % 3 <> 1 GROUP BY lang, g QUALIFY place < 300)"""
+
+
+def _profiles(spark, d):
+    from ..functions import language
+
+    return language.profiles(D.table(spark, d, "documents").where("doc_id % 3 <> 1"))
+
+
+@query("language_profiles", f'WITH {_COUNTED} SELECT lang, CAST(place AS INT) AS rank, g AS "group" FROM p')
+def language_profiles(spark, d):
+    """Profiles learnt from two documents of three."""
+    return _profiles(spark, d).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("language_found", f"""WITH {_COUNTED}, o AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, g) - 1 AS place FROM g QUALIFY place < 300),
+s AS (SELECT o.doc_id, l.lang, sum(coalesce(least(abs(p.place - o.place), 300), 300)) AS off FROM o CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = o.g GROUP BY ALL),
+f AS (SELECT doc_id, arg_min(lang, (off, lang)) AS found FROM s GROUP BY doc_id)
+SELECT doc_id, doc_id % 3 = 1 AS held_out, found FROM documents LEFT JOIN f USING (doc_id)""")
+def language_found(spark, d):
+    """The language found in every document; of those with held_out nothing was learnt."""
+    from ..functions import language
+
+    found = language.detector(_profiles(spark, d))
+    return D.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3 == 1).alias("held_out"), found(F.col("text")).alias("found"))
+
+
 @query("response_language", """SELECT CAST(doc_id AS VARCHAR) AS item_id, CASE WHEN doc_id % 4 = 0 THEN 'excluded' WHEN coalesce(regexp_matches(text, '(^|[^a-z])(der|die|und)([^a-z]|$)'), false) = (lang = 'de') AND text IS NOT NULL THEN 'pass' ELSE 'fail' END AS outcome FROM documents WHERE lang IS NOT NULL""")
 def response_language(spark, d):
     """Responses that shall be in a language, judged by a detector of three German words."""
