@@ -9,10 +9,11 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, fold_apostrophes, lines_of, py_strip, text_udf
+from .text import SPACE, fold_apostrophes, last_line, lines_of, once, py_strip, text_udf
 
 LETTERS = "ABCDEFGHIJ"
 # Cue words before a letter, and what may follow them.
@@ -38,12 +39,20 @@ def tail(c: Column, n: int) -> Column:
 
 def last(found: Column) -> Column:
     """Last entry of an array, null if it is empty."""
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.try_element_at(found, F.lit(-1))
+
+
+def without_closed(c: Column) -> Column:
+    """The text without its closed traces."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?is)<({TRACE})>.*?</\1>", " ")
 
 
 def strip_reasoning(c: Column) -> tuple[Column, Column]:
     """Visible text, and whether a trace was left open."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?is)<({TRACE})>.*?</\1>", " ")
+    return without_open(without_closed(c))
+
+
+def without_open(text: Column) -> tuple[Column, Column]:
     left_open = text.rlike(rf"(?is)<({TRACE})>")
     return py_strip(F.when(left_open, F.regexp_replace(text, rf"(?is)<({TRACE})>.*\z", " ")).otherwise(text)), left_open
 
@@ -102,15 +111,21 @@ def extract_tagged(response: Column, tag: str = "solution") -> Column:
 
 def extract_bold(response: Column, reject_ambiguous: bool = True) -> Column:
     """The inside of the last bold span; several different ones on the last line are a hedge, not an answer."""
-    visible, left_open = strip_reasoning(response)
     spans = lambda c: F.regexp_extract_all(c, F.lit(r"\*\*([^*]+)\*\*"), F.lit(1))
-    found = last(spans(visible))
-    line = F.coalesce(last(F.filter(lines_of(visible), lambda x: F.length(py_strip(x)) > 0)), visible)
-    many = F.size(F.array_distinct(F.transform(spans(line), lambda x: F.lower(py_strip(x))))) > 1
-    out = F.when(found.isNull(), extraction(None, failed(left_open), "bold", tail(visible, 160)))
-    if reject_ambiguous:
-        out = out.when(many, extraction(None, "unparsed", "bold-ambiguous", head(line, 160)))
-    return out.otherwise(extraction(py_strip(found), "ok", "bold", head(found, 120)))
+
+    def answer(seen: Column, found: Column) -> Column:
+        out = F.when(found.isNull(), extraction(None, failed(seen["open"]), "bold", tail(seen["text"], 160)))
+        sure = extraction(py_strip(found), "ok", "bold", head(found, 120))
+        if not reject_ambiguous:
+            return out.otherwise(sure)
+        many = lambda x: F.size(F.array_distinct(F.transform(spans(x), lambda y: F.lower(py_strip(y))))) > 1
+        return out.otherwise(once(last_line(seen["text"]), lambda x: F.when(many(x), extraction(None, "unparsed", "bold-ambiguous", head(x, 160))).otherwise(sure)))
+
+    parts = lambda visible, left_open: F.struct(visible.alias("text"), left_open.alias("open"))
+    # a text without an angle bracket has no trace
+    shown = lambda r: F.when(r.contains("<"), once(without_closed(r), lambda t: parts(*without_open(t)))).otherwise(parts(py_strip(r), F.lit(False)))
+    seen = once(F.coalesce(response, F.lit("")), shown)
+    return once(seen, lambda s: once(last(spans(s["text"])), lambda found: answer(s, found)))
 
 
 def extract_last_line(response: Column, prefixes: tuple[str, ...] = ()) -> Column:
@@ -140,11 +155,24 @@ def _is_json(text: str) -> bool:
     return True
 
 
+def without_fences(visible: Column) -> Column:
+    text = F.regexp_replace(visible, rf"^```[a-zA-Z]*[{SPACE}]*\n?", "")
+    return py_strip(F.regexp_replace(text, rf"\n?```[{SPACE}]*\z", ""))
+
+
+def all_json(responses: Column) -> Column:
+    """Of an array of responses, which ones extract_json() takes."""
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [t is not None and _is_json(t) for t in x] for x in column.to_pylist()], pa.list_(pa.bool_()))
+
+    return F.arrow_udf(run, "array<boolean>")(F.transform(responses, lambda x: without_fences(strip_reasoning(x)[0])))
+
+
 def extract_json(response: Column) -> Column:
     """A JSON document that is the whole response, fences aside."""
     visible, left_open = strip_reasoning(response)
-    text = F.regexp_replace(visible, rf"^```[a-zA-Z]*[{SPACE}]*\n?", "")
-    text = py_strip(F.regexp_replace(text, rf"\n?```[{SPACE}]*\z", ""))
+    text = without_fences(visible)
     return (
         F.when(F.length(text) == 0, extraction(None, failed(left_open), "json", tail(visible, 160)))
         .when(text_udf(_is_json, "boolean")(text), extraction(text, "ok", "json", head(text, 120)))

@@ -17,8 +17,11 @@ CYRILLIC = "аАеЕоОрРсСуУхХкКвВмМнНтТ"
 LATIN = "aAeEoOpPcCyYxXkKBBmMHHTT"
 #: White space as Python's str.strip, split and \s see it, for a Java class.
 SPACE = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The same characters, one after the other.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Line ends as str.splitlines sees them.
 LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+LINE_ENDS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 #: Letters of Latin and Cyrillic and punctuation that NFC leaves alone, as long as no combining mark is among them.
@@ -35,6 +38,12 @@ def text_udf(fn, kind: str = "string"):
     return F.arrow_udf(run, kind)
 
 
+def once(value: Column, fn) -> Column:
+    """fn of a value that is worked out once a row. A Column read at several places is written out at each, and inside of functions
+    of arrays nothing finds the copies."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def nfc(c: Column) -> Column:
     """NFC. Texts of characters that never change in it stay in the JVM; only the others go to Python."""
     odd = F.when(c.rlike(f"[^{COMPOSED}]"), c)
@@ -66,8 +75,7 @@ def normalize_display(c: Column, fold_homoglyphs: bool = False) -> Column:
 
 def py_strip(c: Column, more: str = "") -> Column:
     """str.strip(); with `more`, of exactly those characters (as a Java class body)."""
-    body = more or SPACE
-    return F.regexp_replace(c, f"^[{body}]+|[{body}]+\\z", "")
+    return F.regexp_replace(c, f"^[{more}]+|[{more}]+\\z", "") if more else F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -81,7 +89,8 @@ def match_key(c: Column) -> Column:
 
 def match_key_lower(c: Column) -> Column:
     """match_key with lower() for case folding and no NFC: all in the JVM; equal for composed text without letters such as sharp s."""
-    return squeeze(F.lower(fold_apostrophes(F.coalesce(c, F.lit("")))))
+    plain = F.translate(F.coalesce(c, F.lit("")), APOSTROPHES + SPACES, TURNED * len(APOSTROPHES) + " " * len(SPACES))
+    return F.btrim(F.regexp_replace(F.lower(plain), " {2,}", " "))
 
 
 def strip_apostrophes(c: Column) -> Column:
@@ -138,6 +147,13 @@ def lines_of(c: Column) -> Column:
     return F.when(F.length(F.element_at(parts, -1)) == 0, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
 
 
+def last_line(c: Column) -> Column:
+    """The last line of a stripped text; for such a text it is the last that isn't blank."""
+    for end in LINE_ENDS:
+        c = F.substring_index(c, end, -1)
+    return c
+
+
 def quoted_terms(c: Column) -> Column:
     """Quoted spans in order of appearance; spans that begin with a backslash don't count."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[\"«“„][^\"»”“„\\n]{1,80}[\"»”]|'[^'\\n]{2,80}'"), F.lit(0))
