@@ -544,11 +544,18 @@ def loose_variants(spark, d):
     return _docs(spark, d).select("doc_id", *[F.sha2(F.get(v, F.lit(i)), 256).alias(n) for i, n in ((2, "no_first"), (3, "no_last"), (1, "plain"))])
 
 
+_NAMES = ("punctuation:no_comma", "length_constraints:number_paragraphs", "startend:quotation", "keywords:existence", "keywords:letter_frequency", "some:unknown", "language:response_language")
+
+
+def _asked(spark, d):
+    """item_id, response, constraints."""
+    rows = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("name"), kw_literal(CHECKED.get(n, ({"language": ["ru"]},))[0]).cast("map<string,array<string>>").alias("kw")) for i, n in enumerate(_NAMES)])
+    asked = F.transform(rows, lambda c: c.withField("localised", F.col("doc_id") % 2 == 0))
+    return _docs(spark, d).select(F.col("doc_id").cast("string").alias("item_id"), F.col("v").alias("response"), asked.alias("constraints"))
+
+
 def _grid(spark, d):
-    names = ["punctuation:no_comma", "length_constraints:number_paragraphs", "startend:quotation", "keywords:existence", "keywords:letter_frequency", "some:unknown", "language:response_language"]
-    rows = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("name"), kw_literal(CHECKED.get(n, ({"language": ["ru"]},))[0]).cast("map<string,array<string>>").alias("kw")) for i, n in enumerate(names)])
-    each = _docs(spark, d).select(F.col("doc_id").cast("string").alias("item_id"), F.col("v").alias("response"), F.explode(rows).alias("c")).select("item_id", "response", "c.*")
-    return each.withColumn("localised", F.col("item_id").cast("int") % 2 == 0)
+    return _asked(spark, d).select("item_id", "response", F.inline("constraints"))
 
 
 def _variants_sql() -> str:
@@ -579,12 +586,12 @@ SELECT {share('ps', 'n')} AS prompt_strict, {low} AS ci_low, {high} AS ci_high,
 
 @query("ifeval_evaluate", f"{_judged_sql()} SELECT * FROM judged")
 def ifeval_evaluate(spark, d):
-    return C.evaluate(_grid(spark, d))
+    return C.evaluate(_asked(spark, d), names=_NAMES)
 
 
 @query("constraint_grid", _grid_sql())
 def constraint_grid(spark, d):
-    df = metrics.constraint_summary(C.evaluate(_grid(spark, d)))
+    df = metrics.constraint_summary(C.evaluate(_grid(spark, d), names=_NAMES))
     return rounded(df, "prompt_strict", "prompt_loose", "ci_low", "ci_high", "inst_strict", "inst_loose", "coverage_percent")
 
 
@@ -606,7 +613,7 @@ def ifeval_task(spark, d):
 
 @query("constraint_by_type", f"{_judged_sql()} SELECT name, count(*) AS n, round(count(*) FILTER (WHERE strict) / CAST(count(*) AS DOUBLE) * 100, 6) AS strict, round(count(*) FILTER (WHERE loose) / CAST(count(*) AS DOUBLE) * 100, 6) AS loose FROM judged WHERE outcome <> 'excluded' GROUP BY name HAVING count(*) >= 15")
 def constraint_by_type(spark, d):
-    return rounded(metrics.by_instruction(C.evaluate(_grid(spark, d))), "strict", "loose")
+    return rounded(metrics.by_instruction(C.evaluate(_asked(spark, d), names=_NAMES)), "strict", "loose")
 
 
 @query("exclusion_reasons", f"""WITH {_DOCS} SELECT reason, count(*) AS n FROM (SELECT 'not-meaningful-in-uzbek' AS reason FROM docs UNION ALL SELECT 'unregistered' FROM docs UNION ALL SELECT 'language:response_language needs a detector' FROM docs UNION ALL SELECT 'kwargs-not-localised' FROM docs WHERE doc_id % 2 <> 0) GROUP BY reason""")

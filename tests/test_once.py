@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tamga.functions import constraints as C
 from tamga.functions import extract as X
 from tamga.functions import text as T
 from tamga.plans import queries as plans
@@ -38,3 +39,20 @@ def test_strip_and_key(spark):
     assert all(c.isspace() for c in T.SPACES) and len(T.SPACES) == sum(chr(i).isspace() for i in range(0x110000))
     assert [r.s for r in got] == [x.strip() for x in odd]
     assert [r.k for r in got[: 2 + len(T.SPACES)]] == ["", ""] + ["a ʻb"] * len(T.SPACES)
+
+
+def test_constraints_in_place(spark):
+    for name in ("ifeval_evaluate", "constraint_grid", "ifeval_task"):
+        plan = planned(plans.QUERIES[name](spark, SMALL))
+        assert "posexplode" not in plan and plan.count("Join") <= (name == "ifeval_task"), name
+    texts = ['```json\n{"a": 1}\n```', 'so\n{"a": 1}', '**{"a": [1,\n2]}**', "x, y", "", None, "*\n*", 'x\n"b"\ny', "a,\n**b**"]
+    asked = [(C.JSON, {}), ("punctuation:no_comma", {}), ("startend:quotation", {}), ("keywords:forbidden_words", {"forbidden_words": ["x", "so"]})]
+    rows = [(str(i), at, n, kw, True, t) for i, t in enumerate(texts) for at, (n, kw) in enumerate(asked)]
+    df = spark.createDataFrame(rows, "item_id string, at int, name string, kw map<string,array<string>>, localised boolean, response string")
+    got = {(int(r.item_id), r.at): (r.strict, r.loose) for r in C.evaluate(df).collect()}
+    yes, loose, no = (True, True), (False, True), (False, False)
+    want = [
+        [yes, yes, no, yes], [loose, yes, no, loose], [loose, loose, no, yes], [no, no, no, no], [no, yes, no, yes], [no, no, no, yes], [no, yes, no, yes],
+        [loose, yes, loose, loose], [no, loose, no, yes],
+    ]
+    assert got == {(i, at): x for i, row in enumerate(want) for at, x in enumerate(row)}
