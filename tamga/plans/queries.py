@@ -591,7 +591,7 @@ def ifeval_evaluate(spark, d):
 
 @query("constraint_grid", _grid_sql())
 def constraint_grid(spark, d):
-    df = metrics.constraint_summary(C.evaluate(_grid(spark, d), names=_NAMES))
+    df = metrics.constraint_summary(C.evaluate(_asked(spark, d), names=_NAMES))
     return rounded(df, "prompt_strict", "prompt_loose", "ci_low", "ci_high", "inst_strict", "inst_loose", "coverage_percent")
 
 
