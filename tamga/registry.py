@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import extract, mt, score, stats
-from .functions.constraints import evaluate
+from .functions.constraints import evaluate, with_judged
 from .functions.text import cyrillic_ratio, normalize
 from .operators import items, metrics, records, validators
 
@@ -306,15 +306,24 @@ class Instructions(EvalTask):
     def problems(self, rows: DataFrame) -> DataFrame:
         return validators.constraint_problems(rows)
 
+    def how(self) -> tuple[bool, float]:
+        return self.options.get("score_recalibrated", True), float(self.options.get("word_count_factor", 1.0))
+
     def judged(self, constraints: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
         """item_id, at, name, outcome, strict, loose, reason of constraints (item_id, at, name, kw, localised, response)."""
-        return evaluate(constraints, self.options.get("score_recalibrated", True), float(self.options.get("word_count_factor", 1.0)), self.options.get("detector"), names)
+        return evaluate(constraints, *self.how(), self.options.get("detector"), names)
 
     def scored(self, told: DataFrame) -> DataFrame:
         """told with `judged`, an array of the constraints' outcomes, and `score`."""
-        each = told.where("fine").select("item_id", F.col("extracted").alias("response"), F.inline("constraints"))
-        by_item = self.judged(each).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "outcome", "strict", "loose", "reason"))).alias("judged"))
-        met = told.join(by_item, "item_id", "left")
+        if self.options.get("detector") is None:
+            # in the item's own row, and generated as in results()
+            made = with_judged(told.withColumn("response", F.when(F.col("fine"), F.col("extracted"))), *self.how())
+            one = F.when(F.col("fine"), F.array_sort("judged"))
+            met = made.select("*", F.explode(F.array(F.struct(one.alias("judged")))).alias("j")).withColumn("judged", F.col("j.judged")).drop("j", "response")
+        else:
+            each = told.where("fine").select("item_id", F.col("extracted").alias("response"), "constraints")
+            by_item = self.judged(each).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("at", "name", "outcome", "strict", "loose", "reason"))).alias("judged"))
+            met = told.join(by_item, "item_id", "left")
         counted = F.filter("judged", lambda x: x["outcome"] != "excluded")
         kept = (F.size(counted) > 0) & F.forall(counted, lambda x: x["strict"])
         return met.withColumn("score", F.when(F.col("fine") & F.coalesce(kept, F.lit(False)), 1.0).otherwise(0.0))
